@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import IdMemo
+from .tokens import shared_memo
 
 
 def fullest(slack: int, counts: dict[int, int]) -> dict[int, int]:
@@ -67,7 +67,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, te
     """Token pieces of whole texts with the task that made them (part) and their rank there among equal lengths (local)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part, seen = IdMemo(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        memo, part, seen = shared_memo(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         tail = end_id.to_bytes(4, "little")
         for rows in it:
             out = [[] for _ in range(6)]

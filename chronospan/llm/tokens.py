@@ -40,6 +40,18 @@ def load(path: str):
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], safe
 
 
+@lru_cache(maxsize=4)
+def opening(path: str):
+    """Whether the token of an id begins with a space (byte-level tokenizers)."""
+    import numpy as np
+
+    with open(path) as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    table = np.zeros(max(vocabulary.values()) + 4096, bool)
+    table[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # the byte alphabet's sign for a space
+    return table
+
+
 def segments(text: str, size: int) -> Iterator[str]:
     """The text in parts of at least `size` characters, cut at the next safe boundary."""
     at = 0
@@ -90,31 +102,50 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 class IdMemo:
     """Ids of whole texts as little-endian uint32 bytes; words met before are looked up, new ones go to the tokenizer in batches.
 
-    Words are the parts between safe boundaries. A text in which a space touches other white space is encoded whole. The memo
-    is emptied at `most` words, so memory is bounded however many different words a task meets.
+    Words are the parts between safe boundaries. A text in which a space touches other white space is encoded whole. At `most`
+    words a memo becomes the old one and a new one starts with what is used of it, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.encode, self.safe = load(path)
+        self.opens = opening(path) if self.safe else None
         self.most = most
-        self.heads: dict[str, bytes | None] = {}  # words that begin a text
-        self.tails: dict[str, bytes | None] = {}  # words after a space
+        #: By what stands before a word, nothing or a space: the memo and the old one.
+        self.memos: dict[str, list[dict[str, bytes | None]]] = {"": [{}, {}], " ": [{}, {}]}
 
     @staticmethod
     def _unsafe(word: str) -> bool:
         return not word or word[0].isspace() or word[-1].isspace()
 
+    def _memo(self, lead: str, words: set[str]) -> dict[str, bytes | None]:
+        """A memo that holds all of the words."""
+        now, old = self.memos[lead]
+        if len(now) > self.most:
+            self.memos[lead] = now, old = [{}, now]
+        new = words.difference(now)
+        known = new.intersection(old)
+        now.update((w, old[w]) for w in known)
+        if len(new) > len(known):
+            self._learn(now, new - known, lead)
+        return now
+
     def _learn(self, memo: dict, words: set[str], lead: str) -> None:
         import numpy as np
 
-        if len(memo) + len(words) > self.most:
-            memo.clear()
         memo.update(dict.fromkeys(words))
         good = [w for w in words if not self._unsafe(w)]
-        for at in range(0, len(good), 4096):
-            part = good[at : at + 4096]
-            for w, ids in zip(part, self.encode([lead + w for w in part]), strict=True):
-                memo[w] = np.asarray(ids, "<u4").tobytes()
+        blocks = [good[at : at + 2048] for at in range(0, len(good), 2048)]
+        # Words behind a space are encoded joined: the one token with a leading space opens each of them.
+        for block, ids in zip(blocks, self.encode(["".join(" " + w for w in x) for x in blocks]) if lead else blocks, strict=True):
+            if lead:
+                ids = np.asarray(ids, "<u4")
+                cuts = np.flatnonzero(self.opens[ids])
+                if len(cuts) == len(block):
+                    data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                    memo.update((w, data[a:b]) for w, a, b in zip(block, cuts, cuts[1:], strict=False))
+                    continue
+            for w, found in zip(block, self.encode([lead + w for w in block]), strict=True):
+                memo[w] = np.asarray(found, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         import numpy as np
@@ -123,13 +154,16 @@ class IdMemo:
             block = texts[at : at + 256]
             split = [t.split(" ") if self.safe and t else [] for t in block]
             first, rest = {s[0] for s in split if s}, set().union(*(s[1:] for s in split))
-            if new := {w for w in first if w not in self.heads}:
-                self._learn(self.heads, first if len(self.heads) + len(new) > self.most else new, "")
-            if new := {w for w in rest if w not in self.tails}:
-                self._learn(self.tails, rest if len(self.tails) + len(new) > self.most else new, " ")
+            heads, tails = self._memo("", {s[0] for s in split if s}), self._memo(" ", set().union(*(s[1:] for s in split)))
             for t, s in zip(block, split, strict=True):
                 if not t:
                     yield b""
                     continue
-                found = [self.heads[s[0]], *map(self.tails.__getitem__, s[1:])] if s else [None]
+                found = [heads[s[0]], *map(tails.__getitem__, s[1:])] if s else [None]
                 yield np.asarray(self.encode([t])[0], "<u4").tobytes() if None in found else b"".join(found)
+
+
+@lru_cache(maxsize=2)
+def shared_memo(path: str) -> IdMemo:
+    """The memo of this worker process; later tasks go on with what earlier ones met."""
+    return IdMemo(path)
