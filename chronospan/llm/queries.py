@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, secrets, sharding, tokens
+from . import langid, neardup, packing, quality, secrets, sharding, tokens
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
@@ -41,6 +45,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_best_fit_packing, op7_token_counts, op9_sharding, op10_quality_rules)
+    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_best_fit_packing, op6_order_minhash, op7_token_counts, op9_sharding, op10_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
