@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, quality, secrets, sharding, tokens
+from . import langid, mixing, neardup, packing, quality, secrets, sharding, tokens, topk, warc
 from .common import documents
 
 
@@ -28,6 +29,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def damaged_replica(records: DataFrame) -> DataFrame:
+    """The replica that op4 audits: page ids 7 mod 101 lost their last byte to another one, ids 50 mod 101 are missing."""
+    spot = F.coalesce(F.pmod("id", F.lit(101)), F.lit(0))
+    spoilt = F.concat(F.substring("record", 1, F.octet_length("record") - 1), F.lit(b"?"))
+    return records.filter(spot != 50).withColumn("record", F.when(spot == 7, spoilt).otherwise(F.col("record")))
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), damaged_replica)
+
+
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir))
 
@@ -36,6 +52,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: F.pmod(i, F.lit(100)) == 0)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -45,6 +65,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_best_fit_packing, op6_order_minhash, op7_token_counts, op9_sharding, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_language_id, op3_best_fit_packing, op4_warc_fixity, op5_pfair_mixing,
+        op6_order_minhash, op7_token_counts, op8_exact_top_k, op9_sharding, op10_quality_rules,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_fixity": r"""
+        WITH texts AS (
+            SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                || 'WARC-Record-ID: <urn:uuid:' || md5(coalesce(CAST(page_id AS VARCHAR), '')) || '>' || chr(13) || chr(10)
+                || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\x00-\x1F\x7F]', '', 'g') || chr(13) || chr(10)
+                || 'Content-Type: text/html' || chr(13) || chr(10)
+                || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+                || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM pages)
+        SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256,
+            CASE WHEN page_id % 101 = 7 THEN 'damaged' WHEN page_id % 101 = 50 THEN 'missing' ELSE 'ok' END AS verdict
+        FROM texts""",
+    "op8_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.vec, c.vec) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }
-ORACLE_SQL: dict[str, str] = {}
