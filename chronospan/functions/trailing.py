@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("rec").orderBy("t", "seq")
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("rec").orderBy("t", "seq")
 
 
 def trailing(series: DataFrame, width: int) -> DataFrame:
@@ -20,14 +22,14 @@ def trailing(series: DataFrame, width: int) -> DataFrame:
 
 def integral(series: DataFrame, unit: int) -> DataFrame:
     """series with the running sum of y * (time since the previous sample), the first sample adding 0."""
-    step = F.coalesce(F.col("t") - F.lag("t").over(ORDER), F.lit(0)) / F.lit(unit)
-    return series.withColumn("part", F.col("y") * step).withColumn("total", F.round(F.sum("part").over(ORDER), 4)).select("rec", "t", "y", "total")
+    step = F.coalesce(F.col("t") - F.lag("t").over(in_order()), F.lit(0)) / F.lit(unit)
+    return series.withColumn("part", F.col("y") * step).withColumn("total", F.round(F.sum("part").over(in_order()), 4)).select("rec", "t", "y", "total")
 
 
 def value_before(series: DataFrame, lag: int) -> DataFrame:
     """series with past: the value at the last sample at or before t - lag, else the recording's first."""
     past = Window.partitionBy("rec").orderBy("t").rangeBetween(Window.unboundedPreceding, -lag)
-    return series.select("rec", "t", "y", F.coalesce(F.last("y").over(past), F.first("y").over(ORDER)).alias("past"))
+    return series.select("rec", "t", "y", F.coalesce(F.last("y").over(past), F.first("y").over(in_order())).alias("past"))
 
 
 def topic_profile(series: DataFrame) -> DataFrame:

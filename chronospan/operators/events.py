@@ -5,15 +5,17 @@ NaN samples count as null and satisfy no condition. Equal extremes resolve to th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("rec").orderBy("t", "seq")
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("rec").orderBy("t", "seq")
 
 
 def periods(series: DataFrame) -> DataFrame:
     """(rec, period): the median gap between samples, cut to a whole number; 0 for a single sample."""
-    gaps = series.select("rec", (F.lead("t").over(ORDER) - F.col("t")).alias("gap"))
+    gaps = series.select("rec", (F.lead("t").over(in_order()) - F.col("t")).alias("gap"))
     return gaps.groupBy("rec").agg(F.coalesce(F.percentile("gap", 0.5).cast("long"), F.lit(0).cast("long")).alias("period"))
 
 
@@ -21,7 +23,7 @@ def islands(series: DataFrame, mask: Column) -> DataFrame:
     """Samples where mask holds, with the number of their run; runs are neighbours in sample order, whatever their distance."""
     marked = series.withColumn("mask", F.coalesce(mask, F.lit(False)))
     inside = Window.partitionBy("rec", "mask").orderBy("t", "seq")
-    return marked.withColumn("run", F.row_number().over(ORDER) - F.row_number().over(inside)).filter("mask").drop("mask")
+    return marked.withColumn("run", F.row_number().over(in_order()) - F.row_number().over(inside)).filter("mask").drop("mask")
 
 
 def compare(y: Column, op: str, x: float) -> Column:

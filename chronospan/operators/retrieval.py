@@ -21,11 +21,11 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, stop: tuple[st
     own = F.filter(tokens(F.col(text_col)), lambda w: ~w.isin(list(stop))) if stop else tokens(F.col(text_col))
     words = sorted(set(asked))
     counted = docs.select(F.col(id_col), own.alias("w")).select(id_col, F.size("w").alias("n"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(words)))
-    stats = counted.agg(F.count("*").alias("N"), F.avg("n").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(words))))
+    stats = counted.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(words))))
     both = counted.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i, t in enumerate(words):
-        idf = F.log(1 + (F.col("N") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        idf = F.log(1 + (F.col("total") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col(f"tf{i}")
         score = score + asked.count(t) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.greatest("mean", F.lit(1e-9))))
     return both.select(id_col, F.round(score, 6).alias("score"))

@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec, t, y, topic, seq): one sample per event; seq breaks ties of t."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), micros.alias("t"), F.col("value").alias("y"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"))
+    """(rec, t, y, topic, seq): one sample per event; seq breaks ties of t; a NaN value is null. t is the same in every session time zone."""
+    micros = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    value = F.when(~F.isnan("value"), F.col("value"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("rec"), micros.alias("t"), value.alias("y"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
