@@ -10,6 +10,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+def _times(word: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == word))
+
+
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, stop: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of all rows; query tokens count as often as they occur in the query; no hit scores 0.
 
@@ -20,7 +24,7 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, stop: tuple[st
     asked = [t for t in re.findall("[a-z0-9]+", query.lower()) if t not in stop]
     own = F.filter(tokens(F.col(text_col)), lambda w: ~w.isin(list(stop))) if stop else tokens(F.col(text_col))
     words = sorted(set(asked))
-    counted = docs.select(F.col(id_col), own.alias("w")).select(id_col, F.size("w").alias("n"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(words)))
+    counted = docs.select(F.col(id_col), own.alias("w")).select(id_col, F.size("w").alias("n"), *(_times(t).alias(f"tf{i}") for i, t in enumerate(words)))
     stats = counted.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(words))))
     both = counted.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
