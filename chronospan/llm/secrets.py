@@ -33,6 +33,7 @@ ALPHABETS = {
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 8),
     "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 8),
 }
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[+/]")
 RANKS = {name: {c: i for i, c in enumerate(letters)} for name, (letters, _) in ALPHABETS.items()}
 BINS = 2000  # of -ln p, for the false-discovery step
 
@@ -91,14 +92,11 @@ def battery(token: str) -> tuple[float, float] | None:
     # has mean (parts - 1) + n * lam with lam = 0.4 and a variance that grows with n.
     lam = 0.4
     natural = _normal_tail(((parts - 1) + n * lam - chi2) / math.sqrt(2 * (parts - 1) + 4 * n * lam))
-    changes = sum(_class(a) != _class(b) for a, b in zip(body, body[1:], strict=False)) / (n - 1)
-    # Natural strings change between letters and digits at a few places: at most a tenth of them, random hex at near half.
-    natural *= _normal_tail((changes - 0.1) / math.sqrt(0.09 / (n - 1)))
-    return even, max(natural, 1e-300)
-
-
-def _class(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2
+    # Natural strings consist of few words and numbers, separated or capitalised; random ones change class at nearly every other place.
+    joins = (len(PIECE.findall(body)) - 1 - sum(c in "-_" for c in body)) / (n - 1)
+    words = _normal_tail((joins - 0.15) / math.sqrt(0.16 / (n - 1)))
+    both = max(natural * words, 1e-300)
+    return even, max(min(1.0, both * (1 - math.log(both))), 1e-300)  # Fisher's joint p of two independent ones
 
 
 def length_class(n: int) -> int:
