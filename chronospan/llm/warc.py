@@ -30,8 +30,11 @@ def record(uri: Column, payload: Column, identity: Column, date: str) -> Column:
     )
 
 
-def archive(df: DataFrame, id_col: str, uri_col: str, payload_col: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 4096) -> DataFrame:
-    """Writes one record per row of df: (id, file, offset, length, record). Files are runs of `per_file` rows of an input partition."""
+def archive(df: DataFrame, id_col: str, uri_col: str, payload_col: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Writes one record per row of df: records (at, id, length, record) and their places (at, file, offset).
+
+    Files are runs of `per_file` rows of an input partition. Records are written once and never shuffled; places hold numbers only.
+    """
     from pyspark.sql import Window
 
     made = df.select(F.col(id_col).alias("id"), record(F.col(uri_col), F.col(payload_col), F.col(id_col), date).alias("record"), F.monotonically_increasing_id().alias("at"))
@@ -39,13 +42,14 @@ def archive(df: DataFrame, id_col: str, uri_col: str, payload_col: str, date: st
     run = F.floor(F.col("at").bitwiseAND(2**33 - 1) / per_file)
     file = F.shiftright("at", 33) * 2**21 + run
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    places = made.select("at", "length", file.alias("file")).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("length")
-    return made.join(places, "at").select("id", "file", "offset", "length", "record")
+    places = made.select("at", "length", file.alias("file")).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return made, materialize(places.select("at", "file", "offset"))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """(file, offset, length, digest) of records."""
-    return records.select("file", "offset", "length", F.sha2("record", 256).alias("digest"))
+def leaves(records: DataFrame, places: DataFrame) -> DataFrame:
+    """(at, file, offset, length, digest) of records: hashed where they lie, so that only hashes meet the places."""
+    hashed = records.select("at", "length", F.sha2("record", 256).alias("digest"))
+    return hashed.join(places, "at")
 
 
 def audit(left: DataFrame, right: DataFrame, first_range: int = FIRST_RANGE, step: int = STEP) -> DataFrame:
@@ -111,8 +115,8 @@ def audit_pages(df: DataFrame, damage, id_col: str = "page_id", uri_col: str = "
     Returns id, length, record_sha256, verdict (ok, damaged, missing). Null payloads and uris make empty ones, repeated rows are records
     of their own, an empty table gives an empty result; other columns are ignored.
     """
-    written = materialize(archive(df, id_col, uri_col, payload_col))
-    found = audit(leaves(written), leaves(damage(written)))
-    return written.select("id", "file", "offset", "length", F.sha2("record", 256).alias("record_sha256")).join(found, ["file", "offset"], "left").select(
-        F.col("id").alias(id_col), "length", "record_sha256", F.coalesce("verdict", F.lit("ok")).alias("verdict")
-    )
+    written, places = archive(df, id_col, uri_col, payload_col)
+    found = audit(leaves(written, places), leaves(damage(written), places))
+    sealed = written.select("at", "id", "length", F.sha2("record", 256).alias("record_sha256"))
+    wrong = found.join(places, ["file", "offset"]).select("at", "verdict")
+    return sealed.join(wrong, "at", "left").select(F.col("id").alias(id_col), "length", "record_sha256", F.coalesce("verdict", F.lit("ok")).alias("verdict"))
