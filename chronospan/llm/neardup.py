@@ -1,10 +1,11 @@
 """Near duplicates by Order MinHash with verification by banded alignment.
 
-A text's words (runs of letters, digits and underscores in lower case) form 5-word shingles, each labelled with its occurrence
+A text's words (runs of letters, digits and underscores in lower case) form `k`-word shingles, each labelled with its occurrence
 number. Per band a random order of the labelled shingles is drawn, the `per_band` smallest are taken and kept in text order; the
-hash of that list is the band's bucket. Texts that meet in a bucket are candidates. A candidate pair is a link if its aligned
-similarity, 1 - word edits / words of the longer text, is at least `similarity`; the alignment keeps to the diagonals which that
-bound leaves. Classes are the connected components of links.
+hash of that list is the band's bucket. Texts of up to `short` words have too few shingles for that: their buckets are segment keys,
+which every pair of such texts within the bound shares (see segment_keys). Texts that meet in a bucket are candidates. A candidate
+pair is a link if its aligned similarity, 1 - word edits / words of the longer text, is at least `similarity`; the alignment keeps to
+the diagonals which that bound leaves. Classes are the connected components of links.
 
 Equal word lists are one text from the start. In a bucket everyone is first aligned with the bucket's smallest id, so a group of n
 copies costs n alignments. What that leaves apart is compared crosswise: all pairs across classes in buckets up to `crowd` members;
@@ -88,6 +89,47 @@ def order_minhash(grams: np.ndarray, bands: int, per_band: int, seed: int = 0) -
     return out
 
 
+def most_edits(longest: int, similarity: float) -> int:
+    """Word edits that a pair may have whose longer text has `longest` words."""
+    return int((1 - similarity) * longest + 1e-9)
+
+
+def segment_keys(hashes: np.ndarray, similarity: float, short: int) -> np.ndarray:
+    """Buckets of which two texts of up to `short` words share one at least if their similarity is `similarity` or more.
+
+    Of e + 1 segments of the shorter text one stays whole under e edits. The longer text looks it up at the starts which the edits
+    before and behind it leave (Pass-Join).
+    """
+    raw, n, out = hashes.tobytes(), len(hashes), set()
+
+    def add(m: int, e: int, i: int, start: int, size: int) -> None:
+        out.add(xxhash.xxh64_intdigest(raw[4 * start : 4 * (start + size)], (m << 32) + (e << 16) + i))
+
+    def segments(m: int, parts: int) -> list[tuple[int, int, int]]:
+        cuts = [m * i // parts for i in range(parts + 1)]
+        return [(i, cuts[i], cuts[i + 1] - cuts[i]) for i in range(parts)]
+
+    for e in {most_edits(longest, similarity) for longest in range(n, short + 1) if longest - most_edits(longest, similarity) <= n} - {0}:
+        for i, start, size in segments(n, e + 1):
+            add(n, e, i, start, size)
+    e = most_edits(n, similarity)
+    for m in range(n - e, n + 1) if e else ():
+        for i, start, size in segments(m, e + 1):
+            for at in range(max(0, start - i, start + n - m - (e - i)), min(n - size, start + i, start + n - m + e - i) + 1):
+                add(m, e, i, at, size)
+    return np.fromiter(out, np.uint64, len(out))
+
+
+def buckets_of(hashes: np.ndarray, similarity: float, k: int, bands: int, per_band: int, short: int) -> np.ndarray:
+    """All buckets of a text; texts that may be near one longer than `short` have bands whatever their own length."""
+    n, found = len(hashes), []
+    if n <= short:
+        found.append(segment_keys(hashes, similarity, short))
+    if n >= short + 1 - most_edits(short + 1, similarity):
+        found.append(order_minhash(shingles(hashes, k), bands, per_band))
+    return np.concatenate(found).astype(np.int64)
+
+
 def banded_distance(a: list[int], b: list[int], most: int) -> int | None:
     """Edit distance if it is at most `most`, else None; only cells within `most` of the diagonal are computed.
 
@@ -128,7 +170,7 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int | None:
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether two word lists align with at most (1 - similarity) of the longer one's words edited."""
     longest = max(len(x), len(y))
-    most = int((1 - similarity) * longest + 1e-9)
+    most = most_edits(longest, similarity)
     if abs(len(x) - len(y)) > most:
         return False
     short = min(len(x), len(y))
@@ -148,7 +190,7 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return banded_distance(x.tolist(), y.tolist(), most) is not None
 
 
-def sketched(df: DataFrame, id_col: str, text_col: str, k: int, bands: int, per_band: int) -> DataFrame:
+def sketched(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int, bands: int, per_band: int, short: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows in it:
@@ -160,7 +202,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str, k: int, bands: int, per_
                     h = hashes(words)
                     keys.append(xxhash.xxh128_digest(" ".join(words)) if words else b"\0" + xxhash.xxh128_digest(t or ""))
                     lists.append(h.tobytes())
-                    sketches.append(order_minhash(shingles(h, k), bands, per_band).astype(np.int64) if words else [])
+                    sketches.append(buckets_of(h, similarity, k, bands, per_band, short) if words else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "key", "words", "sketch"])
 
     thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
@@ -271,13 +313,13 @@ def _crowded(texts: DataFrame, found: DataFrame, similarity: float, k: int, band
         turn += 1
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5, bands: int = 24, per_band: int = 4, crowd: int = 24) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24) -> DataFrame:
     """One row per row of df with a non-null id: id and class_id, the smallest id of its class of exact and near copies.
 
     Texts without a word form a class with texts equal to them; a null text is alone in its class; repeated rows share their id's
     class; rows with a null id come back with a null class_id; an empty table gives an empty result; other columns are ignored.
     """
-    made = materialize(sketched(df, id_col, text_col, k, bands, per_band))
+    made = materialize(sketched(df, id_col, text_col, similarity, k, bands, per_band, short))
     kind = made.schema["id"].dataType.simpleString()
     docs = made.select("id", "key")
     firsts = materialize(docs.groupBy("key").agg(F.min("id").alias("first")))
