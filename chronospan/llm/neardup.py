@@ -8,9 +8,8 @@ pair is a link if its aligned similarity, 1 - word edits / words of the longer t
 the diagonals which that bound leaves. Classes are the connected components of links.
 
 Equal word lists are one text from the start. In a bucket everyone is first aligned with the bucket's smallest id, so a group of n
-copies costs n alignments. What that leaves apart is compared crosswise: all pairs across classes in buckets up to `crowd` members;
-above, one member per class. Buckets with more than `crowd` classes, as a widely shared passage makes, are split by fresh, longer
-samples before that; whatever still is larger meets some leaders after the others until no class is uncompared.
+copies costs n alignments. Of the pairs that this leaves in different classes every one is decided: in buckets up to `crowd` members
+they are joined, in larger ones compared block by block, where bounds from word counts, which lose no link, come before the alignment.
 """
 
 from __future__ import annotations
@@ -187,6 +186,12 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     shared = np.minimum(np.bincount(code[: len(x)], minlength=size), np.bincount(code[len(x) :], minlength=size)).sum()
     if max(len(x), len(y)) - shared > most:  # a bound from the words alone, whatever their order
         return False
+    if min(len(x), len(y)) > 64:  # an edit takes at most three 3-word runs away; unlike texts of one language fail here
+        runs = [_mix(_mix(_mix(c[:-2].astype(np.uint64) + np.uint64(1)) ^ c[1:-1].astype(np.uint64)) ^ c[2:].astype(np.uint64)) for c in (code[: len(x)], code[len(x) :])]
+        _, code = np.unique(np.concatenate(runs), return_inverse=True)
+        shared = np.minimum(*(np.bincount(c, minlength=int(code.max()) + 1) for c in (code[: len(runs[0])], code[len(runs[0]) :]))).sum()
+        if max(map(len, runs)) - shared > 3 * most:
+            return False
     return banded_distance(x.tolist(), y.tolist(), most) is not None
 
 
@@ -255,7 +260,7 @@ def _star(buckets: DataFrame) -> DataFrame:
     return buckets.join(leaders, "bucket").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def links(distinct: DataFrame, similarity: float, k: int, crowd: int) -> DataFrame:
+def links(distinct: DataFrame, similarity: float, crowd: int, block: int) -> DataFrame:
     """Verified links (a, b) between different texts that connect every class; distinct: (id, words, sketch)."""
     words = distinct.select("id", "words")
     buckets = materialize(distinct.select("id", F.explode("sketch").alias("bucket")))
@@ -267,53 +272,62 @@ def links(distinct: DataFrame, similarity: float, k: int, crowd: int) -> DataFra
     if left.isEmpty():
         return found
     few = left.filter(F.col("members") <= crowd).select("bucket", "id", "label")
-    many = left.filter(F.col("members") > crowd).groupBy("bucket", "label").agg(F.min("id").alias("id"))
-    many = materialize(many)
-    classes = many.groupBy("bucket").agg(F.count("*").alias("classes"))
-    some = many.join(classes.filter(F.col("classes") <= crowd).select("bucket"), "bucket").select("bucket", "id", "label")
-    cross = few.union(some)
-    other = cross.select("bucket", F.col("id").alias("b"), F.col("label").alias("other"))
-    pairs = cross.join(other, "bucket").filter("id < b and label <> other").select(F.col("id").alias("a"), "b").distinct()
-    found = materialize(found.union(verified(pairs, words, similarity)))
-    crowded = many.join(classes.filter(F.col("classes") > crowd).select("bucket"), "bucket").select("id").distinct()
-    if not crowded.isEmpty():
-        found = found.union(_crowded(crowded.join(words, "id"), found, similarity, k))
-    return found
-
-
-def _crowded(texts: DataFrame, found: DataFrame, similarity: float, k: int, bands: int = 64, per_band: int = 8, leaders: int = 16) -> DataFrame:
-    """Links among texts from crowded buckets: fresh samples of twice the length, then leaders against all others per bucket."""
+    other = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("other"))
+    pairs = few.join(other, "bucket").filter("id < b and label <> other").select(F.col("id").alias("a"), "b")
+    many = left.filter(F.col("members") > crowd)
+    if not many.isEmpty():
+        pairs = pairs.union(_crowded(many, words, similarity, block))
+    return found.union(materialize(verified(materialize(pairs.distinct()), words, similarity)))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, bins: int = 64) -> DataFrame:
+    """All pairs (a, b) of different classes in crowded buckets, but those whose word counts rule a link out.
+
+    left: as from _open. Members are dealt into blocks of about `block`, and a task compares two blocks of a bucket. An edit changes at
+    most two counts of words, hence at most two of their sums over `bins` groups of words, and one of them where lengths change.
+    """
+    kind = left.schema["id"].dataType.simpleString()
+
+    def profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
-            made = [order_minhash(shingles(np.frombuffer(w.as_buffer(), np.uint32), k), bands, per_band, 1).astype(np.int64) for w in rows.column(1)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "sketch"])
-
-    texts = materialize(texts.select("id", "words"))
-    again = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, sketch array<long>")
-    buckets = materialize(again.select("id", F.explode("sketch").alias("bucket")))
-    found = found.select("a", "b")
-    labels, new, turn = components(found), None, 0
-    while True:
-        # Each round compares every open member with its bucket's leaders, then takes these out: exact, as only ids that met all
-        # other open members leave. Leaders are the smallest id and about `leaders` more, drawn by a hash.
-        left = materialize(_open(buckets, labels))
-        if left.isEmpty():
-            return new if new is not None else found.limit(0)
-        drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("members")) < leaders
-        least = left.groupBy("bucket").agg(F.min("id").alias("a")).withColumnRenamed("a", "first")
-        marked = materialize(left.join(least, "bucket").withColumn("leads", drawn | (F.col("id") == F.col("first"))).select("bucket", "id", "label", "leads"))
-        lead = marked.filter("leads").select("bucket", F.col("id").alias("a"), F.col("label").alias("own"))
-        pairs = marked.join(lead, "bucket").filter("id <> a and label <> own").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        good = materialize(verified(pairs, texts, similarity))
-        if not good.isEmpty():  # without new links the classes stay as they are
-            new = good if new is None else new.union(good)
-            labels = components(found.union(new))
-        buckets = materialize(marked.filter("not leads").select("id", "bucket"))
-        turn += 1
-
-
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24) -> DataFrame:
+            made = [np.minimum(np.bincount(np.frombuffer(w.as_buffer(), np.uint32) % bins, minlength=bins), 255).astype(np.uint8).tobytes() for w in rows.column(1)]
+            sizes = [len(w.as_buffer()) // 4 for w in rows.column(1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int32()), pa.array(made, pa.binary())], names=["id", "n", "counts"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, n = rows.column("id"), rows.column("n").to_numpy()
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, bins).astype(np.int16)
+        _, label = np.unique(np.array(rows.column("label").to_pylist()), return_inverse=True)
+        side = rows.column("side").to_numpy()
+        one = side[0] == 2  # a block against itself
+        first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        a, b = [], []
+        for at, i in enumerate(first):
+            js = second[at + 1 :] if one else second
+            longest = np.maximum(n[js], n[i])
+            most = ((1 - similarity) * longest + 1e-9).astype(np.int64)
+            apart = np.abs(n[js] - n[i])
+            open_ = (label[js] != label[i]) & (apart <= most)
+            js, most, apart = js[open_], most[open_], apart[open_]
+            js = js[(np.abs(counts[js] - counts[i]).sum(axis=1) <= 2 * most)]
+            a += [i] * len(js)
+            b += js.tolist()
+        x, y = ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))
+        return pa.table({"x": x, "y": y})
+
+    ids = left.select("id").distinct()
+    made = words.join(ids, "id", "left_semi").select("id", "words").mapInArrow(profile, f"id {kind}, n int, counts binary")
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    own = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")
+    dealt = left.withColumn("blocks", blocks).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
+    dealt = dealt.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "id", "label")
+    met = dealt.join(made, "id").groupBy("bucket", "i", "j").applyInArrow(compare, f"x {kind}, y {kind}")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24, block: int = 1024) -> DataFrame:
     """One row per row of df with a non-null id: id and class_id, the smallest id of its class of exact and near copies.
 
     Texts without a word form a class with texts equal to them; a null text is alone in its class; repeated rows share their id's
@@ -325,7 +339,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     firsts = materialize(docs.groupBy("key").agg(F.min("id").alias("first")))
     ids = firsts.select(F.col("first").alias("id")).distinct()  # one id with several texts stands for the first of them
     distinct = materialize(made.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "words", "sketch"))
-    labels = components(links(distinct, similarity, k, crowd))
+    labels = components(links(distinct, similarity, crowd, block))
     of_key = firsts.join(labels.withColumnRenamed("id", "first"), "first", "left").select("key", F.coalesce("label", "first").alias("class_id"))
     known = docs.join(of_key, "key").select("id", "class_id")
     rest = df.filter(F.col(id_col).isNull() | F.col(text_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"))

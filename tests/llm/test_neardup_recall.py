@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from chronospan.llm import neardup
 from tests.llm.test_results import edits
 
@@ -64,3 +66,31 @@ def test_short_texts_match_brute_force(spark):
             base = [f"w{rng.randrange(300)}" for _ in range(length)]
             texts += [base] + [changed(rng, base, rng.randint(0, length // 5 + 1)) for _ in range(2)]
     assert found_classes(spark, texts) == brute(texts)
+
+
+def test_no_met_pair_is_lost_in_crowded_buckets(spark):
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(60)]  # the samples of all texts are mostly from here
+    texts = []
+    for _ in range(30):  # chains: near ends are within the bound, the smallest id of a class is not near to all of its class
+        chain = passage + [f"o{rng.randrange(10**9)}" for _ in range(40)]
+        texts.append(chain)
+        for _ in range(3):
+            chain = changed(rng, chain[:60], 0) + changed(rng, chain[60:], 12)
+            texts.append(chain)
+    rng.shuffle(texts)
+    want = brute(texts)
+    assert found_classes(spark, texts) == want
+    assert found_classes(spark, texts, crowd=3, block=16) == want
+
+
+def test_bound_of_word_runs_loses_no_link():
+    rng = random.Random(14)
+    for _ in range(300):
+        a = [rng.randrange(40) for _ in range(rng.randint(60, 160))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 4)):
+            b[rng.randrange(len(b))] = rng.randrange(40)
+        b = b[rng.randrange(4) :] + [rng.randrange(40) for _ in range(rng.randrange(4))]
+        most = neardup.most_edits(max(len(a), len(b)), 0.8)
+        assert neardup.similar(np.array(a, np.uint32), np.array(b, np.uint32), 0.8) == (edits(a, b) <= most)
