@@ -2,14 +2,18 @@
 
 Documents of a source form blocks. Block j (from 1) of a source of weight w may run from slot floor((j - 1) / w) and must have run by
 ceil(j / w); earliest-deadline-first then interleaves the sources so that at every slot each source is less than one block away from
-its weight. Weights are whole shares of a cycle of slots, so one cycle's schedule repeats: block j's slot follows from its cycle and
-its place there. When a source runs out, the others go on with their weights scaled up (a new phase); no document is left out.
+its weight. Weights are exact fractions. When a source runs out and is due, the others go on with their weights scaled up (a new phase,
+counted from its first slot); no document is left out. One task plans all blocks of all sources and writes a row for each as it goes,
+so it holds a few numbers per source; documents join the plan by source and block.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-OTHER = "\0other"
+PLAN = "mix_source string, mix_block long, mix_phase int, mix_slot long, mix_release long, mix_deadline long"
 
 
 def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
@@ -31,40 +35,62 @@ def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
     return out
 
 
-def schedule(share: dict[str, int], cycle: int) -> dict[str, list[tuple[int, int, int]]]:
-    """Per source, for each of its blocks in a cycle: (slot, release, deadline), by earliest deadline among released blocks."""
-    waiting = [(0, s, 0) for s in sorted(share)]  # (release, source, block)
+def edf(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) by earliest deadline among released blocks, until a source without blocks is due."""
+    total = sum(weights.values())
+    waiting = [(0, s, 0) for s in sorted(weights)]  # (slot from which it may run, source, block)
     ready: list[tuple[int, int, str, int]] = []
-    out: dict[str, list[tuple[int, int, int]]] = {s: [] for s in share}
-    heapq.heapify(waiting)
-    for slot in range(cycle):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
-            release, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * cycle // share[s]), release, s, j))
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), j * total // weights[s], s, j))
         deadline, release, s, j = heapq.heappop(ready)
-        out[s].append((slot, release, deadline))
-        if j + 1 < share[s]:
-            heapq.heappush(waiting, (max((j + 1) * cycle // share[s], slot + 1), s, j + 1))
+        if j >= blocks[s]:
+            return
+        yield s, j, slot, release, deadline
+        slot += 1
+        heapq.heappush(waiting, (max((j + 1) * total // weights[s], slot), s, j + 1))
+
+
+def schedule(share: dict[str, int], cycle: int) -> dict[str, list[tuple[int, int, int]]]:
+    """Per source, for each of its blocks in a cycle of whole shares: (slot, release, deadline)."""
+    out: dict[str, list[tuple[int, int, int]]] = {s: [] for s in share}
+    for s, _, *times in edf(share, share):
+        out[s].append(tuple(times))
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], cycle: int) -> Iterator[tuple[int, int, dict[str, tuple[int, int, int]], dict[str, list[tuple[int, int, int]]]]]:
-    """(phase, first slot, source -> (first block, blocks, share), cycle schedule) until every source has run out."""
+def targets(blocks: dict[str, int], weights: dict[str, float] | None, power: float) -> dict[str, int]:
+    """Exact weights of the sources with blocks, as whole numbers relative to each other."""
+    given = {s: Fraction(weights[s]) for s in blocks if s in (weights or {})}
+    if any(w <= 0 for w in given.values()):
+        raise ValueError("weights must be positive")
+    rest = {s: Fraction(float(n) ** power) for s, n in blocks.items() if s not in given}
+    if given and rest:
+        left = 1 - sum(given.values())
+        if left <= 0:
+            raise ValueError("the given weights leave no share for the other sources")
+        total = sum(rest.values())
+        rest = {s: left * w / total for s, w in rest.items()}
+    exact = given | rest
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def phases(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, slot, release, deadline) of all blocks by slot."""
     left, used = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
-    slot = phase = 0
+    first = phase = 0
     while left:
-        share = shares({s: weights[s] for s in left}, cycle)
-        plan = schedule(share, cycle)
-        whole = min(left[s] // share[s] for s in left)
-        rest = {s: left[s] - whole * share[s] for s in left}
-        stop = min(plan[s][rest[s]][0] for s in left if rest[s] < share[s])  # where a source that has run out would be due
-        taken = {s: whole * share[s] + sum(x[0] < stop for x in plan[s]) for s in left}
-        yield phase, slot, {s: (used[s], taken[s], share[s]) for s in left}, plan
+        slots, taken = 0, dict.fromkeys(left, 0)
+        for s, j, slot, release, deadline in edf({s: weights[s] for s in left}, left):
+            yield s, used[s] + j, phase, first + slot, first + release, first + deadline
+            slots, taken[s] = slot + 1, j + 1
         for s, n in taken.items():
             used[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        slot += whole * cycle + stop
+        left = {s: n - taken[s] for s, n in left.items() if n > taken[s]}
+        first += slots
         phase += 1
 
 
@@ -90,49 +116,43 @@ def numbered(df: DataFrame, source_col: str) -> DataFrame:
     return thin.mapInArrow(run, StructType([*thin.schema.fields]).add("mix_part", kind).add("mix_local", LongType()))
 
 
-def interleave(
-    df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", block_rows: int = 32, cycle: int = 1024, power: float = 0.5, most_sources: int = 256
-) -> DataFrame:
+def planned(totals: DataFrame, weights: dict[str, float] | None, power: float) -> DataFrame:
+    """A row per block (PLAN); totals: (mix_source, blocks)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[str, int] = {}
+        for rows in it:
+            blocks |= zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)
+        if not blocks:
+            return
+        steps = phases(blocks, targets(blocks, weights, power))
+        while some := list(islice(steps, 20_000)):
+            source, block, phase, slot, release, deadline = zip(*some, strict=True)
+            columns = [pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(phase, pa.int32()), *(pa.array(x, pa.int64()) for x in (slot, release, deadline))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PLAN.split(", ")])
+
+    return totals.coalesce(1).mapInArrow(run, PLAN)
+
+
+def interleave(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", block_rows: int = 32, power: float = 0.5) -> DataFrame:
     """All rows of df with block, phase, release, deadline, slot and place (in the block) as mix_block .. mix_place, in no order.
 
-    weights: target weight per source; sources without one, or all where it is None, get their number of blocks to the power `power` as
-    a share of what the given ones leave relative to each other. Sources beyond the `most_sources` most frequent are one. A null source
+    weights: target weight per source, relative to each other if all sources have one. Otherwise they are shares of the whole, and the
+    other sources divide what these leave by their number of blocks to the power `power`; it is an error if nothing is left. A null source
     is the source ''; repeated rows are placed once each; an empty table gives an empty result. df's column names must not begin with mix_.
     Rows are numbered per task and source, so a source of any size is never sorted or held by one task.
     """
-    spark = df.sparkSession
     rows = materialize(numbered(df, source_col))
     counts = materialize(rows.groupBy("mix_source", "mix_part").agg(F.count("*").alias("n")))
-    top = counts.groupBy("mix_source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "mix_source").limit(most_sources - 1).collect()
-    named = [r["mix_source"] for r in top]
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    docs = {r["mix_source"]: r["n"] for r in top}
-    if total > sum(docs.values()):
-        docs[OTHER] = total - sum(docs.values())
-    blocks = {s: -(-n // block_rows) for s, n in docs.items()}
-    target = {s: float((weights or {}).get(s, n**power)) for s, n in blocks.items()}
-    group = F.when(F.col("mix_source").isin(named), F.col("mix_source")).otherwise(F.lit(OTHER)) if OTHER in docs else F.col("mix_source")
-    before = Window.partitionBy("mix_group").orderBy("mix_part", "mix_source").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("mix_group", group).withColumn("mix_first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    # A row per phase and source, and per phase and slot of a cycle: at most most_sources * (most_sources + cycle) rows.
-    spans, slots = [], []
-    for phase, slot0, of, plan in phases(blocks, target, max(cycle, 4 * len(blocks))):
-        for s, (first, n, share) in of.items():
-            spans.append((s, phase, first, first + n, share, slot0))
-            slots += [(s, phase, k, *x) for k, x in enumerate(plan[s][: min(n, share)])]
-    spans = spark.createDataFrame(spans, "mix_group string, mix_phase int, b0 long, b1 long, share long, slot0 long")
-    slots = spark.createDataFrame(slots, "mix_group string, mix_phase int, k long, s long, r long, d long")
-    length = max(cycle, 4 * len(blocks))
-    placed = rows.join(firsts, ["mix_source", "mix_part"])
+    totals = counts.groupBy("mix_source").agg(F.ceil(F.sum("n") / block_rows).alias("blocks"))
+    steps = materialize(planned(totals, weights, power))
+    before = Window.partitionBy("mix_source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn("mix_first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     rank = F.col("mix_first") + F.col("mix_local")
+    placed = rows.join(firsts, ["mix_source", "mix_part"])
     placed = placed.withColumn("mix_block", F.floor(rank / block_rows)).withColumn("mix_place", (rank % block_rows).cast("int"))
-    spans = spans.withColumnRenamed("mix_group", "span_group")
-    placed = placed.join(F.broadcast(spans), (F.col("mix_group") == F.col("span_group")) & (F.col("mix_block") >= F.col("b0")) & (F.col("mix_block") < F.col("b1"))).drop("span_group")
-    j = F.col("mix_block") - F.col("b0")
-    placed = placed.withColumn("k", j % F.col("share")).withColumn("base", F.col("slot0") + F.floor(j / F.col("share")) * length)
-    placed = placed.join(F.broadcast(slots), ["mix_group", "mix_phase", "k"])
-    new = [(F.col("base") + F.col(c)).alias(name) for c, name in (("s", "mix_slot"), ("r", "mix_release"), ("d", "mix_deadline"))]
-    return placed.select(*(F.col(c) for c in df.columns), "mix_block", "mix_phase", *new, "mix_place")
+    placed = placed.join(steps, ["mix_source", "mix_block"])
+    return placed.select(*(F.col(c) for c in df.columns), "mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_place")
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
