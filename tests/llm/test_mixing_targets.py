@@ -42,3 +42,17 @@ def test_given_weights_are_shares_of_the_whole():
     assert [round(weights[s] / total, 9) for s in "abc"] == [0.5, round(1 / 3, 9), round(1 / 6, 9)]
     with pytest.raises(ValueError):
         mixing.targets({"a": 9, "b": 4}, {"a": 1.0}, 0.5)
+
+
+def test_every_source_has_its_own_blocks(spark):
+    rows = [(i, f"s{i % 400}") for i in range(4000)] + [(4000 + i, "big") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.plan(frame, block_rows=4, weights={"s399": 0.25}).collect()
+    assert sorted(r["doc_id"] for r in out) == [i for i, _ in rows]
+    slots = {}
+    for r in out:
+        assert r["release"] <= r["slot"] < r["deadline"]
+        slots.setdefault(r["slot"], set()).add((r["source"], r["block"]))
+    assert sorted(slots) == list(range(len(slots))) and all(len(x) == 1 for x in slots.values())
+    assert {s for x in slots.values() for s in x} == {(f"s{i}", b) for i in range(400) for b in range(3)} | {("big", b) for b in range(750)}
+    assert sorted(t for t, x in slots.items() if next(iter(x))[0] == "s399")[-1] < 12
