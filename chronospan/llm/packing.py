@@ -71,7 +71,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, te
         tail = end_id.to_bytes(4, "little")
         for rows in it:
             out = [[] for _ in range(6)]
-            for i, ids in enumerate(memo([x or "" for x in rows.column(1).to_pylist()])):
+            for i, ids in enumerate(memo(rows.column(1))):
                 ids += tail
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,65 +103,108 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 class IdMemo:
     """Ids of whole texts as little-endian uint32 bytes; words met before are looked up, new ones go to the tokenizer in batches.
 
-    Words are the parts between safe boundaries. A text in which a space touches other white space is encoded whole. At `most`
-    words a memo becomes the old one and a new one starts with what is used of it, so memory is bounded.
+    Words are the parts between the spaces that stand before something other than white space. Arrow splits a batch and numbers its
+    distinct words, so Python sees each of them once per batch; a `take` of their ids gives the ids of the texts. A space before other
+    white space is no boundary: the parts around it are one word. At `most` words a memo becomes the old one and a new one starts with
+    what is used of it, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.encode, self.safe = load(path)
         self.opens = opening(path) if self.safe else None
         self.most = most
         #: By what stands before a word, nothing or a space: the memo and the old one.
-        self.memos: dict[str, list[dict[str, bytes | None]]] = {"": [{}, {}], " ": [{}, {}]}
+        self.memos: dict[str, list[dict[str, bytes]]] = {"": [{}, {}], " ": [{}, {}]}
 
-    @staticmethod
-    def _unsafe(word: str) -> bool:
-        return not word or word[0].isspace() or word[-1].isspace()
-
-    def _memo(self, lead: str, words: set[str]) -> dict[str, bytes | None]:
-        """A memo that holds all of the words."""
+    def _memo(self, lead: str, words: list[str]) -> list[bytes]:
+        """The ids of each of the words behind `lead`."""
         now, old = self.memos[lead]
         if len(now) > self.most:
             self.memos[lead] = now, old = [{}, now]
-        new = words.difference(now)
+        new = set(words).difference(now)
         known = new.intersection(old)
         now.update((w, old[w]) for w in known)
         if len(new) > len(known):
             self._learn(now, new - known, lead)
-        return now
+        return [now[w] for w in words]
 
-    def _learn(self, memo: dict, words: set[str], lead: str) -> None:
+    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
         import numpy as np
 
-        memo.update(dict.fromkeys(words))
-        good = [w for w in words if not self._unsafe(w)]
-        blocks = [good[at : at + 2048] for at in range(0, len(good), 2048)]
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()] if lead else []
         # Words behind a space are encoded joined: the one token with a leading space opens each of them.
-        for block, ids in zip(blocks, self.encode(["".join(" " + w for w in x) for x in blocks]) if lead else blocks, strict=True):
-            if lead:
-                ids = np.asarray(ids, "<u4")
-                cuts = np.flatnonzero(self.opens[ids])
-                if len(cuts) == len(block):
-                    data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                    memo.update((w, data[a:b]) for w, a, b in zip(block, cuts, cuts[1:], strict=False))
-                    continue
-            for w, found in zip(block, self.encode([lead + w for w in block]), strict=True):
-                memo[w] = np.asarray(found, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(plain), 2048):
+            block = plain[at : at + 2048]
+            ids = np.asarray(self.encode(["".join(" " + w for w in block)])[0], "<u4")
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(block):
+                data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                memo.update((w, data[a:b]) for w, a, b in zip(block, cuts, cuts[1:], strict=False))
+        rest = [w for w in words if w not in memo]
+        for at in range(0, len(rest), 2048):
+            for w, ids in zip(rest[at : at + 2048], self.encode([lead + w for w in rest[at : at + 2048]]), strict=True):
+                memo[w] = np.asarray(ids, "<u4").tobytes()
+
+    def _joined(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of texts that are not null."""
+        import numpy as np
+
+        split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        glue = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        begins, n = ends[:-1], len(words)
+        data = self._memo(" ", [w for w, g in zip(words, glue, strict=True) if not g])
+        table, good = np.full(n, -1, np.int64), np.flatnonzero(~glue)
+        table[good] = np.arange(len(good))
+        place = table[index]
+        heads = [words[i] for i in index[begins]]
+        hung = glue[index]
+        hung[begins] = False
+        if hung.any():  # a run of parts that hang on the part before them is one word with it
+            keep = ~hung
+            runs = np.flatnonzero(np.diff(np.r_[False, hung, False]))
+            at_head = dict(zip(begins.tolist(), range(len(begins)), strict=True))
+            places, merged = [], []
+            for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
+                word = " ".join(words[i] for i in index[a - 1 : b])
+                if (head := at_head.get(a - 1)) is not None:
+                    heads[head] = word
+                else:
+                    places.append(a - 1)
+                    merged.append(word)
+            place[places] = len(data) + np.arange(len(places))
+            data += self._memo(" ", merged)
+        else:
+            keep = None
+        place[begins] = len(data) + np.arange(len(begins))
+        data += self._memo("", heads)
+        if keep is not None:
+            ends = np.r_[0, np.cumsum(keep)][ends]
+            place = place[keep]
+        taken = pa.array(data, pa.large_binary()).take(pa.array(place))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[ends].tolist()
+        whole = memoryview(taken.buffers()[2] or b"")
+        for a, b in zip(offsets, offsets[1:], strict=False):
+            yield bytes(whole[a:b])
+
+    def __call__(self, texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[bytes]:
+        """The ids of each text, in blocks of about most_bytes of text; none for null."""
         import numpy as np
 
-        for at in range(0, len(texts), 256):
-            block = texts[at : at + 256]
-            split = [t.split(" ") if self.safe and t else [] for t in block]
-            first, rest = {s[0] for s in split if s}, set().union(*(s[1:] for s in split))
-            heads, tails = self._memo("", {s[0] for s in split if s}), self._memo(" ", set().union(*(s[1:] for s in split)))
-            for t, s in zip(block, split, strict=True):
-                if not t:
-                    yield b""
-                    continue
-                found = [heads[s[0]], *map(tails.__getitem__, s[1:])] if s else [None]
-                yield np.asarray(self.encode([t])[0], "<u4").tobytes() if None in found else b"".join(found)
+        texts = texts.fill_null("")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes)))
+            block = texts.slice(at, to - at)
+            if self.safe:
+                yield from self._joined(block)
+            else:
+                for ids in self.encode(block.to_pylist()):
+                    yield np.asarray(ids, "<u4").tobytes()
+            at = to
 
 
 @lru_cache(maxsize=2)
