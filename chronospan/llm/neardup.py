@@ -7,19 +7,22 @@ which every pair of such texts within the bound shares (see segment_keys). Texts
 pair is a link if its aligned similarity, 1 - word edits / words of the longer text, is at least `similarity`; the alignment keeps to
 the diagonals which that bound leaves. Classes are the connected components of links.
 
-Equal word lists are one text from the start. In a bucket everyone is first aligned with the bucket's smallest id, so a group of n
-copies costs n alignments. Of the pairs that this leaves in different classes every one is decided: in buckets up to `crowd` members
-they are joined, in larger ones compared block by block, where bounds from word counts, which lose no link, come before the alignment.
+Equal word lists are one text from the start; a text is named by one of its rows (uid), never by its id, which may repeat. In a bucket
+every text is first aligned with the bucket's smallest uid, so a group of n copies costs n alignments. Of the pairs that this leaves in
+different classes every one is decided: in buckets up to `crowd` members they are joined, in larger ones compared block by block, where
+bounds from word counts, which lose no link, come before the alignment. Links shrink to a forest inside each task before they meet.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,56 +38,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """32-bit hashes of the words of a text; the memo is emptied at `most` words."""
+class WordHashes(dict):
+    """32-bit hashes of words, each computed once; the memo is emptied at `most` words."""
 
     def __init__(self, most: int = 300_000):
-        self.memo: dict[str, int] = {}
+        super().__init__()
         self.most = most
 
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxhash.xxh32_intdigest(word)
+        return found
+
     def __call__(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh32_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint32, len(words))
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+
+
+LOW = np.uint64((1 << 28) - 1)  # bits of a shingle's place beside its rank in a band's order
 
 
-def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the occurrence-labelled k-word shingles in text order; a shorter text is one shingle."""
+def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the occurrence-labelled k-word shingles of texts of k words or more, in text order, and where each text begins.
+
+    hashes: the word hashes of all texts, one after another; counts: words of each.
+    """
     h = _mix(hashes.astype(np.uint64) + np.uint64(1))
-    n = max(1, len(h) - k + 1)
+    n = max(0, len(h) - k + 1)
     out = np.zeros(n, np.uint64)
-    for j in range(min(k, len(h))):
+    for j in range(k):
         out = _mix(out ^ h[j : j + n])
-    order = np.argsort(out, kind="stable")
-    same = np.r_[False, out[order][1:] == out[order][:-1]]
+    own = counts - k + 1
+    ends = np.cumsum(own)
+    starts, text = ends - own, np.repeat(np.arange(len(own), dtype=np.uint64), own)
+    out = out[np.arange(ends[-1]) + np.repeat((np.cumsum(counts) - counts) - starts, own)]
+    alone = _mix(out + text * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(alone, kind="stable")
+    same = np.r_[False, alone[order][1:] == alone[order][:-1]]
     if same.any():
-        place = np.arange(n)
-        label = np.empty(n, np.uint64)
+        place = np.arange(len(out))
+        label = np.empty(len(out), np.uint64)
         label[order] = place - np.maximum.accumulate(np.where(same, 0, place))
-        out = _mix(out + label * np.uint64(0xD6E8FEB86659FD93))
-    return out
+        out = _mix(out + label * np.uint64(0xA0761D6478BD642F))
+    return out, starts
 
 
-def order_minhash(grams: np.ndarray, bands: int, per_band: int, seed: int = 0) -> np.ndarray:
-    """One bucket per band: the hash of its smallest shingles, in text order."""
+def order_minhash(grams: np.ndarray, starts: np.ndarray, bands: int, per_band: int, seed: int = 0) -> np.ndarray:
+    """A row per text, a bucket per band: the hash of its smallest shingles, in text order. Texts need per_band shingles at least."""
     rng = np.random.default_rng(seed + 1)
     odd, salt = rng.integers(0, 2**63, bands, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, bands, np.uint64)
-    out, n = np.empty(bands, np.uint64), len(grams)
-    rows = max(1, min(bands, 400_000 // n))
-    for a in range(0, bands, rows):
-        b = min(bands, a + rows)
-        x = (grams[None, :] ^ salt[a:b, None]) * odd[a:b, None]
-        x ^= x >> np.uint64(29)
-        x *= MIX
-        at = np.argpartition(x, per_band - 1, axis=1)[:, :per_band] if n > per_band else np.broadcast_to(np.arange(n), (b - a, n))
-        chosen = grams[np.sort(at, axis=1)]
-        key = np.arange(a, b, dtype=np.uint64) + np.uint64(1000003 * (seed + 1))
-        for j in range(chosen.shape[1]):
-            key = _mix(key ^ chosen[:, j]) + np.uint64(j)
-        out[a:b] = key
+    place = np.arange(len(grams), dtype=np.uint64) - np.repeat(starts, np.diff(np.r_[starts, len(grams)])).astype(np.uint64)
+    out, x, at = np.empty((len(starts), bands), np.uint64), np.empty_like(grams), np.empty((per_band, len(starts)), np.int64)
+    for band in range(bands):
+        np.bitwise_xor(grams, salt[band], out=x)
+        np.multiply(x, odd[band], out=x)
+        np.bitwise_and(x, ~LOW, out=x)
+        np.bitwise_or(x, place, out=x)
+        for i in range(per_band):
+            at[i] = starts + (np.minimum.reduceat(x, starts) & LOW).astype(np.int64)
+            x[at[i]] = np.uint64(2**64 - 1)
+        chosen = grams[np.sort(at, axis=0)]
+        key = np.full(len(starts), band + 1000003 * (seed + 1), np.uint64)
+        for j in range(per_band):
+            key = _mix(key ^ chosen[j]) + np.uint64(j)
+        out[:, band] = key
     return out
 
 
@@ -119,38 +136,75 @@ def segment_keys(hashes: np.ndarray, similarity: float, short: int) -> np.ndarra
     return np.fromiter(out, np.uint64, len(out))
 
 
-def buckets_of(hashes: np.ndarray, similarity: float, k: int, bands: int, per_band: int, short: int) -> np.ndarray:
-    """All buckets of a text; texts that may be near one longer than `short` have bands whatever their own length."""
-    n, found = len(hashes), []
-    if n <= short:
-        found.append(segment_keys(hashes, similarity, short))
-    if n >= short + 1 - most_edits(short + 1, similarity):
-        found.append(order_minhash(shingles(hashes, k), bands, per_band))
-    return np.concatenate(found).astype(np.int64)
+def buckets_of(lists: list[np.ndarray], similarity: float, k: int, bands: int, per_band: int, short: int) -> list[np.ndarray]:
+    """All buckets of each text; texts that may be near one longer than `short` have bands whatever their own length."""
+    found = [segment_keys(h, similarity, short).astype(np.int64) if 0 < len(h) <= short else np.zeros(0, np.int64) for h in lists]
+    least = max(k + per_band - 1, short + 1 - most_edits(short + 1, similarity))
+    long = [i for i, h in enumerate(lists) if len(h) >= least]
+    if long:
+        grams, starts = shingles(np.concatenate([lists[i] for i in long]), np.array([len(lists[i]) for i in long]), k)
+        for i, row in zip(long, order_minhash(grams, starts, bands, per_band).astype(np.int64), strict=True):
+            found[i] = np.concatenate([found[i], row]) if len(found[i]) else row
+    return found
+
+
+class Places:
+    """Where the elements of a list stand, as bit masks over a part of it; memory grows with the list, not with its square."""
+
+    def __init__(self, a: list[int], often: int = 256):
+        self.at: dict[int, list[int]] = {}
+        self.masks: dict[int, int] = {}
+        if len(a) <= 4096:
+            for i, x in enumerate(a):
+                self.masks[x] = self.masks.get(x, 0) | 1 << i
+            return
+        for i, x in enumerate(a):
+            self.at.setdefault(x, []).append(i)
+        for x in sorted((x for x, places in self.at.items() if len(places) > 16), key=lambda x: -len(self.at[x]))[:often]:
+            bits = np.zeros(len(a), bool)
+            bits[self.at[x]] = True
+            self.masks[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def mask(self, x: int, low: int, width: int) -> int:
+        """Bit i is set where x stands at low + i, for i below width."""
+        if x in self.masks:
+            m = self.masks[x]
+            return (m >> low if low >= 0 else m << -low) & ((1 << width) - 1)
+        found = 0
+        places = self.at.get(x, ())
+        for p in places[bisect_left(places, low) :]:
+            if p >= low + width:
+                break
+            found |= 1 << (p - low)
+        return found
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int | None:
     """Edit distance if it is at most `most`, else None; only cells within `most` of the diagonal are computed.
 
-    The column of a band is held in the bits of an integer (vertical differences), one step per element of b.
+    The column of a band is held in the bits of an integer (vertical differences), one step per element of b. Wide bands are tried
+    narrow first.
     """
     m, n = len(a), len(b)
     if abs(m - n) > most:
         return None
     if not m or not n:
         return max(m, n)
-    width = 2 * most + 1
+    places = Places(a)
+    for width in (*(w for w in (64, 512, 4096) if abs(m - n) <= w < most // 2), most):
+        found = _in_band(places, m, b, width)
+        if found is not None:
+            return found
+    return None
+
+
+def _in_band(places: Places, m: int, b: list[int], most: int) -> int | None:
+    n, width = len(b), 2 * most + 1
     mask, bottom = (1 << width) - 1, 1 << (2 * most)
-    where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
     plus, minus = mask >> most << most, 0
     distance = min(most, m)
-    get = where.get
     for j, x in enumerate(b):
-        match = get(x, 0)
-        if match:
-            match = (match >> (j - most) if j > most else match << (most - j)) & mask
+        match = places.mask(x, j - most, width)
         diagonal = ((((match & plus) + plus) ^ plus) | match | minus) & mask
         up = minus | (mask & ~(diagonal | plus))
         down = diagonal & plus
@@ -195,89 +249,125 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return banded_distance(x.tolist(), y.tolist(), most) is not None
 
 
-def sketched(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int, bands: int, per_band: int, short: int) -> DataFrame:
+def sketched(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int, bands: int, per_band: int, short: int, block: int = 1 << 20) -> DataFrame:
+    """(row, id, key, words, sketch) of rows with an id and a text; key tells word lists apart, row rows. Texts go in blocks of `block` characters."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, row = WordHashes(), TaskContext.get().partitionId() << 33
         for rows in it:
-            for at in range(0, rows.num_rows, 500):  # word lists and samples of few texts at once
-                part = rows.slice(at, 500)
-                keys, lists, sketches = [], [], []
+            sizes = np.cumsum(rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < rows.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + block)))
+                part = rows.slice(at, to - at)
+                keys, lists = [], []
                 for t in part.column(1).to_pylist():
-                    words = WORD.findall((t or "").lower())
-                    h = hashes(words)
-                    keys.append(xxhash.xxh128_digest(" ".join(words)) if words else b"\0" + xxhash.xxh128_digest(t or ""))
-                    lists.append(h.tobytes())
-                    sketches.append(buckets_of(h, similarity, k, bands, per_band, short) if words else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "key", "words", "sketch"])
+                    words = WORD.findall(t.lower())
+                    keys.append(xxhash.xxh128_digest(" ".join(words)) if words else b"\0" + xxhash.xxh128_digest(t))
+                    lists.append(hashes(words))
+                sketches = buckets_of(lists, similarity, k, bands, per_band, short)
+                ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row + at, row + to)), part.column(0), pa.array(keys, pa.binary()), pa.array([h.tobytes() for h in lists], pa.binary()), made], names=["row", "id", "key", "words", "sketch"])
+                at = to
+            row += rows.num_rows
+
+    thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").withColumn("size", F.length("text"))
+    return thin.mapInArrow(run, f"row long, id {df.schema[id_col].dataType.simpleString()}, key binary, words binary, sketch array<long>")
 
-    thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return thin.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, key binary, words binary, sketch array<long>")
 
+def verified(pairs: DataFrame, words: DataFrame, similarity: float, share: int = 256) -> DataFrame:
+    """The pairs (a, b) whose word lists align, shrunk to a forest in each task; words: (id, words).
 
-def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose word lists align; words: (id, words)."""
+    A text with many partners is sent to a task per `share` of them.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in it:
-            x, y = rows.column(2), rows.column(3)
-            good = [similar(np.frombuffer(x[i].as_buffer(), np.uint32), np.frombuffer(y[i].as_buffer(), np.uint32), similarity) for i in range(rows.num_rows)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        def good() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for rows in it:
+                x, y = rows.column(2), rows.column(3)
+                hit = np.array([similar(np.frombuffer(x[i].as_buffer(), np.uint32), np.frombuffer(y[i].as_buffer(), np.uint32), similarity) for i in range(rows.num_rows)], bool)
+                yield rows.column(0).to_numpy()[hit], rows.column(1).to_numpy()[hit]
+
+        yield from forest(good())
+
+    pairs = materialize(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("n") / share + 1).cast("int")))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    words = materialize(words.join(used, "id", "left_semi"))
+    right = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    left = pairs.select("a", "part").distinct().join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+    return right.join(left, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def forest(edges: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b), a > b, that connect what the given ones do: every vertex with the smallest of its component among `most` vertices."""
+    top: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := top.setdefault(v, v)) != v:
+            top[v] = v = top[up]
+        return v
+
+    def flush() -> pa.RecordBatch:
+        found = [(v, find(v)) for v in list(top)]
+        a, b = [v for v, r in found if v != r], [r for v, r in found if v != r]
+        top.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for some, others in edges:
+        for x, y in zip(some.tolist(), others.tolist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+        if len(top) > most:
+            yield flush()
+    yield flush()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from forest((rows.column(0).to_numpy(), rows.column(1).to_numpy()) for rows in it)
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    left, right = words.select(F.col("id").alias("a"), F.col("words").alias("x")), words.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label) of every vertex of the edges (a, b): label is the smallest id of its component, by large-star and small-star steps."""
-    edges, before = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    """(id, label) of every vertex of the edges (a, b), a > b, but the smallest of each component: label is that smallest one.
+
+    Per round every edge moves to the smallest neighbour of its lower end, then the edges of a task's vertices shrink to a forest.
+    """
     while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = materialize(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
-        before = now
-
-
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several classes: bucket, id, label and the bucket's members and least and greatest class."""
-    own = _labelled(buckets, labels)
-    sizes = own.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest")
-    return own.join(sizes, "bucket")
-
-
-def _star(buckets: DataFrame) -> DataFrame:
-    leaders = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return buckets.join(leaders, "bucket").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-
-def links(distinct: DataFrame, similarity: float, crowd: int, block: int) -> DataFrame:
-    """Verified links (a, b) between different texts that connect every class; distinct: (id, words, sketch)."""
-    words = distinct.select("id", "words")
-    buckets = materialize(distinct.select("id", F.explode("sketch").alias("bucket")))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = materialize(buckets.join(shared, "bucket"))
-    found = materialize(verified(_star(buckets), words, similarity))
-    labels = components(found)
-    left = materialize(_open(buckets, labels))
-    if left.isEmpty():
-        return found
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), (F.count("*") > 1).alias("twice")).withColumnRenamed("a", "v")
+        moved = edges.join(least, F.col("b") == F.col("v"), "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        twice = least.filter("twice").select(F.col("v").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+        now = materialize(moved.union(twice))
+        if now.filter("moved").isEmpty():
+            return now.select(F.col("a").alias("id"), F.col("b").alias("label"))
+        edges = materialize(contracted(now.repartition("a")))
+
+
+def links(texts: DataFrame, similarity: float, crowd: int, block: int) -> DataFrame:
+    """(id, label) of the texts that are not the smallest of their class; texts: (id, words, sketch)."""
+    words = texts.select("id", "words")
+    spread = texts.select("id", F.explode("sketch").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("a")).filter("members > 1")
+    buckets = materialize(spread.join(shared, "bucket"))
+    star = buckets.filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("members").alias("n"))
+    labels = components(materialize(verified(star, words, similarity)))
+    own = buckets.filter("members > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_ = own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
+    left = materialize(own.join(open_, "bucket", "left_semi").filter("id <> a"))  # each was aligned with its bucket's smallest already
     few = left.filter(F.col("members") <= crowd).select("bucket", "id", "label")
     other = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("other"))
     pairs = few.join(other, "bucket").filter("id < b and label <> other").select(F.col("id").alias("a"), "b")
     many = left.filter(F.col("members") > crowd)
     if not many.isEmpty():
         pairs = pairs.union(_crowded(many, words, similarity, block))
-    return found.union(materialize(verified(materialize(pairs.distinct()), words, similarity)))
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.lit(crowd).alias("n")))
+    if pairs.isEmpty():
+        return labels
+    more = verified(pairs, words, similarity)
+    return components(materialize(contracted(more.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))))
 
 
 def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, bins: int = 64) -> DataFrame:
@@ -286,8 +376,6 @@ def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, b
     left: as from _open. Members are dealt into blocks of about `block`, and a task compares two blocks of a bucket. An edit changes at
     most two counts of words, hence at most two of their sums over `bins` groups of words, and one of them where lengths change.
     """
-    kind = left.schema["id"].dataType.simpleString()
-
     def profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in it:
             made = [np.minimum(np.bincount(np.frombuffer(w.as_buffer(), np.uint32) % bins, minlength=bins), 255).astype(np.uint8).tobytes() for w in rows.column(1)]
@@ -317,41 +405,54 @@ def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, b
         return pa.table({"x": x, "y": y})
 
     ids = left.select("id").distinct()
-    made = words.join(ids, "id", "left_semi").select("id", "words").mapInArrow(profile, f"id {kind}, n int, counts binary")
+    made = words.join(ids, "id", "left_semi").select("id", "words").mapInArrow(profile, "id long, n int, counts binary")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")
     dealt = left.withColumn("blocks", blocks).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "id", "label")
-    met = dealt.join(made, "id").groupBy("bucket", "i", "j").applyInArrow(compare, f"x {kind}, y {kind}")
+    met = dealt.join(made, "id").groupBy("bucket", "i", "j").applyInArrow(compare, "x long, y long")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _classed(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int, bands: int, per_band: int, short: int, crowd: int, block: int) -> DataFrame:
+    """(row, id, label, class_id) of rows with an id and a text; label names the class, class_id is its smallest id."""
+    made = materialize(sketched(df, id_col, text_col, similarity, k, bands, per_band, short))
+    firsts = materialize(made.groupBy("key").agg(F.min("row").alias("uid"), F.min("id").alias("first")))
+    texts = made.select(F.col("row").alias("id"), "words", "sketch").join(firsts.select(F.col("uid").alias("id")), "id", "left_semi")
+    labels = links(texts, similarity, crowd, block).withColumnRenamed("id", "uid")
+    of_text = firsts.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    smallest = of_text.groupBy("label").agg(F.min("first").alias("class_id"))
+    return made.select("row", "id", "key").join(of_text.join(smallest, "label").select("key", "label", "class_id"), "key").drop("key")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24, block: int = 1024) -> DataFrame:
     """One row per row of df with a non-null id: id and class_id, the smallest id of its class of exact and near copies.
 
-    Texts without a word form a class with texts equal to them; a null text is alone in its class; repeated rows share their id's
-    class; rows with a null id come back with a null class_id; an empty table gives an empty result; other columns are ignored.
+    Texts without a word form a class with texts equal to them; a null text is alone in its class; repeated rows share their class, and
+    rows of one id with different texts have the classes of their texts; rows with a null id come back with a null class_id; texts of
+    any length are compared whole; an empty table gives an empty result; other columns are ignored.
     """
-    made = materialize(sketched(df, id_col, text_col, similarity, k, bands, per_band, short))
-    kind = made.schema["id"].dataType.simpleString()
-    docs = made.select("id", "key")
-    firsts = materialize(docs.groupBy("key").agg(F.min("id").alias("first")))
-    ids = firsts.select(F.col("first").alias("id")).distinct()  # one id with several texts stands for the first of them
-    distinct = materialize(made.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "words", "sketch"))
-    labels = components(links(distinct, similarity, crowd, block))
-    of_key = firsts.join(labels.withColumnRenamed("id", "first"), "first", "left").select("key", F.coalesce("label", "first").alias("class_id"))
-    known = docs.join(of_key, "key").select("id", "class_id")
+    known = _classed(df, id_col, text_col, similarity, k, bands, per_band, short, crowd, block).select("id", "class_id")
     rest = df.filter(F.col(id_col).isNull() | F.col(text_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"))
-    return known.union(rest.select(F.col("id").cast(kind), F.col("class_id").cast(kind))).withColumnRenamed("id", id_col)
+    return known.union(rest).withColumnRenamed("id", id_col)
+
 
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24, block: int = 1024) -> DataFrame:
+    """The rows of df without further copies: of each class one row of its smallest id stays; columns as they were.
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df without further copies: of each class the row with the smallest id stays, once; rows with a null id stay."""
+    Rows with a null id or text stay, the latter once per id. Empty and very long texts are texts like others. An id with several texts
+    keeps one row for each class that it is the first of. An empty table gives an empty result.
+    """
     names = df.columns
     safe = df.toDF(*(f"c{i}" for i in range(len(names))))
-    key = f"c{names.index(id_col)}"
-    found = classes(safe, key, f"c{names.index(text_col)}", **options)
-    first = found.filter(F.col("class_id") == F.col(key)).select(F.col(key)).distinct()
-    kept = safe.join(first, key, "left_semi").dropDuplicates([key]).select(safe.columns)
-    return kept.union(safe.filter(F.col(key).isNull())).toDF(*names)
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    safe = safe.withColumn("digest", F.md5(F.col(text).cast("binary")))
+    # A row is known by its id and its text's digest, so that reading df twice needs no stable order.
+    marked = safe.select(F.struct(key, "digest").alias("mark"), text).filter(F.col(f"mark.{key}").isNotNull() & F.col(text).isNotNull())
+    found = _classed(marked, "mark", text, similarity, k, bands, per_band, short, crowd, block)
+    first = found.groupBy("label").agg(F.min("id").alias("m")).select(F.col(f"m.{key}").alias("key"), "m.digest")
+    with_text = safe.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).join(first, (F.col(key) == first["key"]) & (safe["digest"] == first["digest"]), "left_semi")
+    no_text = safe.filter(F.col(key).isNotNull() & F.col(text).isNull())
+    kept = with_text.dropDuplicates([key, "digest"]).union(no_text.dropDuplicates([key])).union(safe.filter(F.col(key).isNull()))
+    return kept.drop("digest").toDF(*names)
