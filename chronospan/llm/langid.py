@@ -4,8 +4,8 @@ A word's score for a language is the sum of learned weights of its affixes, char
 transitions join neighbouring words, so switches of language inside a text cost what they cost in training. Forward-backward gives
 each word its language probabilities; a text's language is the one with the largest mean, and that mean is its score.
 
-Everything is array arithmetic over the code points of a batch of texts. All words of a batch form one chain with restarts;
-forward-backward runs over it in blocks of about the square root of its length, all blocks side by side.
+Everything is array arithmetic over the code points of a batch of texts. Forward-backward runs over the texts of a batch side by side,
+long ones in parts; its memory is linear in the words and in the languages.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,54 +100,75 @@ class Model:
         return out + np.add.reduceat(gram, w.first, axis=0) / w.lengths[:, None].astype(np.float32) * 2
 
 
-def _chain(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Row vectors v_t = v_{t-1} @ steps[t], each scaled to sum 1, from v_{-1} = start; blocks side by side."""
-    n, k = len(steps), steps.shape[1]
-    size = max(1, int(np.sqrt(n)))
-    blocks = -(-n // size)
-    pad = np.broadcast_to(np.eye(k, dtype=steps.dtype), (blocks * size - n, k, k))
-    grid = np.concatenate([steps, pad]).reshape(blocks, size, k, k)
-    product = grid[:, 0].copy()
-    for t in range(1, size):
-        product = product @ grid[:, t]
-        product /= product.max(axis=(1, 2), keepdims=True)
-    heads = np.empty((blocks, k), steps.dtype)
-    v = start
-    for b in range(blocks):
-        heads[b] = v
-        v = v @ product[b]
-        v = v / v.sum()
-    out = np.empty((blocks, size, k), steps.dtype)
-    v = heads
-    for t in range(size):
-        v = np.einsum("bi,bij->bj", v, grid[:, t])
-        v = v / v.sum(axis=1, keepdims=True)
-        out[:, t] = v
-    return out.reshape(-1, k)[:n]
+def _messages(emit: np.ndarray, begins: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray, size: int | None = None) -> np.ndarray:
+    """Row vectors v_t = (v_{t-1} @ trans) * emit[t], scaled now and then, over chains side by side; a chain begins with first * emit.
+
+    Chains longer than `size` are cut: what an inner part does to any vector is a matrix, which gives every part the vector before it.
+    Memory: a vector per step and a matrix per inner part.
+    """
+    k = emit.shape[1]
+    size = size or (64 if k <= 16 else 512)  # a matrix costs k vectors
+    parts = -(-lengths // size)
+    chain = np.repeat(np.arange(len(begins)), parts)
+    nr = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = begins[chain] + nr * size
+    length = np.minimum(size, lengths[chain] - nr * size)
+
+    def sweep(rows: np.ndarray, v: np.ndarray, out: np.ndarray | None) -> np.ndarray:
+        order = np.argsort(-length[rows], kind="stable")
+        rows, v = rows[order], v[order]
+        top, own, at = nr[rows] == 0, length[rows], start[rows]
+        longest = int(own.max(initial=0))
+        going = np.searchsorted(-own, -np.arange(longest), side="left").tolist()  # parts with more than t steps
+        for t, n in enumerate(going):
+            e, now = emit[at[:n] + t], v[:n]
+            now[:] = (now.reshape(-1, k) @ trans).reshape(now.shape)
+            if t == 0:
+                now[top[:n]] = first
+            now *= e.reshape((n,) + (1,) * (v.ndim - 2) + (k,))
+            if out is not None:
+                out[at[:n] + t] = now
+            if t % 4 == 3 or t == longest - 1:
+                now /= now.reshape(n, -1).max(axis=1).reshape((n,) + (1,) * (v.ndim - 1))
+        back = np.empty_like(v)
+        back[order] = v
+        return back
+
+    heads = np.full((len(chain), k), 1.0 / k)
+    more = np.flatnonzero((nr == 0) & (parts[chain] > 1))
+    if len(more):
+        heads[more + 1] = sweep(more, heads[more], None)
+        inner = np.flatnonzero((nr > 0) & (nr < parts[chain] - 1))
+        does = sweep(inner, np.broadcast_to(np.eye(k), (len(inner), k, k)).copy(), None)
+        for i, m in zip(inner.tolist(), does, strict=True):
+            v = heads[i] @ m
+            heads[i + 1] = v / v.sum()
+    out = np.empty_like(emit)
+    sweep(np.arange(len(chain)), heads, out)
+    return out
 
 
 def marginals(model: Model, w: Words, scores: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """(language probabilities of every word, expected transitions summed over the chain's inner steps if asked for)."""
-    k = len(model.languages)
     emit = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
     trans, first = np.exp(model.trans.astype(np.float64)), np.exp(model.first.astype(np.float64))
-    steps = np.where(w.restart[:, None, None], first[None, None, :], trans[None]) * emit[:, None, :]
-    forward = _chain(steps, np.full(k, 1 / k))
-    # Backward: b_t = steps'[t+1] @ b_{t+1}; across a restart b starts again from ones.
-    later = np.where(w.restart[1:, None, None], 1.0, (trans[None] * emit[1:, None, :]).transpose(0, 2, 1))[::-1]
-    backward = np.concatenate([_chain(later, np.full(k, 1 / k))[::-1], np.full((1, k), 1 / k)]) if w.count > 1 else np.full((1, k), 1 / k)
-    node = forward * backward
+    begins = np.flatnonzero(w.restart)
+    lengths = np.diff(np.r_[begins, w.count])
+    forward = _messages(emit, begins, lengths, trans, first)
+    # From the end the chains run the same way: emissions times what the later words say.
+    backward = _messages(emit[::-1], (w.count - begins - lengths)[::-1], lengths[::-1], trans.T, np.ones(len(first)))[::-1]
+    node = forward * backward / emit
     node /= node.sum(axis=1, keepdims=True)
     if not pairs:
         return node, None
     inner = np.flatnonzero(~w.restart)
-    pair = forward[inner - 1][:, :, None] * trans[None] * (emit[inner] * backward[inner])[:, None, :]
-    pair /= pair.sum(axis=(1, 2), keepdims=True)
-    return node, pair.sum(axis=0)
+    before, here = forward[inner - 1], backward[inner]
+    total = ((before @ trans) * here).sum(axis=1, keepdims=True)
+    return node, trans * ((before / total).T @ here)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 5, batch: int = 64, rate: float = 0.3, seed: int = 7) -> Model | None:
-    """Fits the field by AdaGrad on the log-likelihood of word labels.
+def train(texts: list[str], langs: list[str], epochs: int = 5, batch: int = 64, rate: float = 0.3, seed: int = 7, batch_chars: int = 400_000) -> Model | None:
+    """Fits the field by AdaGrad on the log-likelihood of word labels, up to `batch` texts or about `batch_chars` characters a step.
 
     Half of the chains keep one text; in the others sentences of different texts alternate, which teaches switches.
     """
@@ -156,23 +177,38 @@ def train(texts: list[str], langs: list[str], epochs: int = 5, batch: int = 64,
         return None
     rng = random.Random(seed)
     column = {x: i for i, x in enumerate(languages)}
-    every = Words(texts)
-    keys, counts = np.unique(every.key, return_counts=True)
-    model = Model(languages, keys[counts >= 3])
+    seen: dict[int, int] = {}
+    for at in range(0, len(texts), batch):
+        for key, n in zip(*(x.tolist() for x in np.unique(Words(texts[at : at + batch]).key, return_counts=True)), strict=True):
+            seen[key] = seen.get(key, 0) + n
+    model = Model(languages, np.array(sorted(key for key, n in seen.items() if n >= 3), np.uint64))
     n = len(languages)
-    sums = {name: np.full_like(getattr(model, name), 1e-6) for name in ("grams", "affixes", "words", "trans", "first")}
+    tables = {"grams0": model.grams[0], "grams1": model.grams[1], "affixes": model.affixes, "words": model.words, "trans": model.trans, "first": model.first[None]}
+    sums = {name: np.full_like(table, 1e-6) for name, table in tables.items()}
+
+    def step(name: str, index: np.ndarray, gradient: np.ndarray, scale: float) -> None:
+        """Moves the touched rows of a table."""
+        touched = np.bincount(index, minlength=len(tables[name])) > 0
+        rows, at = np.flatnonzero(touched), (np.cumsum(touched) - 1)[index]
+        g = np.stack([np.bincount(at, weights=gradient[:, j], minlength=len(rows)) for j in range(n)], axis=1)
+        g = (g * scale - 1e-4 * tables[name][rows]).astype(np.float32)
+        sums[name][rows] += g * g
+        tables[name][rows] += rate * g / np.sqrt(sums[name][rows])
+
     sentences = [[(s, column[x]) for s in t.split("\n") if s] for t, x in zip(texts, langs, strict=True)]
     everything = [s for t in sentences for s in t]
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = list(range(len(texts)))
         rng.shuffle(order)
-        for at in range(0, len(order), batch):
-            chains = []
-            for i in order[at : at + batch]:
+        while order:
+            chains, size = [], 0
+            while order and len(chains) < batch and size < batch_chars:
+                i = order.pop()
                 if rng.random() < 0.5 or len(everything) < 4:
                     chains.append(sentences[i])
                 else:
                     chains.append([s for own in sentences[i] for s in ([own, rng.choice(everything)] if rng.random() < 0.3 else [own])])
+                size += sum(len(s) for s, _ in chains[-1])
             parts = [(s, y, c) for c, chain in enumerate(chains) for s, y in chain]
             w = Words([s for s, _, _ in parts])
             if not w.count:
@@ -183,96 +219,161 @@ def train(texts: list[str], langs: list[str], epochs: int = 5, batch: int = 64,
             node, pair = marginals(model, w, model.scores(w))
             miss = -node
             miss[np.arange(w.count), gold] += 1.0  # the gradient at every word
-            seen = np.zeros((n, n))
+            moves = np.zeros((n, n))
             inner = np.flatnonzero(~w.restart)
-            np.add.at(seen, (gold[inner - 1], gold[inner]), 1.0)
+            np.add.at(moves, (gold[inner - 1], gold[inner]), 1.0)
             scale = 1.0 / len(chains)
             spread = np.repeat(miss / w.lengths[:, None] * 2, w.lengths, axis=0)
-            by = lambda index, g, size: np.stack([np.bincount(index, weights=g[:, j], minlength=size) for j in range(n)], axis=1)
-            steps = {
-                "grams": np.stack([by(w.grams[g], spread, 1 << BITS) for g in range(2)]),
-                "affixes": sum(by(x, miss, 1 << BITS) for x in w.affixes),
-                "words": by(model.entry(w), miss, len(model.words)),
-                "trans": seen - pair,
-                "first": miss[w.restart].sum(axis=0),
-            }
-            for name, g in steps.items():
-                weights = getattr(model, name)
-                g = (g * scale - 1e-4 * weights).astype(np.float32)
-                sums[name] += g * g
-                weights += rate * g / np.sqrt(sums[name])
+            entries = model.entry(w)
+            for g in range(2):
+                step(f"grams{g}", w.grams[g], spread, scale)
+            step("affixes", np.concatenate(w.affixes), np.concatenate([miss] * len(w.affixes)), scale)
+            step("words", entries, miss, scale)
+            step("trans", np.arange(n), moves - pair, scale)
+            step("first", np.zeros(int(w.restart.sum()), np.int64), miss[w.restart], scale)
     return model
 
 
-def predict(model: Model | None, texts: list[str]) -> list[tuple[str, float]]:
-    """(language, score) of each text; ('und', 0.0) without a letter or a model."""
-    out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+class Labels:
+    """What the field says of one text: language and score, words per language, switches between neighbouring words, runs of words."""
+
+    __slots__ = ("lang", "score", "counts", "switches", "runs")
+
+    def __init__(self):
+        self.lang, self.score, self.counts, self.switches, self.runs = "und", 0.0, "", 0, []
+
+
+def predict(model: Model | None, texts: list[str], runs: bool = False, most_chars: int = 200_000) -> list[Labels]:
+    """Labels of each text; 'und' and 0 without a letter or a model. About most_chars characters at once bound the memory; a longer
+    text is labelled in windows that end between words, each the context of its own words alone."""
+    out = [Labels() for _ in texts]
     if model is None:
         return out
+    sums: dict[int, np.ndarray] = {}
+    seen: dict[int, np.ndarray] = {}
+    last: dict[int, int] = {}
+    todo = [(i, a, b) for i, t in enumerate(texts) for a, b in _windows(t, most_chars)]
     at = 0
-    while at < len(texts):  # a few hundred thousand characters at once bound the memory
+    while at < len(todo):
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) < 200_000):
-            size += len(texts[to])
+        while to < len(todo) and (to == at or size + todo[to][2] - todo[to][1] < most_chars):
+            size += todo[to][2] - todo[to][1]
             to += 1
-        w = Words(texts[at:to])
+        w = Words([texts[i][a:b] for i, a, b in todo[at:to]])
         if w.count:
-            node, _ = marginals(model, w, model.scores(w), pairs=False)
-            begin = np.flatnonzero(w.restart)
-            total = np.add.reduceat(node * w.lengths[:, None], begin, axis=0) / np.add.reduceat(w.lengths, begin)[:, None]
-            for t, best, row in zip(w.text[begin], total.argmax(axis=1), total, strict=True):
-                out[at + int(t)] = (model.languages[best], float(min(1.0, row[best])))
+            _read(model, w, todo[at:to], sums, seen, last, out, runs)
         at = to
+    for i, total in sums.items():
+        found, best = out[i], int(total[:-1].argmax())
+        found.lang, found.score = model.languages[best], float(min(1.0, total[best] / total[-1]))
+        found.counts = ",".join(f"{model.languages[j]}:{n}" for j, n in sorted(enumerate(seen[i].tolist()), key=lambda x: (-x[1], x[0])) if n)
     return out
 
 
+def _windows(text: str, size: int) -> list[tuple[int, int]]:
+    """Parts of a text of at most about `size` characters, cut where no word is."""
+    cuts = [0]
+    while len(text) - cuts[-1] > size:
+        cut = cuts[-1] + size
+        while cut < len(text) and cut - cuts[-1] < 2 * size and text[cut - 1].isalpha() and text[cut].isalpha():
+            cut += 1
+        cuts.append(cut)
+    return list(zip(cuts, [*cuts[1:], len(text)], strict=True))
+
+
+def _read(model: Model, w: Words, windows: list[tuple[int, int, int]], sums: dict, seen: dict, last: dict, out: list[Labels], runs: bool) -> None:
+    node, _ = marginals(model, w, model.scores(w), pairs=False)
+    begin = np.flatnonzero(w.restart)
+    label = node.argmax(axis=1)
+    weighed = np.add.reduceat(np.concatenate([node * w.lengths[:, None], w.lengths[:, None].astype(float)], axis=1), begin, axis=0)
+    turned = np.r_[False, label[1:] != label[:-1]]
+    turned[begin] = False
+    turns = np.add.reduceat(turned.astype(np.int64), begin)
+    k, ends = len(model.languages), np.r_[begin[1:], w.count]
+    of = np.repeat(np.arange(len(begin)), ends - begin)
+    per = np.bincount(of * k + label, minlength=len(begin) * k).reshape(-1, k)
+    base = np.cumsum([0, *(b - a + 2 for _, a, b in windows)]) + 2  # where each window's text begins among the characters
+    for x, (s, e) in enumerate(zip(begin.tolist(), ends.tolist(), strict=True)):
+        i, a, _ = windows[int(w.text[s])]
+        sums[i] = sums[i] + weighed[x] if i in sums else weighed[x]
+        out[i].switches += int(turns[x]) + int(i in last and last[i] != label[s])
+        seen[i] = seen[i] + per[x] if i in seen else per[x]
+        last[i] = int(label[e - 1])
+        if runs:
+            shift = a - int(base[int(w.text[s])])
+            cuts = [s, *(np.flatnonzero(turned[s:e]) + s).tolist(), e]
+            for p, q in zip(cuts, cuts[1:], strict=False):
+                out[i].runs.append((int(w.start[p]) + shift, int(w.end[q - 1]) + shift, model.languages[label[p]], q - p))
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 300, longest: int = 20_000, most_languages: int = 64) -> Model | None:
-    """Trains on a bounded sample: about `per_language` texts, of at most `longest` characters, of each of the `most_languages`
-    most frequent languages, drawn by a hash of the id among rows that are not held out and have a language."""
+def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 300, longest: int = 20_000) -> Model | None:
+    """Trains on a bounded sample: about `per_language` texts of each language, drawn by a hash of the id among rows that are not held
+    out and have a language; of a longer text the first `longest` characters. Every language of the table is learned."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter("id is not null and lang is not null and text is not null").filter(~held_out(F.col("id"))).filter((F.length("text") > 0) & (F.length("text") <= longest))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    rows = rows.filter("id is not null and lang is not null and text is not null and text <> ''").filter(~held_out(F.col("id")))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     if not counts:
         return None
     share = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000_007)) / 1_000_000_007
-    drawn = F.lit(False)
-    for r in counts:
-        drawn = drawn | ((F.col("lang") == r["lang"]) & (share < per_language / r["n"]))
-    sample = rows.filter(drawn).limit(2 * per_language * len(counts)).collect()
+    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]))))
+    drawn = rows.filter(share < rate[F.col("lang")]).select("id", "lang", F.substring("text", 1, longest).alias("text"))
+    sample = drawn.orderBy(F.xxhash64("id"), "id", "text").limit(2 * per_language * len(counts)).collect()  # twice what is expected
     sample.sort(key=lambda r: (r["id"], r["text"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of df: id, held_out, lang_pred, score, and the columns in `keep`.
+FOUND = "lang_pred string, score double, word_langs string, n_switches long, runs array<struct<start:int,end:int,lang:string,n_words:int>>"
 
-    Only text is an input of a prediction. Null texts and texts without a letter are `und` with score 0; repeated rows are kept; a null
-    id is neither held out nor learned from; without learnable rows all are `und`; an empty table gives an empty result; other columns are ignored.
-    """
+
+def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, runs: bool = False) -> DataFrame:
+    """df with a column `found` (FOUND) from text_col alone; only texts go to Python, and only what is found comes back."""
     model = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col, lang_col))  # size: languages x fixed tables
-    thin = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).alias("text"))
-    width = len(thin.columns) - 1
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in it:
-            found = predict(model.value, [t or "" for t in rows.column(width).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*rows.columns[:width], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*rows.schema.names[:width], "lang_pred", "score"])
+    @F.pandas_udf(FOUND)
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            every = []
+            for at in range(0, len(texts), 500):
+                every += predict(model.value, ["" if t is None else t for t in texts.iloc[at : at + 500]], runs)
+            yield pd.DataFrame({"lang_pred": [x.lang for x in every], "score": [x.score for x in every], "word_langs": [x.counts for x in every], "n_switches": [x.switches for x in every], "runs": [[dict(zip(("start", "end", "lang", "n_words"), r, strict=True)) for r in x.runs] for x in every]})
+
+    return df.withColumn("found", find.asNondeterministic()(F.col(text_col)))
+
+
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of df: id, held_out, lang_pred, score, and by the labels of its words: word_langs (language:words, most first,
+    comma-joined) and n_switches (neighbouring words of different languages).
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in thin.schema.fields[:width])
-    out = thin.mapInArrow(run, f"{fields}, lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", *(F.col(f"keep_{c}").alias(c) for c in keep))
+    Only text is an input of a prediction. Null texts and texts without a letter are `und` with score 0; very long texts are labelled
+    whole, in windows; repeated rows are kept; a null id is neither held out nor learned from; without learnable rows all are `und`; an
+    empty table gives an empty result; other columns are ignored.
+    """
+    thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    found = labelled(thin, "id", "text", "lang").withColumn("held", held_out(F.col("id")))
+    return found.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), *(f"found.{c}" for c in ("lang_pred", "score", "word_langs", "n_switches")))
+
+
+def segments(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A row per run of neighbouring words of one language: id, start, end (code points, end exclusive), lang, n_words.
+
+    Texts without a letter have no runs; else as identify.
+    """
+    thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    runs = labelled(thin, "id", "text", "lang", runs=True).select("id", F.explode("found.runs").alias("run"))
+    return runs.select(F.col("id").alias(id_col), "run.start", "run.end", "run.lang", "run.n_words")
 
 
 def confident(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.35) -> DataFrame:
     """The rows of df whose language is found with a score of at least `least`; columns as they were, the predicted language in
-    lang_col. Rejected: null texts, texts without a letter, and texts in which no language holds a share of `least`."""
+    lang_col. Rejected: null texts, texts without a letter, and texts in which no language holds a share of `least`. Repeated rows are
+    judged alike; an empty table gives an empty result."""
     names = df.columns
     safe = df.toDF(*(f"c{i}" for i in range(len(names))))
     col = {name: f"c{i}" for i, name in enumerate(names)}
-    found = identify(safe, col[id_col], col[text_col], col[lang_col], keep=tuple(c for c in safe.columns if c != col[id_col]))
-    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return found.select(*(F.col("lang_pred" if name == lang_col else c).alias(name) for name, c in col.items()))
+    found = labelled(safe, col[id_col], col[text_col], col[lang_col])
+    found = found.filter((F.col("found.lang_pred") != "und") & (F.col("found.score") >= least))
+    return found.select(*(F.col("found.lang_pred" if name == lang_col else c).alias(name) for name, c in col.items()))

@@ -15,8 +15,8 @@ from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
 
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,26 +94,23 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[st
         phase += 1
 
 
-def numbered(df: DataFrame, source_col: str) -> DataFrame:
-    """df with its row's task (mix_part), and its place (mix_local) among the task's rows of its source (mix_source, null: '')."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    thin = df.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    at = len(df.columns)
+def place_in_task(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The place of each row among the task's rows of its source."""
+    seen: dict[str, int] = {}
+    for sources in parts:
+        inside = sources.groupby(sources).cumcount()
+        yield inside + sources.map(lambda s: seen.get(s, 0))
+        for s, n in sources.value_counts().items():
+            seen[s] = seen.get(s, 0) + int(n)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), {}
-        for rows in it:
-            local = []
-            for s in rows.column(at).to_pylist():
-                seen[s] = seen.get(s, -1) + 1
-                local.append(seen[s])
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([part] * rows.num_rows, to_arrow_type(kind)), pa.array(local, pa.int64())], names=[*rows.schema.names, "mix_part", "mix_local"])
 
-    from pyspark.sql.types import IntegerType, LongType, StructType
+def numbered(df: DataFrame, source_col: str) -> DataFrame:
+    """df with its row's task (mix_part), and its place (mix_local) among the task's rows of its source (mix_source, null: '').
 
-    kind = IntegerType()
-    return thin.mapInArrow(run, StructType([*thin.schema.fields]).add("mix_part", kind).add("mix_local", LongType()))
+    Only sources go to Python.
+    """
+    thin = df.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("mix_part", F.spark_partition_id())
+    return thin.withColumn("mix_local", F.pandas_udf(place_in_task, "long").asNondeterministic()("mix_source"))
 
 
 def planned(totals: DataFrame, weights: dict[str, float] | None, power: float) -> DataFrame:
@@ -135,7 +132,7 @@ def planned(totals: DataFrame, weights: dict[str, float] | None, power: float) -
 
 
 def interleave(df: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", block_rows: int = 32, power: float = 0.5) -> DataFrame:
-    """All rows of df with block, phase, release, deadline, slot and place (in the block) as mix_block .. mix_place, in no order.
+    """All rows of df with block, phase, release, deadline, slot, place (in the block) and the number of slots as mix_block .. mix_slots, in no order.
 
     weights: target weight per source, relative to each other if all sources have one. Otherwise they are shares of the whole, and the
     other sources divide what these leave by their number of blocks to the power `power`; it is an error if nothing is left. A null source
@@ -151,8 +148,8 @@ def interleave(df: DataFrame, weights: dict[str, float] | None = None, source_co
     rank = F.col("mix_first") + F.col("mix_local")
     placed = rows.join(firsts, ["mix_source", "mix_part"])
     placed = placed.withColumn("mix_block", F.floor(rank / block_rows)).withColumn("mix_place", (rank % block_rows).cast("int"))
-    placed = placed.join(steps, ["mix_source", "mix_block"])
-    return placed.select(*(F.col(c) for c in df.columns), "mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_place")
+    placed = placed.join(steps, ["mix_source", "mix_block"]).crossJoin(F.broadcast(totals.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("mix_slots"))))  # one row
+    return placed.select(*(F.col(c) for c in df.columns), "mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_place", "mix_slots")
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
@@ -162,8 +159,15 @@ def plan(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **op
 
 
 def mixed(df: DataFrame, source_col: str = "source", **options) -> DataFrame:
-    """The rows of df in mixed order: partitions follow one another by slot and rows inside by slot and place."""
-    names = df.columns
+    """The rows of df in mixed order: partitions follow one another by slot and rows inside by slot and place. Columns as they were.
+
+    A slot's partition is computed, so rows move there once and no sample is drawn. Null sources, empty and very long texts, repeated
+    rows: as interleave; an empty table gives an empty result.
+    """
+    spark, names = df.sparkSession, df.columns
     safe = df.toDF(*(f"c{i}" for i in range(len(names))))
     out = interleave(safe, source_col=f"c{names.index(source_col)}", **options)
-    return out.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(safe.columns).toDF(*names)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = F.greatest(F.col("mix_slots"), F.lit(1))
+    out = out.withColumn("part", F.least(F.floor(F.col("mix_slot") * parts / slots), F.lit(parts - 1)).cast("int"))
+    return out.repartitionById(parts, "part").sortWithinPartitions("mix_slot", "mix_place").select(safe.columns).toDF(*names)

@@ -11,9 +11,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -63,8 +65,8 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return sorted(rows)
 
 
-def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Token pieces of whole texts with the task that made them (part) and their rank there among equal lengths (local)."""
+def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, window: Column | None = None) -> DataFrame:
+    """Token pieces of whole texts with their window, the task that made them (part) and their rank there among equal lengths (local)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, seen = shared_memo(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
@@ -79,15 +81,16 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, te
                     for column, value in zip(out, (i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), seen[b - a]), strict=True):
                         column.append(value)
                     seen[b - a] += 1
-            ids_of = rows.column(0).take(pa.array(out[0], pa.int64()))
+            of = pa.array(out[0], pa.int64())
+            ids_of, window_of = rows.column(0).take(of), rows.column(2).take(of)
             yield pa.RecordBatch.from_arrays(
-                [ids_of, pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array([part] * len(out[0]), pa.int32()), pa.array(out[5], pa.int64())],
-                names=["id", "piece", "start", "length", "ids_crc32", "part", "local"],
+                [ids_of, pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:5]), pa.array([part] * len(out[0]), pa.int32()), pa.array(out[5], pa.int64()), window_of],
+                names=["id", "piece", "start", "length", "ids_crc32", "part", "local", "window"],
             )
 
     id_type = df.schema[id_col].dataType.simpleString()
-    thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return thin.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, part int, local long")
+    thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit(0) if window is None else window).cast("long").alias("window"))
+    return thin.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, part int, local long, window long")
 
 
 def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,3 +119,39 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col
         (F.col("bin0") + F.floor(k / F.col("copies"))).alias("sequence_id"),
         (F.col("offset0") + F.pmod(k, F.col("copies")) * ranked["length"]).alias("offset"),
     )
+
+
+BINS = 1 << 23  # sequence numbers that a window has for itself
+
+
+def pack_in_order(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", window_rows: int = 4096) -> DataFrame:
+    """As pack, but within windows of `window_rows` rows in the order in which df is stored, so that an order of documents, such as a mix of
+    sources, shows in the order of sequence_id. Each window packs its own pieces; its last sequences stay open, one of several hundred.
+
+    The order is that of df's files by part number and of rows inside; of a df that does not come from files, that of its partitions.
+    """
+    if df.inputFiles():
+        part = F.coalesce(F.try_to_number(F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1), F.lit("99999999")), F.lit(0)).cast("long")
+        window = part * (1 << 20) + F.floor(F.col("_metadata.row_index") / window_rows)
+    else:
+        window = F.spark_partition_id() * (1 << 20) + F.floor(F.monotonically_increasing_id().bitwiseAND(2**33 - 1) / window_rows)
+    made = materialize(pieces(df, path, capacity, end_id, id_col, text_col, window))
+    kind = made.schema["id"].dataType.simpleString()
+
+    def place(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[("length", "ascending"), ("part", "ascending"), ("local", "ascending")])
+        rows = rows.take(order)
+        length = rows.column("length").to_numpy()
+        values, first, n = np.unique(length, return_index=True, return_counts=True)
+        plan = np.array(plan_bins(dict(zip(values.tolist(), n.tolist(), strict=True)), capacity), np.int64)
+        rank = np.arange(len(length)) - np.repeat(first, n)
+        # The plan is sorted by length and rank, and so are the rows: a row's entry is the last one that begins at or before it.
+        begin = first[np.searchsorted(values, plan[:, 0])] + plan[:, 1]
+        own = plan[np.searchsorted(begin, np.arange(len(length)), side="right") - 1]
+        k = rank - own[:, 1]
+        sequence = rows.column("window").to_numpy() * BINS + own[:, 3] + k // own[:, 2]
+        columns = [rows.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")]
+        return pa.table([*columns, pa.array(sequence), pa.array(own[:, 4] + k % own[:, 2] * length)], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    packed = made.groupBy("window").applyInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,82 +151,76 @@ def discovery_bounds(rows: list[tuple[int, int, int, int]], alpha: float) -> dic
     return bounds
 
 
-SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, base string, found array<struct<a:int,b:int,c:int,score:double>>, tested array<int>"
+FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, base string, random array<struct<a:int,b:int,c:int,score:double>>, tested array<int>"
 
 
-def scan_text(text: str) -> tuple:
+def scan_text(text: str) -> dict:
     base = base_spans(text)
-    n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
+    out = {f"n_{kind}": sum(k == kind for k, _, _ in base) for kind in KINDS[:3]}
     tested = [length_class(len(m[0])) for m in CANDIDATE.finditer(text)]
     found = [{"a": a, "b": b, "c": c, "score": s} for a, b, c, s in candidates(text, base)]
-    return (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base), found, tested)
+    return out | {"base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "base": joined(base), "random": found, "tested": tested}
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of df: id, n_assign, n_access, n_hex, base_sha256, spans (all findings, kind:start:end), and the columns in `keep`.
+def scan_texts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    for texts in parts:
+        yield pd.DataFrame([scan_text(t or "") for t in texts], columns=names)
 
-    Null and empty texts have no findings; repeated rows and null ids are kept; an empty table gives an empty result; other columns
-    are ignored. The false-discovery step covers every candidate of df: it needs one count per length class and bin of p.
+
+def with_spans(made: DataFrame, alpha: float) -> DataFrame:
+    """made, a table with `found` (FOUND), with `spans` of all findings by start, then kind.
+
+    The false-discovery step covers every candidate of df: it needs one count per length class and bin of p.
     """
-    schema = df.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema)
-    width = len(schema.columns)
-    types = [f.dataType for f in F_schema(SCAN)]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        for rows in it:
-            out = list(zip(*(scan_text(t or "") for t in rows.column(width).to_pylist()), strict=True)) or [()] * len(types)
-            made = [pa.array(list(x), to_arrow_type(k)) for x, k in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:width], *made], names=[*rows.schema.names[:width], *names])
-
-    names = [f.name for f in F_schema(SCAN)]
-    text = df.select(*(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep)), F.col(text_col).alias("text"))
-    scanned = materialize(text.mapInArrow(run, f"{kinds}, {SCAN}"))
-    bins = scanned.select(F.explode("found").alias("f")).groupBy(F.col("f.c").alias("c"), F.least(F.floor(F.col("f.score") * 10), F.lit(BINS)).alias("b")).agg(F.count("*").alias("n"))
-    tested = scanned.select(F.explode("tested").alias("c")).groupBy("c").agg(F.count("*").alias("m"))
+    bins = made.select(F.explode("found.random").alias("f")).groupBy(F.col("f.c").alias("c"), F.least(F.floor(F.col("f.score") * 10), F.lit(BINS)).alias("b")).agg(F.count("*").alias("n"))
+    tested = made.select(F.explode("found.tested").alias("c")).groupBy("c").agg(F.count("*").alias("m"))
     rows = [(r["c"], r["b"], r["n"], r["m"]) for r in bins.join(tested, "c").collect()]  # at most 7 * BINS rows
     bounds = discovery_bounds(rows, alpha)
     least = F.create_map(*(F.lit(x) for c in range(7) for x in (c, float(bounds.get(c, 1e9)))))
-    kept = F.filter("found", lambda f: F.floor(f["score"] * 10) / 10 >= least[f["c"]])
+    kept = F.filter("found.random", lambda f: F.floor(f["score"] * 10) / 10 >= least[f["c"]])
     more = F.transform(kept, lambda f: F.struct(f["a"].alias("a"), F.lit(3).alias("k"), F.concat(F.lit("random:"), f["a"], F.lit(":"), f["b"]).alias("s")))
-    split = F.filter(F.split("base", ","), lambda s: s != "")
+    split = F.filter(F.split("found.base", ","), lambda s: s != "")
     base = F.transform(split, lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.array_position(F.lit(list(KINDS)), F.split(s, ":")[0]).cast("int").alias("k"), s.alias("s")))
-    spans = F.when(F.size("found") == 0, F.col("base")).otherwise(F.array_join(F.transform(F.array_sort(F.concat(base, more)), lambda x: x["s"]), ","))
-    return scanned.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), *(F.col(f"keep_{c}").alias(c) for c in keep))
-
+    spans = F.when(F.size("found.random") == 0, F.col("found.base")).otherwise(F.array_join(F.transform(F.array_sort(F.concat(base, more)), lambda x: x["s"]), ","))
+    return made.withColumn("spans", spans)
 
-def F_schema(ddl: str):
-    from pyspark.sql.types import StructType
 
-    return StructType.fromDDL(ddl).fields
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01) -> DataFrame:
+    """One row per row of df: id, n_assign, n_access, n_hex, base_sha256, spans (all findings, kind:start:end).
 
-
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    Null and empty texts have no findings; very long texts are scanned whole; repeated rows and null ids are kept; an empty table gives
+    an empty result; other columns are ignored.
+    """
+    thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = with_spans(materialize(thin.withColumn("found", F.pandas_udf(scan_texts, FOUND).asNondeterministic()(F.col("text"))).drop("text")), alpha)
+    return found.select(F.col("id").alias(id_col), *(f"found.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256")), "spans")
+
+
+def cleaned(texts: pd.Series, spans: pd.Series, marks: pd.Series) -> pd.Series:
+    out = []
+    for t, s, mark in zip(texts, spans, marks, strict=True):
+        if t is not None and s:
+            ends, done, parts = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in s.split(","))), 0, []
+            for a, b in ends:
+                if a >= done:
+                    parts += [t[done:a], mark]
+                done = max(done, b)
+            t = "".join(parts) + t[done:]
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]", alpha: float = 0.01) -> DataFrame:
     """df with every finding in text_col replaced by `mark`; rows, column order and all other columns as they were.
 
-    Overlapping findings are replaced as one. Null texts stay null.
+    Overlapping findings are replaced as one. Null texts stay null, empty ones empty; very long texts are masked whole; repeated rows are
+    masked alike; an empty table gives an empty result. Only texts go to Python, the second time only those with findings.
     """
     names = df.columns
-    places = {f"c{i}": c for i, c in enumerate(names)}
-    safe = df.toDF(*places)
-    text = next(c for c, name in places.items() if name == text_col)
-    found = scan(safe, text, text, keep=tuple(c for c in places if c != text))
-
-    @F.pandas_udf("string")
-    def cleaned(texts, spans):
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            if t is not None and s:
-                ends, done, parts = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in s.split(","))), 0, []
-                for a, b in ends:
-                    if a >= done:
-                        parts += [t[done:a], mark]
-                    done = max(done, b)
-                t = "".join(parts) + t[done:]
-            out.append(t)
-        return texts.__class__(out, dtype=object)
-
-    fixed = found.withColumn(text, F.when(F.col("spans") == "", F.col(text)).otherwise(cleaned(F.col(text), F.col("spans"))))
-    return fixed.select(*(F.col(c).alias(name) for c, name in places.items()))
+    safe = df.toDF(*(f"c{i}" for i in range(len(names))))
+    text = f"c{names.index(text_col)}"
+    found = with_spans(materialize(safe.withColumn("found", F.pandas_udf(scan_texts, FOUND).asNondeterministic()(F.col(text)))), alpha).withColumn("hit", F.when(F.col("spans") != "", F.col(text)))
+    masked = found.withColumn("clean", F.pandas_udf(cleaned, "string")("hit", "spans", F.lit(mark)))
+    fixed = masked.withColumn(text, F.when(F.col("spans") == "", F.col(text)).otherwise(F.col("clean")))
+    return fixed.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(names)))
