@@ -38,8 +38,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
-    return packing.pack(docs, tokenizer_path())
+    """Token pieces with their sequence and offset, packed in windows of the mixed order, which the order of sequence_id keeps."""
+    return packing.pack_in_order(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Stage]] = [
