@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import shared_memo
+from .tokens import TextIds
 
 
 def fullest(slack: int, counts: dict[int, int]) -> dict[int, int]:
@@ -69,11 +69,11 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, te
     """Token pieces of whole texts with their window, the task that made them (part) and their rank there among equal lengths (local)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part, seen = shared_memo(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        ids_of_texts, part, seen = TextIds(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         tail = end_id.to_bytes(4, "little")
         for rows in it:
             out = [[] for _ in range(6)]
-            for i, ids in enumerate(memo(rows.column(1))):
+            for i, ids in enumerate(ids_of_texts(rows.column(1))):
                 ids += tail
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]

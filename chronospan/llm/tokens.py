@@ -41,16 +41,31 @@ def load(path: str):
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], safe
 
 
+#: Words of these characters are the same to both libraries' patterns; others, and words with an added token inside, go to `tokenizers`.
+PLAIN = r"^[!-~\x{a1}-\x{24f}][\n!-~\x{a1}-\x{24f}]*$"
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # the usual pattern of byte-level tokenizers
+
+
 @lru_cache(maxsize=4)
-def opening(path: str):
-    """Whether the token of an id begins with a space (byte-level tokenizers)."""
+def ranked(path: str):
+    """(the same vocabulary for tiktoken, whether the token of an id begins with a space, the added tokens), or None if the file's
+    merges are not in the order of their ids. tiktoken needs a quarter of the time for words not met before."""
     import numpy as np
+    import tiktoken
 
     with open(path) as f:
-        vocabulary = json.load(f)["model"]["vocab"]
-    table = np.zeros(max(vocabulary.values()) + 4096, bool)
-    table[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # the byte alphabet's sign for a space
-    return table
+        spec = json.load(f)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as themselves
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+    vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    if made != sorted(made) or spec["model"].get("ignore_merges") or not set(map(chr, shown)) <= vocabulary.keys():
+        return None
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+    opens = np.zeros(max(vocabulary.values()) + 4096, bool)
+    opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), opens, added
 
 
 def segments(text: str, size: int) -> Iterator[str]:
@@ -100,50 +115,37 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return thin.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
 
 
-class IdMemo:
-    """Ids of whole texts as little-endian uint32 bytes; words met before are looked up, new ones go to the tokenizer in batches.
+class TextIds:
+    """Ids of whole texts as little-endian uint32 bytes.
 
-    Words are the parts between the spaces that stand before something other than white space. Arrow splits a batch and numbers its
-    distinct words, so Python sees each of them once per batch; a `take` of their ids gives the ids of the texts. A space before other
-    white space is no boundary: the parts around it are one word. At `most` words a memo becomes the old one and a new one starts with
-    what is used of it, so memory is bounded.
+    Words are the parts between the spaces that stand before something other than white space. Arrow splits a block of texts and numbers
+    its distinct words, each of them is encoded once, and a `take` of their ids gives the ids of the texts. A space before other white
+    space is no boundary: the parts around it are one word. Nothing is kept between blocks.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str):
         self.encode, self.safe = load(path)
-        self.opens = opening(path) if self.safe else None
-        self.most = most
-        #: By what stands before a word, nothing or a space: the memo and the old one.
-        self.memos: dict[str, list[dict[str, bytes]]] = {"": [{}, {}], " ": [{}, {}]}
-
-    def _memo(self, lead: str, words: list[str]) -> list[bytes]:
-        """The ids of each of the words behind `lead`."""
-        now, old = self.memos[lead]
-        if len(now) > self.most:
-            self.memos[lead] = now, old = [{}, now]
-        new = set(words).difference(now)
-        known = new.intersection(old)
-        now.update((w, old[w]) for w in known)
-        if len(new) > len(known):
-            self._learn(now, new - known, lead)
-        return [now[w] for w in words]
-
-    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
+        self.fast = ranked(path) if self.safe else None
+
+    def _each(self, texts: list[str]) -> pa.Array:
         import numpy as np
 
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()] if lead else []
-        # Words behind a space are encoded joined: the one token with a leading space opens each of them.
-        for at in range(0, len(plain), 2048):
-            block = plain[at : at + 2048]
-            ids = np.asarray(self.encode(["".join(" " + w for w in block)])[0], "<u4")
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(block):
-                data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                memo.update((w, data[a:b]) for w, a, b in zip(block, cuts, cuts[1:], strict=False))
-        rest = [w for w in words if w not in memo]
-        for at in range(0, len(rest), 2048):
-            for w, ids in zip(rest[at : at + 2048], self.encode([lead + w for w in rest[at : at + 2048]]), strict=True):
-                memo[w] = np.asarray(ids, "<u4").tobytes()
+        found = (np.asarray(ids, "<u4").tobytes() for at in range(0, len(texts), 2048) for ids in self.encode(texts[at : at + 2048]))
+        return pa.array(found, pa.large_binary())
+
+    def _spaced(self, words: pa.Array) -> pa.Array:
+        """The ids of plain words, each behind a space."""
+        import numpy as np
+
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        encoding, opens, _ = self.fast
+        # Encoded joined: the one token with a leading space opens each word.
+        ids = np.asarray(encoding.encode_to_numpy(" " + " ".join(words.to_pylist()), disallowed_special=()), "<u4")
+        cuts = np.flatnonzero(opens[ids])
+        if len(cuts) != len(words):
+            return self._each([" " + w for w in words.to_pylist()])
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(4 * np.r_[cuts, len(ids)].astype(np.int64)), pa.py_buffer(ids)])
 
     def _joined(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of texts that are not null."""
@@ -151,39 +153,43 @@ class IdMemo:
 
         split = pc.split_pattern(texts.cast(pa.large_string()), " ")
         ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        begins = ends[:-1]
         coded = split.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        glue = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
-        begins, n = ends[:-1], len(words)
-        data = self._memo(" ", [w for w, g in zip(words, glue, strict=True) if not g])
-        table, good = np.full(n, -1, np.int64), np.flatnonzero(~glue)
-        table[good] = np.arange(len(good))
-        place = table[index]
-        heads = [words[i] for i in index[begins]]
-        hung = glue[index]
+        words, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        plain = pc.match_substring_regex(words, PLAIN) if self.fast else pa.array(np.zeros(len(words), bool))
+        for added in self.fast[2] if self.fast else ():
+            plain = pc.and_not(plain, pc.match_substring(words, added))
+        plain = plain.to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(~plain)
+        odd_words = words.take(pa.array(odd)).to_pylist()
+        hangs = np.fromiter((not w or w[0].isspace() for w in odd_words), bool, len(odd_words))
+        glue, table = np.zeros(len(words), bool), np.empty(len(words), np.int64)
+        glue[odd] = hangs
+        table[plain], table[odd] = np.arange(plain.sum()), plain.sum() + np.arange(len(odd))
+        data = [self._spaced(words.filter(pa.array(plain))), self._each(["" if h else " " + w for w, h in zip(odd_words, hangs, strict=True)])]
+        size, place, hung = len(words), table[index], glue[index]
         hung[begins] = False
+        heads = words.take(pa.array(index[begins])).to_pylist()
         if hung.any():  # a run of parts that hang on the part before them is one word with it
-            keep = ~hung
             runs = np.flatnonzero(np.diff(np.r_[False, hung, False]))
             at_head = dict(zip(begins.tolist(), range(len(begins)), strict=True))
             places, merged = [], []
             for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
-                word = " ".join(words[i] for i in index[a - 1 : b])
+                word = " ".join(words.take(pa.array(index[a - 1 : b])).to_pylist())
                 if (head := at_head.get(a - 1)) is not None:
                     heads[head] = word
                 else:
                     places.append(a - 1)
-                    merged.append(word)
-            place[places] = len(data) + np.arange(len(places))
-            data += self._memo(" ", merged)
-        else:
-            keep = None
-        place[begins] = len(data) + np.arange(len(begins))
-        data += self._memo("", heads)
-        if keep is not None:
-            ends = np.r_[0, np.cumsum(keep)][ends]
-            place = place[keep]
-        taken = pa.array(data, pa.large_binary()).take(pa.array(place))
+                    merged.append(" " + word)
+            place[places] = size + np.arange(len(places))
+            size += len(places)
+            data.append(self._each(merged))
+        place[begins] = size + np.arange(len(begins))
+        data.append(self._each(heads))
+        if hung.any():
+            ends = np.r_[0, np.cumsum(~hung)][ends]
+            place = place[~hung]
+        taken = pa.concat_arrays(data).take(pa.array(place))
         offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[ends].tolist()
         whole = memoryview(taken.buffers()[2] or b"")
         for a, b in zip(offsets, offsets[1:], strict=False):
@@ -199,15 +205,5 @@ class IdMemo:
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes)))
             block = texts.slice(at, to - at)
-            if self.safe:
-                yield from self._joined(block)
-            else:
-                for ids in self.encode(block.to_pylist()):
-                    yield np.asarray(ids, "<u4").tobytes()
+            yield from self._joined(block) if self.safe else (x.as_py() for x in self._each(block.to_pylist()))
             at = to
-
-
-@lru_cache(maxsize=2)
-def shared_memo(path: str) -> IdMemo:
-    """The memo of this worker process; later tasks go on with what earlier ones met."""
-    return IdMemo(path)

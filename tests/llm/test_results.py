@@ -159,7 +159,7 @@ def test_long_texts_are_cut_at_safe_boundaries(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in rows}
     assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(frame, queries.tokenizer_path(), segment=64).collect()} == {i: len(x) for i, x in want.items()}
-    memo = tokens.IdMemo(queries.tokenizer_path(), most=50)
+    memo = tokens.TextIds(queries.tokenizer_path())
     for (i, _), ids in zip(rows, memo(pa.array([t for _, t in rows], pa.string())), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == want[i]
 
