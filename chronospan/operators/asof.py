@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,19 @@ def causal_last(cutoffs: DataFrame, messages: DataFrame, max_age: int, ahead: in
         .when(F.col("m").isNull(), "CLOCK_INCOMPATIBLE").when(age < 0, "FUTURE_MEASUREMENT").when(age > max_age, "STALE")
     )
     return seen.select(*keys, F.col("t").alias("cutoff"), (-F.col("m.s")).alias("seq"), F.when(reason.isNull(), "TRUE").otherwise("UNKNOWN").alias("truth"), reason.alias("reason"))
+
+
+def receipt(cutoffs: DataFrame, messages: DataFrame, sensors: list[str], topics: dict[str, tuple[str, ...]], max_age: int) -> DataFrame:
+    """Per cutoff (rec, cutoff), sensor and topic of it the causal_last verdict; a sensor without topics is NOT_APPLICABLE."""
+    known = [(s, t) for s in sensors for t in topics.get(s, (None,))]
+    pairs = F.array(*(F.struct(F.lit(s).alias("sensor"), F.lit(t).cast("string").alias("topic")) for s, t in known))
+    asked = cutoffs.select("rec", "cutoff", F.explode(pairs).alias("p")).select("rec", "cutoff", "p.sensor", "p.topic")
+    found = causal_last(asked.filter("topic is not null").select("rec", "topic", "cutoff"), messages, max_age)
+    out = asked.join(found, ["rec", "topic", "cutoff"], "left")
+    missing = F.col("topic").isNull()
+    return out.select("rec", "sensor", "topic", "cutoff", "seq", F.when(missing, "UNKNOWN").otherwise(F.col("truth")).alias("truth"), F.when(missing, "NOT_APPLICABLE").otherwise(F.col("reason")).alias("reason"))
+
+
+def cutoff(anchor: Column, lows: Column) -> Column:
+    """The anchor, lowered to the smallest low end of an uncertainty band."""
+    return F.least(anchor, F.coalesce(F.array_min(lows), anchor))

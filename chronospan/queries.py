@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import trailing
 from .operators import asof, events, metrics, relations, retrieval
 from .plans import index
+from .registry import ORACLE_SQL, QUERIES, SERIES, query
 from .sources.tables import HOUR, messages, series, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-SERIES = "s AS (SELECT user_id AS rec, epoch_us(ts) AS t, value AS y, event_type AS topic, event_id AS seq FROM events)"
 POINTS = f"p AS (SELECT rec, t - {HOUR} AS t0, seq AS pid FROM s WHERE topic = 'purchase'), r AS (SELECT * FROM s WHERE topic = 'view')"
 PERIODS = """per AS (SELECT rec, coalesce(CAST(trunc(median(gap)) AS BIGINT), 0) AS period
     FROM (SELECT rec, lead(t) OVER (PARTITION BY rec ORDER BY t, seq) - t AS gap FROM s) GROUP BY rec)"""
 
 
-def query(sql: str | None = None):
-    """Registers a query and, where given, its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _points(s: DataFrame) -> DataFrame:
     return s.filter("topic = 'purchase'").select("rec", (F.col("t") - HOUR).alias("t0"), F.col("seq").alias("pid"))
 
@@ -365,3 +348,6 @@ def ix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SERIES}, l AS (SELECT *, row_number() OVER (PARTITION BY rec, topic ORDER BY y DESC, seq) AS nr FROM s) SELECT rec, topic, t, y, seq FROM l WHERE nr = 1""")
 def lb_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.latest(series(spark, sf_dir), ["rec", "topic"], [F.desc("y"), F.col("seq")]).select("rec", "topic", "t", "y", "seq")
+
+
+from . import program_queries, report_queries, search_queries, timeline_queries  # noqa: E402, F401  they register their own
