@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -29,13 +29,52 @@ def integral(series: DataFrame, unit: int) -> DataFrame:
 def value_before(series: DataFrame, lag: int) -> DataFrame:
     """series with past: the value at the last sample at or before t - lag, else the recording's first."""
     past = Window.partitionBy("rec").orderBy("t").rangeBetween(Window.unboundedPreceding, -lag)
-    return series.select("rec", "t", "y", F.coalesce(F.last("y").over(past), F.first("y").over(in_order())).alias("past"))
+    return series.select("rec", "t", "y", F.coalesce(F.max(F.struct("t", "seq", "y")).over(past)["y"], F.first("y").over(in_order())).alias("past"))
 
 
-def topic_profile(series: DataFrame) -> DataFrame:
-    """Per (rec, topic): messages, greatest gap, gaps over two median periods."""
-    order = Window.partitionBy("rec", "topic").orderBy("t", "seq")
-    gaps = series.withColumn("gap", F.lead("t").over(order) - F.col("t"))
-    period = gaps.groupBy("rec", "topic").agg(F.percentile("gap", 0.5).alias("period"))
-    joined = gaps.join(period, ["rec", "topic"])
-    return joined.groupBy("rec", "topic").agg(F.count("*").alias("n"), F.max("gap").alias("max_gap"), F.sum((F.coalesce(F.col("gap") > 2 * F.col("period"), F.lit(False))).cast("long")).alias("wide_gaps"))
+def time_mean(series: DataFrame, width: int) -> DataFrame:
+    """series with mean: the time average of the piecewise-linear signal over [t - width, t], held at the recording's first sample.
+
+    The integral up to t - width comes from the last sample at or before it, so every row needs one sort.
+    """
+    order = in_order()
+    step = (F.col("t") - F.lag("t").over(order)) * (F.col("y") + F.lag("y").over(order)) / 2
+    rows = series.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("total", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next_t", F.lead("t").over(order)).withColumn("next_y", F.lead("y").over(order)).withColumn("t0", F.min("t").over(Window.partitionBy("rec")))
+    at = F.struct("t", "y", "total", "next_t", "next_y")
+    past = Window.partitionBy("rec").orderBy("t").rangeBetween(Window.unboundedPreceding, -width)
+    rows = rows.withColumn("low", F.greatest(F.col("t") - width, F.col("t0"))).withColumn("p", F.coalesce(F.last(at).over(past), F.first(at).over(order)))
+    share = F.try_divide((F.col("low") - F.col("p.t")).cast("double"), (F.col("p.next_t") - F.col("p.t")).cast("double"))
+    before = F.col("p.total") + F.coalesce(share, F.lit(0.0)) * (F.col("p.next_t") - F.col("p.t")) * (F.col("p.y") + F.col("p.y") + (F.col("p.next_y") - F.col("p.y")) * share) / 2
+    span = F.col("t") - F.col("low")
+    return rows.select("rec", "t", "y", F.when(span > 0, (F.col("total") - F.coalesce(before, F.lit(0.0))) / span).otherwise(F.col("y")).alias("mean"))
+
+
+def run_flags(series: DataFrame, mask: Column, least: int, most: int) -> DataFrame:
+    """series with flag: whether the sample is in a run of mask that lasts between least and most."""
+    marked = series.withColumn("mask", F.coalesce(mask, F.lit(False)))
+    inside = Window.partitionBy("rec", "mask").orderBy("t", "seq")
+    marked = marked.withColumn("run", F.row_number().over(in_order()) - F.row_number().over(inside))
+    whole = Window.partitionBy("rec", "mask", "run")
+    return marked.withColumn("long", F.max("t").over(whole) - F.min("t").over(whole)).select("rec", "t", "y", "seq", (F.col("mask") & F.col("long").between(least, most)).alias("flag"))
+
+
+def drawdown(windows: DataFrame) -> DataFrame:
+    """Per window (rec, w) of rows (rec, w, t, seq, y): the largest fall below an earlier maximum inside it."""
+    past = Window.partitionBy("rec", "w").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return windows.withColumn("gone", F.max("y").over(past) - F.col("y")).groupBy("rec", "w").agg(F.max("gone").alias("gone"))
+
+
+def ahead(series: DataFrame, width: int) -> DataFrame:
+    """series with the least and greatest value in (t, t + width] and the first time of each."""
+    after = Window.partitionBy("rec").orderBy("t").rangeBetween(1, width)
+    best = lambda sign: F.max(F.struct((F.col("y") * sign).alias("v"), (-F.col("t")).alias("t"))).over(after)
+    rows = series.withColumn("lo", best(-1)).withColumn("hi", best(1))
+    return rows.select("rec", "t", "seq", (-F.col("lo.v")).alias("low"), (-F.col("lo.t")).alias("low_t"), F.col("hi.v").alias("high"), (-F.col("hi.t")).alias("high_t"))
+
+
+def window_signals(windows: DataFrame) -> DataFrame:
+    """Per window (rec, w) of rows (rec, w, t, seq, y): n, mean, low, high, delta (last less first), absmax, gone (drawdown), mask."""
+    first, last = F.min(F.struct("t", "seq", "y")), F.max(F.struct("t", "seq", "y"))
+    out = windows.groupBy("rec", "w").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"), (last["y"] - first["y"]).alias("delta"), F.max(F.abs("y")).alias("absmax"))
+    return out.join(drawdown(windows), ["rec", "w"]).withColumn("mask", (F.col("n") > 0).cast("double"))

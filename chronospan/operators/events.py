@@ -1,10 +1,13 @@
 """Event operators over one feature series per recording: (rec, t, y, seq), ordered by t then seq.
 
-NaN samples count as null and satisfy no condition. Equal extremes resolve to the first sample.
+NaN and infinite samples count as null and satisfy no condition. Equal extremes resolve to the first sample.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -41,21 +44,24 @@ def threshold(series: DataFrame, op: str, x: float, min_duration: int) -> DataFr
     return kept.select("rec", "start", "end", (-F.col("b.t")).alias("ext"), (F.col("b.v") * sign).alias("value"))
 
 
-def threshold_band(series: DataFrame, op: str, x: float, width: float, min_duration: int) -> DataFrame:
-    """Instances (rec, start, end, truth) where y is known up to +- width: definite runs are TRUE, a possible run without one UNKNOWN."""
-    up = op in (">=", ">")
-    low, high = F.col("y") - width, F.col("y") + width
-    possible = islands(series, compare(high if up else low, op, x)).withColumnRenamed("run", "outer")
-    definite = compare(low if up else high, op, x)
+def threshold_band(series: DataFrame, op: str, x: float, low: Column, high: Column, min_duration: int) -> DataFrame:
+    """Instances (rec, start, end, ext, value, truth) where y is known to lie in [low, high]: definite runs that last are TRUE, a possible run
+    without one UNKNOWN. For = both are the comparison of y. ext and value: the run's first extreme of y and that."""
+    up, equal = op in (">=", ">"), op == "="
+    possible = islands(series, compare(F.col("y") if equal else high if up else low, op, x)).withColumnRenamed("run", "outer")
+    definite = compare(F.col("y") if equal else low if up else high, op, x)
     nested = Window.partitionBy("rec", "outer").orderBy("t", "seq")
-    inner = possible.withColumn("sure", definite)
+    inner = possible.withColumn("sure", F.coalesce(definite, F.lit(False)))
     inner = inner.withColumn("run", F.row_number().over(nested) - F.row_number().over(Window.partitionBy("rec", "outer", "sure").orderBy("t", "seq")))
+    sign = 1 if up or equal else -1
+    best = F.max(F.struct((F.col("y") * sign).alias("v"), (-F.col("t")).alias("t")))
+    whole = lambda rows, *keys: rows.groupBy("rec", *keys).agg(F.min("t").alias("start"), F.max("t").alias("end"), best.alias("b"))
     period = periods(series)
     long_enough = F.col("end") - F.col("start") + F.col("period") >= min_duration
-    sure = inner.filter("sure").groupBy("rec", "outer", "run").agg(F.min("t").alias("start"), F.max("t").alias("end")).join(period, "rec").filter(long_enough)
-    whole = possible.groupBy("rec", "outer").agg(F.min("t").alias("start"), F.max("t").alias("end")).join(period, "rec").filter(long_enough)
-    unknown = whole.join(sure.select("rec", "outer").distinct(), ["rec", "outer"], "left_anti")
-    return sure.select("rec", "start", "end", F.lit("TRUE").alias("truth")).union(unknown.select("rec", "start", "end", F.lit("UNKNOWN").alias("truth")))
+    sure = whole(inner.filter("sure"), "outer", "run").join(period, "rec").filter(long_enough)
+    unknown = whole(possible, "outer").join(period, "rec").filter(long_enough).join(sure.select("rec", "outer").distinct(), ["rec", "outer"], "left_anti")
+    show = lambda rows, truth: rows.select("rec", "start", "end", (-F.col("b.t")).alias("ext"), (F.col("b.v") * sign).alias("value"), F.lit(truth).alias("truth"))
+    return show(sure, "TRUE").union(show(unknown, "UNKNOWN"))
 
 
 def change(series: DataFrame, amount: float, within: int) -> DataFrame:
@@ -73,22 +79,37 @@ def extremum(series: DataFrame, reach: int, highest: bool = True) -> DataFrame:
 
 
 def refractory(points: DataFrame, gap: int) -> DataFrame:
-    """Of points (rec, t, y) in time order those at least `gap` after the last accepted one, by one fold over each recording's points."""
-    times = F.sort_array(F.collect_list("t"))
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate(times, start, lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= gap), F.concat(a, F.array(t))).otherwise(a))
-    return points.groupBy("rec").agg(kept.alias("ts")).select("rec", F.explode("ts").alias("t"))
+    """Of points (rec, t, y) in time order those (rec, t) at least `gap` after the last accepted one.
+
+    A recording's points stream through one pass that remembers one time per recording.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_rec, last_t = None, 0
+        for rows in it:
+            keep = []
+            for rec, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                keep.append(rec != last_rec or t - last_t >= gap)
+                if keep[-1]:
+                    last_rec, last_t = rec, t
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    ordered = points.filter("rec is not null and t is not null").select("rec", "t").repartition("rec").sortWithinPartitions("rec", "t")
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def return_to(series: DataFrame, references: DataFrame, fraction: float, within: int) -> DataFrame:
     """(rec, ref, t, y): for each reference time (rec, ref) the first sample in [ref, ref + within] with y >= fraction * y(ref).
 
-    y(ref) is the sample at that time or the last before it.
+    y(ref) is the sample at that time or the last before it, else the recording's first. References meet samples in time buckets.
     """
     from .asof import last_before
 
-    known = last_before(references, series, "ref", inclusive=True, carry=("y",)).select("rec", "ref", F.col("found_y").alias("level"))
-    hit = known.join(series, "rec").filter(F.col("t").between(F.col("ref"), F.col("ref") + within) & (F.col("y") >= fraction * F.col("level")))
+    first = series.groupBy("rec").agg(F.min_by("y", F.struct("t", "seq")).alias("y0"))
+    known = last_before(references, series, "ref", inclusive=True, carry=("y",)).join(first, "rec").select("rec", "ref", F.coalesce("found_y", "y0").alias("level"))
+    known = known.withColumn("slot", F.explode(F.sequence(F.floor(F.col("ref") / F.lit(within)), F.floor((F.col("ref") + within) / F.lit(within)))))
+    near = known.join(series.withColumn("slot", F.floor(F.col("t") / F.lit(within))), ["rec", "slot"])
+    hit = near.filter(F.col("t").between(F.col("ref"), F.col("ref") + within) & (F.col("y") >= fraction * F.col("level")))
     return hit.groupBy("rec", "ref").agg(F.min(F.struct("t", "seq", "y")).alias("m")).select("rec", "ref", "m.t", "m.y")
 
 

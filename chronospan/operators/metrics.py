@@ -36,7 +36,7 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     below = Window.partitionBy("grp").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("n", F.col("c") - F.col("p")).withColumn("less", F.coalesce(F.sum("n").over(below), F.lit(0)))
     out = cells.groupBy("grp").agg(F.sum(F.col("p") * (F.col("less") + F.col("n") / 2.0)).alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return out.select("grp", F.round(F.try_divide(F.col("wins"), (F.col("p") * F.col("n")).cast("double")), 6).alias("auc"))
+    return out.select("grp", F.round(F.try_divide(F.col("wins"), F.col("p").cast("double") * F.col("n")), 6).alias("auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
@@ -51,7 +51,68 @@ def kappa(pairs: DataFrame) -> DataFrame:
     cells = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     total = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("x")), cells.groupBy("b").agg(F.sum("n").alias("y"))
-    chance = rows.join(cols, F.col("a") == F.col("b")).agg(F.sum(F.col("x") * F.col("y")).alias("e"))
+    chance = rows.join(cols, F.col("a") == F.col("b")).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("e"))
     both = total.join(F.broadcast(chance))  # one row each
-    po, pe = F.col("same") / F.col("n"), F.col("e") / (F.col("n") * F.col("n"))
+    po, pe = F.col("same") / F.col("n"), F.col("e") / (F.col("n").cast("double") * F.col("n"))
     return both.select("n", F.round(po, 6).alias("exact"), F.round(F.try_divide(po - pe, 1 - pe), 6).alias("kappa"))
+
+
+def judged(rows: DataFrame, k: int) -> DataFrame:
+    """(grp, judged): share of the first k rows with a grade."""
+    top = _ranked(rows).filter(F.col("r") <= k)
+    return top.groupBy("grp").agg(F.round(F.avg(F.col("grade").isNotNull().cast("double")), 6).alias("judged"))
+
+
+def positions(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (grp, id) with score: minus the position (from 0) in ranked (grp, id, r), minus the group's number of ranked rows if absent."""
+    n = ranked.groupBy("grp").agg(F.count("*").alias("n"))
+    out = wanted.join(ranked.select("grp", "id", "r"), ["grp", "id"], "left").join(n, "grp", "left")
+    return out.select("grp", "id", (-F.coalesce(F.col("r") - 1, F.col("n"), F.lit(0))).cast("long").alias("score"))
+
+
+def two_level(rows: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """(outer, mean): the mean over inner groups of their means."""
+    return rows.groupBy(outer, inner).agg(F.avg(value).alias("m")).groupBy(outer).agg(F.round(F.avg("m"), 6).alias("mean"))
+
+
+def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, p50, p95): the median, and the value at index min(n - 1, int(0.95 n)) in order, from counts of distinct values."""
+    cells = rows.groupBy(group, value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    n = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("p50"))
+    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    return cells.withColumn("upto", upto).join(n, group).filter(F.col("upto") > at).groupBy(group).agg(F.first("p50").alias("p50"), F.min(value).alias("p95"))
+
+
+def hubness(hits: DataFrame) -> DataFrame:
+    """One row (busiest, items) of hits (probe, item): the most probes that one item answers, and the distinct items."""
+    return hits.groupBy("item").agg(F.count("*").alias("c")).agg(F.max("c").alias("busiest"), F.count("*").alias("items"))
+
+
+def bootstrap(values: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """One row (mean, low, high): the mean over group keys (key, v) and the 2.5 and 97.5 % points of its resamples.
+
+    Draws with replacement by Poisson(1) weights from a hash of (replicate, key): each row is weighed where it is, and only sums move.
+    """
+    u = F.pmod(F.xxhash64("key", "b", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    bounds = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)  # Poisson(1), cumulated
+    weight = sum((u >= x).cast("int") for x in bounds)
+    drawn = values.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+    means = drawn.groupBy("b").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w").cast("double")).alias("m"))
+    ends = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return values.agg(F.avg("v").alias("mean")).crossJoin(F.broadcast(ends))  # one row each
+
+
+def agreement(pairs: DataFrame, positive: int = 1) -> DataFrame:
+    """One row (n, exact, within_one, binary) over grades (a, b)."""
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    same = (F.col("a") >= positive) == (F.col("b") >= positive)
+    return pairs.agg(F.count("*").alias("n"), share(F.col("a") == F.col("b")).alias("exact"), share(F.abs(F.col("a") - F.col("b")) <= 1).alias("within_one"), share(same).alias("binary"))
+
+
+def set_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(grp, precision, recall, jaccard) of two sets of (grp, item)."""
+    both = left.select("grp", "item", F.lit(1).alias("l")).distinct().join(right.select("grp", "item", F.lit(1).alias("r")).distinct(), ["grp", "item"], "full")
+    n = both.groupBy("grp").agg(F.sum(F.col("l") * F.col("r")).alias("both"), F.sum("l").alias("nl"), F.sum("r").alias("nr"), F.count("*").alias("any"))
+    part = lambda d: F.round(F.coalesce(F.try_divide(F.coalesce("both", F.lit(0)).cast("double"), F.col(d).cast("double")), F.lit(0.0)), 6)
+    return n.select("grp", part("nl").alias("precision"), part("nr").alias("recall"), part("any").alias("jaccard"))

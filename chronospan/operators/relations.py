@@ -17,7 +17,7 @@ def bind(parents: DataFrame, children: DataFrame, kind: str, least: int = 0, mos
         "AFTER": (F.col("end") + least, F.col("end") + most), "BEFORE": (F.col("end") - most, F.col("end") - least),
         "WITHIN": (F.col("end") - most, F.col("end") + most), "DURING": (F.col("start"), F.col("end")),
     }[kind]
-    size = bucket or max(most, 1)
+    size = bucket or (most if most > 0 else 86_400_000_000)
     p = p.withColumn("low", low).withColumn("high", high)
     spread = p.withColumn("slot", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))))
     c = children.select("rec", F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.col("truth").alias("c_truth"), F.floor(F.col("start") / size).alias("slot"))
@@ -29,8 +29,8 @@ def bind(parents: DataFrame, children: DataFrame, kind: str, least: int = 0, mos
 
 
 def kleene(bound: DataFrame, truths: list[str]) -> DataFrame:
-    """bound with ordinal: 0 if any truth is FALSE, 2 if all are TRUE, else 1 + 0.99 * the share of TRUE ones."""
-    cols = [F.coalesce(F.col(c), F.lit("FALSE")) for c in truths]
+    """bound with ordinal, a missing truth counting as UNKNOWN: 0 if any truth is FALSE, 2 if all are TRUE, else 1 + 0.99 * the share of TRUE ones."""
+    cols = [F.coalesce(F.col(c), F.lit("UNKNOWN")) for c in truths]
     n_true = sum((c == "TRUE").cast("int") for c in cols)
     false = F.lit(False)
     for c in cols:

@@ -42,7 +42,7 @@ def dot(x: Column, y: Column) -> Column:
 def most_similar(rows: DataFrame, query: list[float], k: int, id_col: str, vec_col: str) -> DataFrame:
     """(id, score) of the k rows with the largest inner product; ties to the smaller id."""
     q = F.array(*(F.lit(float(v)) for v in query))
-    return rows.select(id_col, F.round(dot(F.col(vec_col), q), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return rows.select(id_col, dot(F.col(vec_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k).withColumn("score", F.round("score", 6))
 
 
 def candidate_id(rec: Column, kind: int, start: Column, end: Column) -> Column:

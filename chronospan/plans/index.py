@@ -21,3 +21,31 @@ def build_plan(wanted: DataFrame, built: DataFrame) -> DataFrame:
     state = F.when(F.col("have").isNull(), "todo").when(F.col("same"), "built").otherwise("stale")
     have = built.groupBy("rec").agg(F.collect_set("key").alias("have"))
     return wanted.join(have, "rec", "left").withColumn("same", F.array_contains("have", F.col("key"))).select("rec", "key", state.alias("state"))
+
+
+def plan_states(wanted: DataFrame, built: DataFrame) -> DataFrame:
+    """wanted (rec, key, applicable, gated, needs) with state: n/a, gated, built (same key), adopted (the recording's data under another key
+    but the same content), blocked (what it needs is not built), stale or todo; built: (rec, key, content)."""
+    have = built.groupBy("rec").agg(F.collect_set("key").alias("keys"), F.max("content").alias("have"))
+    w = wanted.join(have, "rec", "left").withColumn("same", F.coalesce(F.array_contains("keys", F.col("key")), F.lit(False)))
+    ready = w.filter("same").select(F.col("rec").alias("needs"), F.lit(True).alias("ready")).distinct()
+    w = w.join(ready, "needs", "left")
+    state = (
+        F.when(~F.col("applicable"), "n/a").when(F.col("gated"), "gated").when(F.col("same"), "built").when(F.col("have") == F.col("content"), "adopted")
+        .when(F.col("needs").isNotNull() & F.col("ready").isNull(), "blocked").when(F.col("keys").isNotNull(), "stale").otherwise("todo")
+    )
+    return w.select("rec", "key", state.alias("state"))
+
+
+def conflicts(records: DataFrame, key: list[str], priority: str, payload: str) -> DataFrame:
+    """Keys whose records at the highest priority disagree in payload: key, priority, payloads (how many)."""
+    per = records.groupBy(*key, priority).agg(F.count_distinct(payload).alias("payloads"))
+    top = per.groupBy(*key).agg(F.max(F.struct(priority, "payloads")).alias("m"))
+    return top.select(*key, f"m.{priority}", "m.payloads").filter("payloads > 1")
+
+
+def content_key(rows: DataFrame, key: str, topic: str, sha: str, at: str) -> DataFrame:
+    """(key, content): a hash over a recording's messages whatever their layout; each message's hash covers its topic and place, and their
+    sums are hashed, so nothing is gathered."""
+    h = F.xxhash64(topic, at, sha)
+    return rows.groupBy(key).agg(F.sum(h.cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).select(key, F.substring(F.sha2(F.concat_ws("|", "s", "n"), 256), 1, 32).alias("content"))

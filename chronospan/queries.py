@@ -88,14 +88,14 @@ def ev_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     o AS (SELECT *, run AS "outer", y - 5 >= 30 AS sure FROM i WHERE mask),
     q AS (SELECT *, row_number() OVER (PARTITION BY rec, "outer" ORDER BY t, seq)
             - row_number() OVER (PARTITION BY rec, "outer", sure ORDER BY t, seq) AS part FROM o),
-    d AS (SELECT rec, "outer", min(t) AS "start", max(t) AS "end" FROM q WHERE sure GROUP BY rec, "outer", part),
+    d AS (SELECT rec, "outer", min(t) AS "start", max(t) AS "end", max({{'v': y, 't': -t}}) AS b FROM q WHERE sure GROUP BY rec, "outer", part),
     sure AS (SELECT d.* FROM d JOIN per USING (rec) WHERE "end" - "start" + period >= {24 * HOUR}),
-    w AS (SELECT rec, "outer", min(t) AS "start", max(t) AS "end" FROM o GROUP BY rec, "outer")
-    SELECT rec, "start", "end", 'TRUE' AS truth FROM sure
-    UNION ALL SELECT rec, "start", "end", 'UNKNOWN' FROM w JOIN per USING (rec) WHERE "end" - "start" + period >= {24 * HOUR}
+    w AS (SELECT rec, "outer", min(t) AS "start", max(t) AS "end", max({{'v': y, 't': -t}}) AS b FROM o GROUP BY rec, "outer")
+    SELECT rec, "start", "end", -(b.t) AS ext, b.v AS value, 'TRUE' AS truth FROM sure
+    UNION ALL SELECT rec, "start", "end", -(b.t), b.v, 'UNKNOWN' FROM w JOIN per USING (rec) WHERE "end" - "start" + period >= {24 * HOUR}
         AND NOT EXISTS (SELECT 1 FROM sure WHERE sure.rec = w.rec AND sure."outer" = w."outer")""")
 def ev_threshold_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.threshold_band(series(spark, sf_dir), ">=", 30.0, 5.0, 24 * HOUR)
+    return events.threshold_band(series(spark, sf_dir), ">=", 30.0, F.col("y") - 5, F.col("y") + 5, 24 * HOUR)
 
 
 @query(f"""WITH {SERIES},
@@ -122,14 +122,14 @@ def ev_refractory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SERIES},
-    r AS (SELECT DISTINCT rec, t AS ref FROM s WHERE topic = 'signup'),
-    k AS (SELECT r.rec, r.ref, s.y AS level FROM r ASOF LEFT JOIN s ON r.rec = s.rec AND r.ref >= s.t),
+    r AS (SELECT DISTINCT rec, t - {HOUR} AS ref FROM s WHERE topic = 'signup'),
+    k AS (SELECT r.rec, r.ref, coalesce(s.y, (SELECT arg_min(f.y, f.t) FROM s f WHERE f.rec = r.rec)) AS level FROM r ASOF LEFT JOIN s ON r.rec = s.rec AND r.ref >= s.t),
     h AS (SELECT k.rec, ref, min({{'t': s.t, 'seq': s.seq, 'y': s.y}}) AS m FROM k JOIN s ON s.rec = k.rec
             AND s.t BETWEEN ref AND ref + {24 * HOUR} AND s.y >= 0.8 * level GROUP BY ALL)
     SELECT rec, ref, m.t AS t, m.y AS y FROM h""")
 def ev_return_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
-    return events.return_to(s, s.filter("topic = 'signup'").select("rec", F.col("t").alias("ref")).distinct(), 0.8, 24 * HOUR)
+    return events.return_to(s, s.filter("topic = 'signup'").select("rec", (F.col("t") - HOUR).alias("ref")).distinct(), 0.8, 24 * HOUR)
 
 
 @query(f"WITH {SERIES} SELECT rec, topic, min(t) AS appear, max(t) AS disappear, count(*) AS n_obs FROM s GROUP BY rec, topic")
@@ -177,8 +177,8 @@ def rel_during(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.bind(_instances(s, "purchase"), _instances(s, "view"), "DURING", bucket=HOUR)
 
 
-@query("SELECT *, CASE WHEN c_truth IS NULL THEN 0.0::DOUBLE WHEN truth = 'TRUE' AND c_truth = 'TRUE' THEN 2.0 "
-    "ELSE 1 + 0.99::DOUBLE * ((truth = 'TRUE')::INT + (c_truth = 'TRUE')::INT) / 2 END AS ordinal FROM ("
+@query("SELECT *, CASE WHEN truth = 'TRUE' AND c_truth = 'TRUE' THEN 2.0 "
+    "ELSE 1 + 0.99::DOUBLE * ((truth = 'TRUE')::INT + coalesce(c_truth = 'TRUE', false)::INT) / 2 END AS ordinal FROM ("
     + _bound_sql(f'c."start" BETWEEN p."end" AND p."end" + {24 * HOUR}', 'c."start"') + ")")
 def kl_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
@@ -223,14 +223,6 @@ def w_lag_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trailing.value_before(series(spark, sf_dir), 12 * HOUR)
 
 
-@query(f"""WITH {SERIES}, g AS (SELECT *, lead(t) OVER (PARTITION BY rec, topic ORDER BY t, seq) - t AS gap FROM s),
-    p AS (SELECT rec, topic, median(gap) AS period FROM g GROUP BY rec, topic)
-    SELECT rec, topic, count(*) AS n, max(gap) AS max_gap, CAST(count(CASE WHEN gap > 2 * period THEN 1 END) AS BIGINT) AS wide_gaps
-    FROM g JOIN p USING (rec, topic) GROUP BY rec, topic""")
-def ag_topic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trailing.topic_profile(series(spark, sf_dir))
-
-
 # Metrics over graded rows; the score of a document is a fixed rule of its id.
 
 GRADED = """g AS (SELECT source AS grp, d.doc_id AS id, CAST((d.doc_id * 7919) % 1009 AS DOUBLE) AS score, l.quality * 2 + l.toxic AS grade
@@ -309,7 +301,7 @@ QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
 
 
 @query(f"""SELECT vec_id, round(CAST(list_inner_product(CAST(embedding AS DOUBLE[]), {QUERY_VECTOR}::DOUBLE[]) AS DOUBLE), 6) AS score
-    FROM embeddings ORDER BY score DESC, vec_id LIMIT 50""")
+    FROM embeddings ORDER BY list_inner_product(CAST(embedding AS DOUBLE[]), {QUERY_VECTOR}::DOUBLE[]) DESC, vec_id LIMIT 50""")
 def gen_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.most_similar(table(spark, sf_dir, "embeddings"), QUERY_VECTOR, 50, "vec_id", "embedding")
 
