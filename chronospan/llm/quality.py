@@ -1,9 +1,10 @@
 """Quality rules whose thresholds adapt to language and source through mergeable quantile sketches (KLL).
 
-Signals per text: share of symbol characters, share of words in repeated 3-word windows, share of repeated lines, mean word
-length. Each (language, source) group gets a sketch per signal; sketches of small groups are merged with those of their
-language and of the corpus. A text fails a rule where its signal lies beyond the group's fence: upper quartile plus `reach`
-times the middle spread, but never inside `floor`, the value up to which a signal is harmless in any corpus.
+Signals per text: share of symbol characters, share of words in repeated 3-word windows, share of repeated lines, mean word length. Each
+(language, source) group gets a sketch per signal over its texts that pass the base rules; merged by language and over all, the sketches
+give the same quantiles there. A rule's threshold is a high quantile of the signal, for word length a low one as well, widened by a share
+of its distance from the median; a share fails only where its count exceeds that by three deviations. A group's own quantile counts the more, the more texts it has: thresholds of group, language and corpus
+are averaged with weights n / (n + prior), from the group outwards. No threshold is a fixed number.
 """
 
 from __future__ import annotations
@@ -20,9 +21,17 @@ from .common import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Signal: (floor that no fence undercuts, number of middle spreads).
-RULES = {"symbol_share": (0.03, 3.0), "repeat_share": (0.2, 3.0), "dup_line_share": (0.25, 3.0), "word_length": (7.5, 4.0)}
-SHORTEST = 2.0  # a mean word length below this fails in every language
+#: Signal: (quantile, how many of its distances from the median are added) above and below; None: no threshold on that side. Junk in
+#: symbols and word lengths may fill some percent of a group, so the quantiles there lie further inside.
+RULES = {
+    "symbol_share": ((0.9, 2.0), None),
+    "repeat_share": ((0.995, 1.0), None),
+    "dup_line_share": ((0.995, 1.0), None),
+    "word_length": ((0.9, 1.75), (0.1, 1.75)),
+}
+#: Signals that are shares: (what is counted, of what).
+SHARES = {"symbol_share": ("n_symbols", "word_chars"), "repeat_share": ("n_repeat_words", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
+DEVIATIONS = 3.0  # by which a count must exceed what its threshold allows, so that a few symbols or lines never fail a text
 
 
 def repeated_words(words: list[str]) -> int:
@@ -71,32 +80,46 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_co
     return thin.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 200) -> DataFrame:
+def thresholds(groups: DataFrame, prior: float) -> DataFrame:
+    """(lang, source) with <signal>_high and <signal>_low; groups: (lang, source, n) with a sketch per signal."""
+
+    def merged(keys: list[str], tag: str) -> DataFrame:
+        return groups.groupBy(*keys).agg(F.sum("n").alias(f"n_{tag}"), *(F.kll_merge_agg_double(s).alias(f"{s}_{tag}") for s in RULES))
+
+    langs = merged(["lang"], "lang").withColumnRenamed("lang", "lang_key")
+    table = groups.join(langs, groups["lang"].eqNullSafe(langs["lang_key"])).crossJoin(F.broadcast(merged([], "all")))  # the right side is one row
+
+    def at(sketch: str, q: float, more: float):
+        edge, mid = (F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(x)) for x in (q, 0.5))
+        return edge + more * (edge - mid)
+
+    out = []
+    for s, sides in RULES.items():
+        for side, name in zip(sides, ("high", "low"), strict=True):
+            if side:
+                w, w_lang = F.col("n") / (F.col("n") + prior), F.col("n_lang") / (F.col("n_lang") + prior)
+                outer = w_lang * at(f"{s}_lang", *side) + (1 - w_lang) * at(f"{s}_all", *side)
+                out.append((w * at(s, *side) + (1 - w) * outer).alias(f"{s}_{name}"))
+    return table.select(F.col("lang").alias("lang_t"), F.col("source").alias("source_t"), *out)
+
+
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: float = 200.0) -> DataFrame:
     """One row per row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules.
 
-    A group with fewer than `least` texts that pass the base rules takes the sketch of its language, and that of the corpus where the language has fewer as
-    well. Null language or source is a group of its own; null and empty texts have no words and fail the base rule; repeated
-    rows and null ids are kept; an empty table gives an empty result; other columns are ignored.
+    prior: as many texts as a group needs for its own quantiles to weigh as much as those around it. Null language or source is a group of
+    its own; null and empty texts have no words and fail the base rule; very long texts are measured whole; repeated rows and null ids are
+    kept; an empty table gives an empty result; other columns are ignored.
     """
     made = materialize(measured(df, id_col, text_col, lang_col, source_col))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    signals = {"symbol_share": share("n_symbols", "word_chars"), "repeat_share": share("n_repeat_words", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"), "word_length": share("word_chars", "n_words")}
+    signals = {s: F.col(a) / F.greatest(F.col(b), F.lit(1)) for s, (a, b) in SHARES.items()}
     made = made.withColumn("base_failed", base).withColumns(signals)
-    groups = made.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(s).alias(s) for s in signals))
-
-    def merged(keys: list[str], tag: str) -> DataFrame:
-        return groups.groupBy(*keys).agg(F.sum("n").alias(f"n_{tag}"), *(F.kll_merge_agg_double(s).alias(f"{s}_{tag}") for s in signals))
-
-    langs, every = merged(["lang"], "lang"), merged([], "all")
-    langs = langs.withColumnRenamed("lang", "lang_key")
-    table = groups.join(langs, groups["lang"].eqNullSafe(langs["lang_key"])).crossJoin(F.broadcast(every))  # the right side is one row
-    for s, (floor, reach) in RULES.items():
-        sketch = F.when(F.col("n") >= least, F.col(s)).when(F.col("n_lang") >= least, F.col(f"{s}_lang")).otherwise(F.col(f"{s}_all"))
-        q1, q3 = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
-        table = table.withColumn(f"{s}_fence", F.greatest(F.lit(floor), q3 + reach * (q3 - q1)))
-    fences = table.select(F.col("lang").alias("lang_f"), F.col("source").alias("source_f"), *(f"{s}_fence" for s in RULES))
-    # Texts of a group in which all fail the base rule find no fence; they are not kept anyway.
-    found = made.join(fences, made["lang"].eqNullSafe(F.col("lang_f")) & made["source"].eqNullSafe(F.col("source_f")), "left")
-    failed = F.array_compact(F.array(*(F.when(F.col(s) > F.col(f"{s}_fence"), F.lit(s)) for s in RULES), F.when(F.col("word_length") < SHORTEST, F.lit("word_length"))))
+    groups = materialize(made.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(s).alias(s) for s in signals)))
+    limits = thresholds(groups, prior)
+    # Texts of a group in which all fail the base rule find no thresholds; they are not kept anyway.
+    found = made.join(limits, made["lang"].eqNullSafe(F.col("lang_t")) & made["source"].eqNullSafe(F.col("source_t")), "left")
+    sure = {s: (F.col(a) - DEVIATIONS * F.sqrt(F.col(a))) / F.greatest(F.col(b), F.lit(1)) if s != "word_length" else F.col(s) for s, (a, b) in SHARES.items()}
+    high = [F.when(sure[s] > F.col(f"{s}_high"), F.lit(s)) for s, (up, _) in RULES.items() if up]
+    low = [F.when(F.col(s) < F.col(f"{s}_low"), F.lit(f"{s}_low")) for s, (_, down) in RULES.items() if down]
+    failed = F.array_compact(F.array(*high, *low))
     return found.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", ((~F.col("base_failed")) & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("failed_rules"))

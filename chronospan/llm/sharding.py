@@ -74,11 +74,14 @@ def shuffle_shards(df: DataFrame, columns: dict[str, Column], shards: int = 24,
     counts = sorted((r["part"], r["n"]) for r in sent.groupBy("part").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)
     matrix = communication_matrix([n for _, n in counts], [total // shards + (s < total % shards) for s in range(shards)], seed)
-    # One text literal with a line per input partition: shard bounds in the order of the permuted rows.
-    lines = "\n".join(f"{part}:" + ",".join(str(sum(row[: s + 1])) for s in range(shards)) for (part, _), row in zip(counts, matrix, strict=True))
-    bounds = spark.range(1).select(F.explode(F.split(F.lit(lines), "\n")).alias("line")).filter("line <> ''")
-    bounds = bounds.select(F.split("line", ":")[0].cast("int").alias("part"), F.split(F.split("line", ":")[1], ",").cast("array<bigint>").alias("bounds"))
-    dealt = sent.join(F.broadcast(bounds), "part")  # a row per input partition, `shards` numbers each
+    # A row per input partition, written as a table in parts of bounded size: neither a plan nor a broadcast grows with the partitions.
+    bounds, step = None, 100_000
+    for at in range(0, max(1, len(counts)), step):
+        rows = [(part, [sum(row[: s + 1]) for s in range(shards)]) for (part, _), row in zip(counts[at : at + step], matrix[at : at + step], strict=True)]
+        some = materialize(spark.createDataFrame(rows, "part int, bounds array<bigint>"))
+        bounds = some if bounds is None else bounds.union(some)
+    # Each row reads only its own partition's bounds: partitions and bounds meet in a narrow join that Spark splits where it is skewed.
+    dealt = sent.join(bounds, "part")
     dealt = dealt.withColumn("shard", F.size(F.filter("bounds", lambda b: b <= F.col("at"))).cast("int")).drop("bounds")
     dealt = dealt.withColumn("range", F.floor(F.col("r2") * parts).cast("int"))
     sizes = dealt.groupBy("shard", "range").agg(F.count("*").alias("n"))

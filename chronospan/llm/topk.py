@@ -183,6 +183,8 @@ def top_k(
                     least[d][at[d][q]] = score
         sent = spark.sparkContext.broadcast({d: (*block[d], least[d]) for d in block})
         part = materialize(_search(buckets, sent, k, steep, focus))
+        first.destroy()
+        sent.destroy()
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
