@@ -30,6 +30,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python some hundred at once: Spark's default of 10,000 rows a batch holds tens of MB on both sides of every task.
+
+    A session that has set its own size keeps it.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def n_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BITS = 17
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -331,6 +333,7 @@ FOUND = "lang_pred string, score double, word_langs string, n_switches long, run
 
 def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, runs: bool = False) -> DataFrame:
     """df with a column `found` (FOUND) from text_col alone; only texts go to Python, and only what is found comes back."""
+    small_batches(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col, lang_col))  # size: languages x fixed tables
 
     @F.pandas_udf(FOUND)

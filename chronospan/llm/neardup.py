@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -417,6 +417,7 @@ def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, b
 
 def _classed(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int, bands: int, per_band: int, short: int, crowd: int, block: int) -> DataFrame:
     """(row, id, label, class_id) of rows with an id and a text; label names the class, class_id is its smallest id."""
+    small_batches(df.sparkSession)
     made = materialize(sketched(df, id_col, text_col, similarity, k, bands, per_band, short))
     firsts = materialize(made.groupBy("key").agg(F.min("row").alias("uid"), F.min("id").alias("first")))
     texts = made.select(F.col("row").alias("id"), "words", "sketch").join(firsts.select(F.col("uid").alias("id")), "id", "left_semi")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .tokens import TextIds
 
 
@@ -88,6 +88,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, te
                 names=["id", "piece", "start", "length", "ids_crc32", "part", "local", "window"],
             )
 
+    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit(0) if window is None else window).cast("long").alias("window"))
     return thin.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, part int, local long, window long")

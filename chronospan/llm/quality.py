@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -110,6 +110,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     its own; null and empty texts have no words and fail the base rule; very long texts are measured whole; repeated rows and null ids are
     kept; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(df.sparkSession)
     made = materialize(measured(df, id_col, text_col, lang_col, source_col))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     signals = {s: F.col(a) / F.greatest(F.col(b), F.lit(1)) for s, (a, b) in SHARES.items()}

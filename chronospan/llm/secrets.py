@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -192,6 +192,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: f
     Null and empty texts have no findings; very long texts are scanned whole; repeated rows and null ids are kept; an empty table gives
     an empty result; other columns are ignored.
     """
+    small_batches(df.sparkSession)
     thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = with_spans(materialize(thin.withColumn("found", F.pandas_udf(scan_texts, FOUND).asNondeterministic()(F.col("text"))).drop("text")), alpha)
     return found.select(F.col("id").alias(id_col), *(f"found.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256")), "spans")
@@ -217,6 +218,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]", alpha:
     Overlapping findings are replaced as one. Null texts stay null, empty ones empty; very long texts are masked whole; repeated rows are
     masked alike; an empty table gives an empty result. Only texts go to Python, the second time only those with findings.
     """
+    small_batches(df.sparkSession)
     names = df.columns
     safe = df.toDF(*(f"c{i}" for i in range(len(names))))
     text = f"c{names.index(text_col)}"

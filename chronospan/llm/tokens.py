@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -77,12 +79,12 @@ def segments(text: str, size: int) -> Iterator[str]:
     yield text[at:]
 
 
-def _batches(parts: Iterable[tuple[int, str]], batch_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _batches(parts: Iterable[tuple[int, str]], batch_bytes: int) -> Iterator[list[tuple[int, str]]]:
     batch, size = [], 0
     for part in parts:
         batch.append(part)
-        size += len(part[1]) + 16
-        if size >= batch_chars:
+        size += len(part[1].encode()) + 16
+        if size >= batch_bytes:
             yield batch
             batch, size = [], 0
     if batch:
@@ -92,7 +94,7 @@ def _batches(parts: Iterable[tuple[int, str]], batch_chars: int) -> Iterator[lis
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, segment: int = 1 << 15, batch: int = 1 << 19) -> DataFrame:
     """One row per row of df: id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
-    Only lengths leave the Arrow function. Batches are filled up to `batch` characters whatever the number of texts, and texts
+    Only lengths leave the Arrow function. Batches are filled up to `batch` bytes whatever the number of texts, and texts
     over `segment` characters are cut at safe boundaries, so memory does not depend on the longest text's token count.
     Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids are kept as they are; an empty table gives an
     empty result; other columns are ignored.
@@ -109,6 +111,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     counts[i] += len(ids)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     size = F.coalesce(F.octet_length(F.col(text_col)).cast("long"), F.lit(0).cast("long"))
     thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), size.alias("n_bytes"))
@@ -195,7 +198,7 @@ class TextIds:
         for a, b in zip(offsets, offsets[1:], strict=False):
             yield bytes(whole[a:b])
 
-    def __call__(self, texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[bytes]:
+    def __call__(self, texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[bytes]:
         """The ids of each text, in blocks of about most_bytes of text; none for null."""
         import numpy as np
 

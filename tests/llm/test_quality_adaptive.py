@@ -75,5 +75,6 @@ def test_two_sources_have_their_own_thresholds(spark):
     rows = corpus(rng)
     marked = " ".join(f"{'w' * rng.randint(3, 8)}{'|' * (n % 4 == 0)}{n}" for n in range(120))
     rows += [(9000, marked, "en", "wiki"), (9001, marked, "en", "web")]
-    found = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality.judge(frame, prior=20.0).collect()}
     assert found[9000]["kept"] and found[9001]["failed_rules"] == "symbol_share"
