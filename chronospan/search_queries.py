@@ -106,11 +106,11 @@ def sel_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.numbered(best.select("id", "best"), [F.desc_nulls_last("best"), F.col("id")])
 
 
-@query(f"WITH {SERIES} SELECT DISTINCT rec FROM s WHERE rec % 2 = 0 INTERSECT SELECT rec FROM s WHERE topic = 'error' EXCEPT SELECT rec FROM s WHERE topic = 'signup' AND y > 100")
+@query(f"WITH {SERIES} SELECT DISTINCT rec FROM s WHERE rec % 3 <> 1 INTERSECT SELECT rec FROM s WHERE topic = 'error' EXCEPT SELECT rec FROM s WHERE topic = 'signup' AND y > 150")
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
-    scope = s.filter("rec % 2 = 0").select("rec").distinct()
-    return scope.intersect(s.filter("topic = 'error'").select("rec")).subtract(s.filter("topic = 'signup' and y > 100").select("rec"))
+    scope = s.filter("rec % 3 <> 1").select("rec").distinct()
+    return scope.intersect(s.filter("topic = 'error'").select("rec")).subtract(s.filter("topic = 'signup' and y > 150").select("rec"))
 
 
 EDGES = f"ed AS (SELECT rec, CAST(ceil(min(t) / {HOUR}) AS BIGINT) AS w0, CAST(floor(max(t) / {HOUR}) AS BIGINT) AS w1 FROM s GROUP BY rec)"
