@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +24,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
+SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("SCOPES", default=())  # open scratch scopes with the tables of each
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that materialize writes inside, but those to keep, which belong to the scope around it, if any."""
+    own: list[str] = []
+    mark = SCOPES.set((*SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        SCOPES.reset(mark)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, own):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes df once into the shared folder and reads it back: later stages start from committed files, so a lost
     executor repeats one scan and never sees other row numbers or draws than the first run did."""
-    spark = df.sparkSession
+    spark, scopes = df.sparkSession, SCOPES.get()
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    scopes = scopes[:-1] if keep else scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, scratch, small_batches
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -421,7 +421,8 @@ def _classed(df: DataFrame, id_col: str, text_col: str, similarity: float, k: in
     made = materialize(sketched(df, id_col, text_col, similarity, k, bands, per_band, short))
     firsts = materialize(made.groupBy("key").agg(F.min("row").alias("uid"), F.min("id").alias("first")))
     texts = made.select(F.col("row").alias("id"), "words", "sketch").join(firsts.select(F.col("uid").alias("id")), "id", "left_semi")
-    labels = links(texts, similarity, crowd, block).withColumnRenamed("id", "uid")
+    with scratch(df.sparkSession):
+        labels = materialize(links(texts, similarity, crowd, block).withColumnRenamed("id", "uid"), keep=True)
     of_text = firsts.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     smallest = of_text.groupBy("label").agg(F.min("first").alias("class_id"))
     return made.select("row", "id", "key").join(of_text.join(smallest, "label").select("key", "label", "class_id"), "key").drop("key")
@@ -434,7 +435,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     rows of one id with different texts have the classes of their texts; rows with a null id come back with a null class_id; texts of
     any length are compared whole; an empty table gives an empty result; other columns are ignored.
     """
-    known = _classed(df, id_col, text_col, similarity, k, bands, per_band, short, crowd, block).select("id", "class_id")
+    with scratch(df.sparkSession):
+        known = materialize(_classed(df, id_col, text_col, similarity, k, bands, per_band, short, crowd, block).select("id", "class_id"), keep=True)
     rest = df.filter(F.col(id_col).isNull() | F.col(text_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"))
     return known.union(rest).withColumnRenamed("id", id_col)
 
@@ -451,8 +453,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     safe = safe.withColumn("digest", F.md5(F.col(text).cast("binary")))
     # A row is known by its id and its text's digest, so that reading df twice needs no stable order.
     marked = safe.select(F.struct(key, "digest").alias("mark"), text).filter(F.col(f"mark.{key}").isNotNull() & F.col(text).isNotNull())
-    found = _classed(marked, "mark", text, similarity, k, bands, per_band, short, crowd, block)
-    first = found.groupBy("label").agg(F.min("id").alias("m")).select(F.col(f"m.{key}").alias("key"), "m.digest")
+    with scratch(df.sparkSession):
+        found = _classed(marked, "mark", text, similarity, k, bands, per_band, short, crowd, block)
+        first = materialize(found.groupBy("label").agg(F.min("id").alias("m")).select(F.col(f"m.{key}").alias("key"), "m.digest"), keep=True)
     with_text = safe.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).join(first, (F.col(key) == first["key"]) & (safe["digest"] == first["digest"]), "left_semi")
     no_text = safe.filter(F.col(key).isNotNull() & F.col(text).isNull())
     kept = with_text.dropDuplicates([key, "digest"]).union(no_text.dropDuplicates([key])).union(safe.filter(F.col(key).isNull()))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronospan.llm import langid, mixing, neardup, packing, queries, quality, secrets, sharding, tokens, topk, warc
+from chronospan.llm import common, langid, mixing, neardup, packing, queries, quality, secrets, sharding, tokens, topk, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, length int, slot string, spans int, c0 int, `part` string"
 LONG = "lorem ipsum dolor sit amet " * 8000
@@ -77,3 +77,11 @@ def test_stages_take_messy_and_empty_documents(spark, stage):
         assert len(ids) == 9
     if stage == "near_dedup":
         assert sorted(i for i in ids if i) == [1, 3, 4, 5, 6]
+
+
+def test_near_duplicates_leave_one_table_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    words = " ".join(f"w{i}" for i in range(60))
+    kept = neardup.keep_first(spark.createDataFrame([(1, words), (2, words + " more"), (3, "other text")], "doc_id long, text string"))
+    assert len(list(tmp_path.iterdir())) == 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
