@@ -8,7 +8,8 @@ pair is a link if its aligned similarity, 1 - word edits / words of the longer t
 the diagonals which that bound leaves. Classes are the connected components of links.
 
 Equal word lists are one text from the start; a text is named by one of its rows (uid), never by its id, which may repeat. In a bucket
-every text is first aligned with the bucket's smallest uid, so a group of n copies costs n alignments. Of the pairs that this leaves in
+every text meets the bucket's smallest uid. Each text is first aligned with the one of these that it shares most buckets with, so a group
+of n copies costs about n alignments, then with those of them that are still in another class. Of the pairs that this leaves in
 different classes every one is decided: in buckets up to `crowd` members they are joined, in larger ones compared block by block, where
 bounds from word counts, which lose no link, come before the alignment. Links shrink to a forest inside each task before they meet.
 """
@@ -352,11 +353,15 @@ def links(texts: DataFrame, similarity: float, crowd: int, block: int) -> DataFr
     spread = texts.select("id", F.explode("sketch").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("a")).filter("members > 1")
     buckets = materialize(spread.join(shared, "bucket"))
-    star = buckets.filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("members").alias("n"))
-    labels = components(materialize(verified(star, words, similarity)))
+    star = materialize(buckets.filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("members").alias("n"), F.count("*").alias("shared")))
+    nearest = star.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"), "n")).alias("m")).select((-F.col("m.a")).alias("a"), "b", "m.n")
+    labels = joined(verified(nearest, words, similarity))
+    rest = materialize(_apart(star, labels).select("a", "b", "n"))
+    if not rest.isEmpty():
+        labels = joined(verified(rest, words, similarity), labels)
     own = buckets.filter("members > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_ = own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
-    left = materialize(own.join(open_, "bucket", "left_semi").filter("id <> a"))  # each was aligned with its bucket's smallest already
+    left = materialize(own.join(open_, "bucket", "left_semi").filter("id <> a"))  # each was aligned with its bucket's smallest or is in its class
     few = left.filter(F.col("members") <= crowd).select("bucket", "id", "label")
     other = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("other"))
     pairs = few.join(other, "bucket").filter("id < b and label <> other").select(F.col("id").alias("a"), "b")
@@ -366,11 +371,23 @@ def links(texts: DataFrame, similarity: float, crowd: int, block: int) -> DataFr
     pairs = materialize(pairs.groupBy("a", "b").agg(F.lit(crowd).alias("n")))
     if pairs.isEmpty():
         return labels
-    more = verified(pairs, words, similarity)
-    return components(materialize(contracted(more.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))))
+    return joined(verified(pairs, words, similarity), labels)
 
 
-def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, bins: int = 64) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose texts are in different classes so far; labels: as of components."""
+    of_a, of_b = labels.select(F.col("id").alias("a"), F.col("label").alias("x")), labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).drop("x", "y")
+
+
+def joined(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """As components, of new edges together with the classes known so far."""
+    if labels is not None:
+        edges = contracted(edges.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+    return components(materialize(edges))
+
+
+def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, bins: int = 256) -> DataFrame:
     """All pairs (a, b) of different classes in crowded buckets, but those whose word counts rule a link out.
 
     left: as from _open. Members are dealt into blocks of about `block`, and a task compares two blocks of a bucket. An edit changes at
