@@ -10,8 +10,8 @@ the diagonals which that bound leaves. Classes are the connected components of l
 Equal word lists are one text from the start; a text is named by one of its rows (uid), never by its id, which may repeat. In a bucket
 every text meets the bucket's smallest uid. Each text is first aligned with the one of these that it shares most buckets with, so a group
 of n copies costs about n alignments, then with those of them that are still in another class. Of the pairs that this leaves in
-different classes every one is decided: in buckets up to `crowd` members they are joined, in larger ones compared block by block, where
-bounds from word counts, which lose no link, come before the alignment. Links shrink to a forest inside each task before they meet.
+different classes every one is decided: in buckets up to `crowd` members they are joined, in larger ones aligned block by block after
+bounds from word counts, which lose no link; only links leave such a task. Links shrink to a forest inside each task before they meet.
 """
 
 from __future__ import annotations
@@ -364,14 +364,14 @@ def links(texts: DataFrame, similarity: float, crowd: int, block: int) -> DataFr
     left = materialize(own.join(open_, "bucket", "left_semi").filter("id <> a"))  # each was aligned with its bucket's smallest or is in its class
     few = left.filter(F.col("members") <= crowd).select("bucket", "id", "label")
     other = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("other"))
-    pairs = few.join(other, "bucket").filter("id < b and label <> other").select(F.col("id").alias("a"), "b")
+    pairs = materialize(few.join(other, "bucket").filter("id < b and label <> other").groupBy(F.col("id").alias("a"), "b").agg(F.lit(crowd).alias("n")))
+    found = verified(pairs, words, similarity)
     many = left.filter(F.col("members") > crowd)
     if not many.isEmpty():
-        pairs = pairs.union(_crowded(many, words, similarity, block))
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.lit(crowd).alias("n")))
-    if pairs.isEmpty():
+        found = found.union(_crowded(many, words, similarity, block))
+    elif pairs.isEmpty():
         return labels
-    return joined(verified(pairs, words, similarity), labels)
+    return joined(found, labels)
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -387,49 +387,70 @@ def joined(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return components(materialize(edges))
 
 
-def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, bins: int = 256) -> DataFrame:
-    """All pairs (a, b) of different classes in crowded buckets, but those whose word counts rule a link out.
+def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, most_bytes: int = 1 << 24, bins: int = 256) -> DataFrame:
+    """Links (a, b), a > b, that connect all classes of crowded buckets which a link between two members connects.
 
-    left: as from _open. Members are dealt into blocks of about `block`, and a task compares two blocks of a bucket. An edit changes at
-    most two counts of words, hence at most two of their sums over `bins` groups of words, and one of them where lengths change.
+    left: (bucket, id, label, members). Members are dealt into blocks of about `block` texts and `most_bytes` of words, and a task aligns
+    the pairs of two blocks of a bucket, so that only links leave it. A pair with several such buckets is decided in one of them, drawn by
+    a hash. An edit changes at most two counts of words, hence at most two of their sums over `bins` groups of words, and one of them
+    where lengths change: other pairs are not aligned. Nor are those whose classes the task has already linked.
     """
-    def profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in it:
-            made = [np.minimum(np.bincount(np.frombuffer(w.as_buffer(), np.uint32) % bins, minlength=bins), 255).astype(np.uint8).tobytes() for w in rows.column(1)]
-            sizes = [len(w.as_buffer()) // 4 for w in rows.column(1)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int32()), pa.array(made, pa.binary())], names=["id", "n", "counts"])
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        ids, n = rows.column("id"), rows.column("n").to_numpy()
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, bins).astype(np.int16)
-        _, label = np.unique(np.array(rows.column("label").to_pylist()), return_inverse=True)
+        ids, bucket = rows.column("id").to_numpy(), rows.column("bucket").to_numpy()[:1].astype(np.uint64)
+        lists = [np.frombuffer(w.as_buffer(), np.uint32) for w in rows.column("words")]
+        n = np.array([len(w) for w in lists])
+        counts = np.stack([np.minimum(np.bincount(w % bins, minlength=bins), 255) for w in lists]).astype(np.int16)
+        shared = rows.column("crowds").combine_chunks()
+        met, at = shared.flatten().to_numpy().astype(np.uint64), np.r_[0, np.cumsum(shared.value_lengths().to_numpy())]
+        _, code = np.unique(met, return_inverse=True)
+        top = {x: x for x in rows.column("label").to_pylist()}
+        label = list(rows.column("label").to_pylist())
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
         side = rows.column("side").to_numpy()
         one = side[0] == 2  # a block against itself
         first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        a, b = [], []
-        for at, i in enumerate(first):
-            js = second[at + 1 :] if one else second
-            longest = np.maximum(n[js], n[i])
-            most = ((1 - similarity) * longest + 1e-9).astype(np.int64)
-            apart = np.abs(n[js] - n[i])
-            open_ = (label[js] != label[i]) & (apart <= most)
-            js, most, apart = js[open_], most[open_], apart[open_]
-            js = js[(np.abs(counts[js] - counts[i]).sum(axis=1) <= 2 * most)]
-            a += [i] * len(js)
-            b += js.tolist()
-        x, y = ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))
-        return pa.table({"x": x, "y": y})
-
-    ids = left.select("id").distinct()
-    made = words.join(ids, "id", "left_semi").select("id", "words").mapInArrow(profile, "id long, n int, counts binary")
-    blocks = F.ceil(F.col("members") / block).cast("int")
+        own, a, b = np.zeros(len(met) and int(code.max()) + 1, bool), [], []
+        for place, i in enumerate(first):
+            js = second[place + 1 :] if one else second
+            most = ((1 - similarity) * np.maximum(n[js], n[i]) + 1e-9).astype(np.int64)
+            fits = np.abs(n[js] - n[i]) <= most
+            js, most = js[fits], most[fits]
+            js = js[np.abs(counts[js] - counts[i]).sum(axis=1) <= 2 * most]
+            root = find(label[i])
+            js = js[np.array([find(label[j]) != root for j in js], bool)]
+            if not len(js):
+                continue
+            size = at[js + 1] - at[js]
+            begins = np.cumsum(size) - size
+            flat = np.arange(size.sum()) + np.repeat(at[js] - begins, size)
+            pair = _mix(ids[js].astype(np.uint64) + ids[i].astype(np.uint64))
+            own[code[at[i] : at[i + 1]]] = True
+            drawn = np.where(own[code[flat]], _mix(met[flat] ^ np.repeat(pair, size)), np.uint64(2**64 - 1))
+            own[code[at[i] : at[i + 1]]] = False
+            for j in js[np.minimum.reduceat(drawn, begins) == _mix(bucket ^ pair)]:
+                x, y = find(label[i]), find(label[j])
+                if x != y and similar(lists[i], lists[j], similarity):
+                    top[max(x, y)] = min(x, y)
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    crowds = left.groupBy("id").agg(F.collect_list("bucket").alias("crowds"))
+    made = words.join(crowds, "id").select("id", "crowds", "words")
+    bytes_ = left.join(words.select("id", F.octet_length("words").alias("size")), "id").groupBy("bucket").agg(F.sum("size").alias("size"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("size") / most_bytes, F.lit(1))).cast("int")
     own = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")
-    dealt = left.withColumn("blocks", blocks).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = left.join(bytes_, "bucket").withColumn("blocks", blocks).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "id", "label")
-    met = dealt.join(made, "id").groupBy("bucket", "i", "j").applyInArrow(compare, "x long, y long")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return dealt.join(made, "id").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _classed(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int, bands: int, per_band: int, short: int, crowd: int, block: int) -> DataFrame:
@@ -445,7 +466,7 @@ def _classed(df: DataFrame, id_col: str, text_col: str, similarity: float, k: in
     return made.select("row", "id", "key").join(of_text.join(smallest, "label").select("key", "label", "class_id"), "key").drop("key")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24, block: int = 1024) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24, block: int = 512) -> DataFrame:
     """One row per row of df with a non-null id: id and class_id, the smallest id of its class of exact and near copies.
 
     Texts without a word form a class with texts equal to them; a null text is alone in its class; repeated rows share their class, and
@@ -458,7 +479,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     return known.union(rest).withColumnRenamed("id", id_col)
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24, block: int = 1024) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 3, bands: int = 40, per_band: int = 2, short: int = 24, crowd: int = 24, block: int = 512) -> DataFrame:
     """The rows of df without further copies: of each class one row of its smallest id stays; columns as they were.
 
     Rows with a null id or text stay, the latter once per id. Empty and very long texts are texts like others. An id with several texts
