@@ -450,7 +450,7 @@ def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, m
     dealt = left.join(bytes_, "bucket").withColumn("blocks", blocks).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "id", "label")
-    return dealt.join(made, "id").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.join(made, "id").repartition("bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _classed(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int, bands: int, per_band: int, short: int, crowd: int, block: int) -> DataFrame:
