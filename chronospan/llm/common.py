@@ -61,6 +61,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+@contextmanager
+def row_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside send at most so many rows at once to Python; the session's own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def n_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, quality, secrets, sharding, tokens, topk, warc
+from . import langid, lloyd, mixing, neardup, packing, quality, secrets, sharding, tokens, topk, warc
 from .common import documents
 
 
@@ -64,14 +64,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    away = "list_sum(list_transform(list_zip(v.vec, c.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT v.nr, any_value(v.vec_id) AS vec_id, any_value(v.vec) AS vec, min({{'d': CAST({away} AS BIGINT), 'c': c.c}}) AS m FROM v, c{i} c GROUP BY v.nr)")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.vec, c.vec) AS vec FROM c{i} c LEFT JOIN (SELECT c, list(x ORDER BY i) AS vec
+            FROM (SELECT m.c AS c, i, CAST(floor(sum(vec[i]) / count(*)) AS BIGINT) AS x FROM a{i}, range(1, 65) r(i) GROUP BY m.c, i) GROUP BY c) n ON n.c = c.c)""")
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), vec) - 1 AS c, vec FROM v ORDER BY sha256('1:' || vec_id), vec LIMIT 16),
+        {", ".join(steps[:-1])}
+        SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.vec, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} c ON c.c = m.c"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_language_id, op3_best_fit_packing, op4_warc_fixity, op5_pfair_mixing,
         op6_order_minhash, op7_token_counts, op8_exact_top_k, op9_sharding, op10_quality_rules,
+        op12_delta_lloyd,
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op12_delta_lloyd": _lloyd_sql(),
     "op4_warc_fixity": r"""
         WITH texts AS (
             SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
