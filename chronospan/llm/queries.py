@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lloyd, mixing, neardup, packing, quality, secrets, sharding, tokens, topk, warc
+from . import langid, lloyd, mixing, neardup, packing, quality, secrets, sharding, suffixes, tokens, topk, warc
 from .common import documents
 
 
@@ -85,16 +85,32 @@ def _lloyd_sql(rounds: int = 3) -> str:
         FROM a{rounds} JOIN c{rounds} c ON c.c = m.c"""
 
 
+def op13_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_language_id, op3_best_fit_packing, op4_warc_fixity, op5_pfair_mixing,
         op6_order_minhash, op7_token_counts, op8_exact_top_k, op9_sharding, op10_quality_rules,
-        op12_delta_lloyd,
+        op12_delta_lloyd, op13_suffix_decontamination,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op12_delta_lloyd": _lloyd_sql(),
+    "op13_suffix_decontamination": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        v AS (SELECT item_id, least(len(w), 10) AS k, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS a FROM i WHERE len(w) > 0),
+        win AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, a, a + k - 1), ' ') AS s FROM v),
+        p AS (SELECT nr, k, w, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+        o AS MATERIALIZED (SELECT nr, a, p.k, item_id FROM p JOIN win ON win.k = p.k AND win.s = array_to_string(list_slice(p.w, a, a + p.k - 1), ' ')),
+        h AS (SELECT nr, count(DISTINCT x) AS n_hit FROM (SELECT nr, unnest(range(a, a + k)) AS x FROM (SELECT DISTINCT nr, a, k FROM o)) GROUP BY nr),
+        t AS (SELECT nr, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT nr, CAST(item_id AS VARCHAR) AS id FROM o) GROUP BY nr)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (nr) LEFT JOIN t USING (nr)""",
     "op4_warc_fixity": r"""
         WITH texts AS (
             SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
