@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lloyd, mixing, neardup, packing, quality, secrets, sharding, suffixes, tokens, topk, warc
+from . import align, langid, lloyd, mixing, neardup, packing, quality, secrets, sharding, suffixes, tokens, topk, warc
 from .common import documents
 
 
@@ -64,6 +64,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op11_event_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(documents(spark, sf_dir), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -94,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_scan, op2_language_id, op3_best_fit_packing, op4_warc_fixity, op5_pfair_mixing,
         op6_order_minhash, op7_token_counts, op8_exact_top_k, op9_sharding, op10_quality_rules,
-        op12_delta_lloyd, op13_suffix_decontamination,
+        op11_event_sweep, op12_delta_lloyd, op13_suffix_decontamination,
     )
 }
 ORACLE_SQL: dict[str, str] = {

@@ -415,19 +415,23 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, items: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shard_bytes: int = 4 << 20, block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of docs, whole, in which no window of an item occurs; null texts stay."""
-    for block in _blocks(items, item_col, item_text, block_bytes):
-        sent = _sent(block)
+    """The rows of docs, whole, in which no window of an item occurs; null texts stay. Rows left are written between blocks of items."""
+    spark, blocks = docs.sparkSession, _blocks(items, item_col, item_text, block_bytes)
+    schema, names = docs.schema, docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    inner, at = docs.schema, names.index(text_col)
+    with row_batches(spark, 1000), scratch(spark):
+        for block in blocks:
+            sent = _sent(block)
 
-        def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Items.of(sent.value, width)
-            for batch in it:
-                spans = scanned(batch.column(batch.schema.get_field_index("text_to_scan")), known, width, shard_bytes)[1]
-                yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
+            def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                known = Items.of(sent.value, width)
+                for batch in it:
+                    yield batch.filter(pa.array([not s for s in scanned(batch.column(at), known, width, shard_bytes)[1]], pa.bool_()))
 
-        docs = docs.withColumn("text_to_scan", F.col(text_col)).mapInArrow(run, docs.schema.add("text_to_scan", "string")).drop("text_to_scan")
-    small_batches(docs.sparkSession)
-    return docs
+            docs = materialize(docs.mapInArrow(run, inner), keep=block is blocks[-1])
+            sent.destroy()
+    return docs.toDF(*schema.names)
 
 
 def longest_matches(
