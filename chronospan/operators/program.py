@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 POINTS = {"START": "start", "END": "end", "EXTREMUM_POINT": "ext"}
@@ -34,27 +36,35 @@ def slots(low: Column, high: Column, size: int = DAY) -> Column:
     return F.when(low <= high, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
-def spans(series: DataFrame, periods: float = 5.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(log edges by rec, each event's first and last sample, its gaps over max(1 s, `periods` median periods))."""
-    log = series.groupBy("rec").agg(F.min("t").alias("l0"), F.max("t").alias("l1"))
+@dataclass(frozen=True)
+class Spans:
+    """Where samples are: log edges by rec, each event's first and last sample, its gaps over max(1 s, some median periods)."""
+
+    log: DataFrame
+    span: DataFrame
+    wide: DataFrame
+
+
+def spans(series: DataFrame, periods: float = 5.0) -> Spans:
+    """One scan of the samples: their gaps are written once, and all three tables come from there."""
     order = Window.partitionBy("rec", "event").orderBy("t", "seq")
-    gaps = series.select("rec", "event", F.col("t").alias("g0"), F.lead("t").over(order).alias("g1"))
-    span = gaps.groupBy("rec", "event").agg(F.min("g0").alias("f0"), F.max("g0").alias("f1"), F.percentile(F.col("g1") - F.col("g0"), 0.5).alias("period"))
+    gaps = stored(series.select("rec", "event", F.col("t").alias("g0"), F.lead("t").over(order).alias("g1")))
+    log = gaps.groupBy("rec").agg(F.min("g0").alias("l0"), F.max("g0").alias("l1"))
+    span = stored(gaps.groupBy("rec", "event").agg(F.min("g0").alias("f0"), F.max("g0").alias("f1"), F.percentile(F.col("g1") - F.col("g0"), 0.5).alias("period")))
     limit = F.greatest(F.lit(float(SECOND)), periods * F.coalesce("period", F.lit(0.0)))
     wide = gaps.join(span.select("rec", "event", "period"), ["rec", "event"]).filter(F.col("g1") - F.col("g0") > limit).select("rec", "event", "g0", "g1")
-    return log, span.drop("period"), wide
+    return Spans(stored(log), span.drop("period"), stored(wide))
 
 
-def covered(windows: DataFrame, series: DataFrame, hard: bool) -> DataFrame:
-    """windows (rec, event, wid, low, high) with covered and absent (no sample of the event in the log).
+def covered(windows: DataFrame, known: Spans, hard: bool) -> DataFrame:
+    """windows (rec, event, wid, low, high, ...) with covered and absent (no sample of the event in the log).
 
     hard: the log's ends cut a window; else a window beyond them is not covered, as what it waits for may happen later. Inside, samples
     must reach both edges to a second, without a wide gap in between. A window outside the log is covered. Windows meet gaps in buckets.
     """
-    log, span, wide = spans(series)
-    w = windows.join(log, "rec", "left").join(span, ["rec", "event"], "left")
+    w = windows.join(known.log, "rec", "left").join(known.span, ["rec", "event"], "left")
     w = w.withColumn("lo", F.greatest("low", "l0")).withColumn("hi", F.least("high", "l1"))
-    cut = wide.withColumn("slot", F.explode(slots(F.col("g0"), F.col("g1")))).alias("g")
+    cut = known.wide.withColumn("slot", F.explode(slots(F.col("g0"), F.col("g1")))).alias("g")
     spread = w.filter("lo < hi").select("rec", "event", "wid", "lo", "hi", F.explode(slots(F.col("lo"), F.col("hi"))).alias("slot"))
     hit = spread.join(cut, ["rec", "event", "slot"]).filter("g1 > lo and g0 < hi").select("rec", "event", "wid").distinct().withColumn("gap", F.lit(True))
     w = w.join(hit, ["rec", "event", "wid"], "left")
@@ -72,12 +82,13 @@ def breadth_first(primary: str, relations: list[Relation]) -> list[Relation]:
     return found
 
 
-def bind_tree(instances: DataFrame, series: DataFrame, primary: str, relations: list[Relation], unexpressible: tuple[str, ...] = ()) -> DataFrame:
+def bind_tree(instances: DataFrame, known: Spans, primary: str, relations: list[Relation], unexpressible: tuple[str, ...] = ()) -> DataFrame:
     """A row per primary instance: rec, iid, a struct per event (null: not bound), clauses (event, truth, reason, required), ordinal,
     definite, and start and end of the match.
 
     Each child is bound to one parent instance, TRUE ones first, then the earliest (BEFORE: latest, WITHIN: nearest); no child: FALSE where
-    the child's samples cover the window, else UNKNOWN. An unbound parent leaves its children UNKNOWN.
+    the child's samples cover the window, else UNKNOWN. An unbound parent leaves its children UNKNOWN. The bindings are written after each
+    relation, so a tree of n relations reads the instances n + 1 times.
     """
     one = F.struct("iid", "start", "end", "ext", "truth", "value")
     bound = instances.filter(F.col("event") == primary).select("rec", "iid", one.alias(primary))
@@ -91,16 +102,17 @@ def bind_tree(instances: DataFrame, series: DataFrame, primary: str, relations:
             "AFTER": (p + r.least, p + r.most), "BEFORE": (p - r.most, p - r.least), "WITHIN": (p - r.most, p + r.most),
             "DURING": (F.col(f"{r.parent}.start"), F.col(f"{r.parent}.end")),
         }[r.kind]
-        windows = bound.filter(F.col(r.parent).isNotNull()).select("rec", "iid", p.alias("p"), low.alias("low"), high.alias("high"))
+        bound = stored(bound)
+        asked = bound.withColumn("p", p).withColumn("low", low).withColumn("high", high)
+        windows = asked.filter(F.col(r.parent).isNotNull()).select("rec", "iid", "p", "low", "high")
         at = F.col(POINTS[r.child_point])
         children = instances.filter(F.col("event") == r.child).select("rec", at.alias("at"), F.floor(at / DAY).alias("slot"), one.alias("child"))
         met = windows.withColumn("slot", F.explode(slots(F.col("low"), F.col("high")))).join(children, ["rec", "slot"]).filter("at between low and high")
         key = {"BEFORE": -F.col("at"), "WITHIN": F.abs(F.col("at") - F.col("p"))}.get(r.kind, F.col("at"))
         best = F.min(F.struct((F.col("child.truth") != "TRUE").alias("doubt"), key.alias("key"), F.col("child.iid").alias("nr"), "child"))
         picked = met.groupBy("rec", "iid").agg(best.alias("b")).select("rec", "iid", F.col("b.child").alias(r.child))
-        seen = covered(windows.select("rec", F.lit(r.child).alias("event"), F.col("iid").alias("wid"), "low", "high"), series, hard=False)
-        seen = seen.select("rec", F.col("wid").alias("iid"), "covered", "absent")
-        bound = bound.join(picked, ["rec", "iid"], "left").join(seen, ["rec", "iid"], "left")
+        seen = covered(asked.withColumn("event", F.lit(r.child)).withColumnRenamed("iid", "wid"), known, hard=False).withColumnRenamed("wid", "iid")
+        bound = seen.drop("event", "p", "low", "high").join(picked, ["rec", "iid"], "left")
         child = F.col(r.child)
         truth = F.when(F.col(r.parent).isNull(), "UNKNOWN").when(child.isNotNull(), child["truth"]).when(F.col("covered") & ~F.col("absent"), "FALSE").otherwise("UNKNOWN")
         reason = (
@@ -139,7 +151,7 @@ def weakest_basis(basis: dict[str, str]) -> Column:
     return F.element_at(F.array(*map(F.lit, BASES)), F.coalesce(F.array_max(F.array(*ranks)), F.lit(0)) + 1)
 
 
-def best_near(matches: DataFrame, seeds: DataFrame, primary: str, series: DataFrame, slack: int) -> DataFrame:
+def best_near(matches: DataFrame, seeds: DataFrame, primary: str, known: Spans, slack: int) -> DataFrame:
     """Every seed (rec, sid, s0, s1) with the best match whose primary overlaps [s0 - slack, s1 + slack]: iid and ordinal, truth, reason.
 
     Best: highest ordinal, then the primary nearest to the seed's end. No primary near: FALSE where covered, else UNKNOWN.
@@ -151,7 +163,7 @@ def best_near(matches: DataFrame, seeds: DataFrame, primary: str, series: DataFr
     met = spread.join(p, ["rec", "slot"]).filter("a <= high and b >= low")
     pick = F.min(F.struct((-F.col("ordinal")).alias("o"), F.abs(F.col("a") - F.col("s1")).alias("away"), "iid"))
     best = met.groupBy("rec", "sid").agg(pick.alias("m")).select("rec", "sid", F.col("m.iid").alias("iid"), (-F.col("m.o")).alias("ordinal"))
-    seen = covered(own.select("rec", F.lit(primary).alias("event"), F.col("sid").alias("wid"), "low", "high"), series, hard=True).select("rec", F.col("wid").alias("sid"), "covered", "absent")
+    seen = covered(own.select("rec", F.lit(primary).alias("event"), F.col("sid").alias("wid"), "low", "high"), known, hard=True).select("rec", F.col("wid").alias("sid"), "covered", "absent")
     out = own.join(best, ["rec", "sid"], "left").join(seen, ["rec", "sid"])
     none = F.when(F.col("absent"), "UNKNOWN").when(F.col("covered"), "FALSE").otherwise("UNKNOWN")
     truth = F.when(F.col("iid").isNull(), none).when(F.col("ordinal") >= 2, "TRUE").when(F.col("ordinal") > 0, "UNKNOWN").otherwise("FALSE")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def candidate_window(window_id: Column, width: int) -> Column:
     """Struct (rec, start, end) of a window id 'rec@seconds', width in seconds, in microseconds."""
@@ -37,14 +39,23 @@ def deduped(ranked: DataFrame, item: str, rank: list[Column]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows with `rank` from 1 in the given order: rows of a range of the order are counted first, so no task holds them all."""
+    """rows with `rank` from 1 in the given order: rows of a range of the order are counted first, so no task holds them all.
+
+    The ranges are written before they are counted: their bounds are drawn from a sample, and a second run could draw others.
+    """
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = spread.withColumn("num_part", F.spark_partition_id()).withColumn("num_at", F.monotonically_increasing_id().bitwiseAND(2**33 - 1))
+    marked = stored(spread.withColumn("num_part", F.spark_partition_id()).withColumn("num_at", F.monotonically_increasing_id().bitwiseAND(2**33 - 1)))
     before = Window.orderBy("num_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = marked.groupBy("num_part").agg(F.count("*").alias("n")).withColumn("num_first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # a row per task
     return marked.join(F.broadcast(firsts), "num_part").withColumn("rank", F.col("num_first") + F.col("num_at") + 1).drop("num_part", "num_at", "num_first")
 
 
+def selection(quantifier: str) -> list[Column]:
+    """Order of all candidates (truth, start, best, id) under a selection: truth first, nothing is cut; without samples (null) last."""
+    by = {"ARGMIN": F.asc_nulls_last("best"), "ARGMAX": F.desc_nulls_last("best")}.get(quantifier, F.asc("start"))
+    return [F.desc("truth"), by, F.col("id")]
+
+
 def union_scores(generators: dict[str, DataFrame]) -> DataFrame:
     """(id, first_stage, scores) over generators' (id, score): the first generator's seed wins, every stage's score is kept."""
     parts = [df.select("id", F.lit(i).alias("nr"), F.lit(name).alias("stage"), "score") for i, (name, df) in enumerate(generators.items())]

@@ -52,7 +52,7 @@ TREE = f"""WITH {SERIES}, {INSTANCES}, {SPANS},
 
 def _tree(spark: SparkSession, sf_dir: str, unexpressible: tuple[str, ...] = ()) -> DataFrame:
     s = series(spark, sf_dir)
-    return program.bind_tree(_instances(s), _samples(s), "purchase", RELATIONS, unexpressible)
+    return program.bind_tree(_instances(s), program.spans(_samples(s)), "purchase", RELATIONS, unexpressible)
 
 
 @query(f"""{TREE} SELECT rec, iid, c1 AS view_iid, c2 AS error_iid, truth1 AS view_truth, reason1 AS view_reason, truth2 AS error_truth, reason2 AS error_reason,
@@ -65,7 +65,7 @@ def rel_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{TREE} SELECT rec, iid, c1 AS child, truth1 AS truth, reason1 AS reason FROM w1""")
 def rel_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
-    m = program.bind_tree(_instances(s), _samples(s), "purchase", RELATIONS[:1])
+    m = program.bind_tree(_instances(s), program.spans(_samples(s)), "purchase", RELATIONS[:1])
     return m.select("rec", "iid", F.col("view.iid").alias("child"), F.col("clauses")[1]["truth"].alias("truth"), F.col("clauses")[1]["reason"].alias("reason"))
 
 
@@ -123,7 +123,9 @@ NEAR = f"""{TREE}, {SEEDS},
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
     seeds = s.filter("topic = 'click'").select("rec", F.col("seq").alias("sid"), F.col("t").alias("s0"), (F.col("t") + 4 * HOUR).alias("s1"))
-    return program.best_near(_tree(spark, sf_dir), seeds, "purchase", _samples(s), 6 * HOUR).withColumn("ordinal", F.round("ordinal", 6))
+    known = program.spans(_samples(s))
+    matches = program.bind_tree(_instances(s), known, "purchase", RELATIONS)
+    return program.best_near(matches, seeds, "purchase", known, 6 * HOUR).withColumn("ordinal", F.round("ordinal", 6))
 
 
 @query(f"{NEAR} SELECT * FROM best")
@@ -162,7 +164,7 @@ def status_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cov_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _samples(series(spark, sf_dir))
     windows = s.select("rec", "event", F.col("seq").alias("wid"), (F.col("t") - 6 * HOUR).alias("low"), (F.col("t") + 6 * HOUR).alias("high"))
-    return program.covered(windows, s, hard=True).select("rec", "event", "wid", "covered")
+    return program.covered(windows, program.spans(s), hard=True).select("rec", "event", "wid", "covered")
 
 
 @query(f"""WITH {SERIES}, {INSTANCES}, c AS (SELECT rec, seq, t FROM s WHERE topic = 'view'),

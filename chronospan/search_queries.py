@@ -85,25 +85,24 @@ def sel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.numbered(_candidates(spark, sf_dir).select("id", "truth", "start"), [F.desc("truth"), F.col("start"), F.col("id")]).select("id", "rank")
 
 
-@query(f"WITH {SERIES}, {CANDIDATES} SELECT rec, id, start FROM cd QUALIFY row_number() OVER (PARTITION BY rec ORDER BY truth DESC, start, id) = 1")
+@query(f"WITH {SERIES}, {CANDIDATES} SELECT id, rec, truth, start, row_number() OVER (ORDER BY truth DESC, start, id) AS rank FROM cd")
 def sel_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.min(F.struct((-F.col("truth")).alias("o"), "start", "id")).alias("m")
-    return _candidates(spark, sf_dir).groupBy("rec").agg(first).select("rec", "m.id", "m.start")
+    return search.numbered(_candidates(spark, sf_dir).select("id", "rec", "truth", "start"), search.selection("FIRST"))
 
 
-BEST = "v AS (SELECT cd.rec, cd.id, {f}(s.y) AS best FROM cd LEFT JOIN s ON s.rec = cd.rec AND s.t BETWEEN cd.start AND cd.\"end\" GROUP BY cd.rec, cd.id)"
+BEST = "v AS (SELECT cd.rec, cd.id, cd.truth, {f}(s.y) AS best FROM cd LEFT JOIN s ON s.rec = cd.rec AND s.t BETWEEN cd.start AND cd.\"end\" GROUP BY cd.rec, cd.id, cd.truth)"
 
 
-@query(f"WITH {SERIES}, {CANDIDATES}, {BEST.format(f='min')} SELECT id, best, row_number() OVER (ORDER BY best NULLS LAST, id) AS rank FROM v")
+@query(f"WITH {SERIES}, {CANDIDATES}, {BEST.format(f='min')} SELECT id, truth, best, row_number() OVER (ORDER BY truth DESC, best NULLS LAST, id) AS rank FROM v")
 def sel_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = search.best_of_interval(_candidates(spark, sf_dir), series(spark, sf_dir), "min", 4 * HOUR)
-    return search.numbered(best.select("id", "best"), [F.asc_nulls_last("best"), F.col("id")])
+    return search.numbered(best.select("id", "truth", "best"), search.selection("ARGMIN"))
 
 
-@query(f"WITH {SERIES}, {CANDIDATES}, {BEST.format(f='max')} SELECT id, best, row_number() OVER (ORDER BY best DESC NULLS LAST, id) AS rank FROM v")
+@query(f"WITH {SERIES}, {CANDIDATES}, {BEST.format(f='max')} SELECT id, truth, best, row_number() OVER (ORDER BY truth DESC, best DESC NULLS LAST, id) AS rank FROM v")
 def sel_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = search.best_of_interval(_candidates(spark, sf_dir), series(spark, sf_dir), "max", 4 * HOUR)
-    return search.numbered(best.select("id", "best"), [F.desc_nulls_last("best"), F.col("id")])
+    return search.numbered(best.select("id", "truth", "best"), search.selection("ARGMAX"))
 
 
 @query(f"WITH {SERIES} SELECT DISTINCT rec FROM s WHERE rec % 3 <> 1 INTERSECT SELECT rec FROM s WHERE topic = 'error' EXCEPT SELECT rec FROM s WHERE topic = 'signup' AND y > 150")
