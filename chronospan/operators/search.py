@@ -89,12 +89,3 @@ def mean_vector(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
     placed = rows.select(*keys, F.posexplode(vec).alias("place", "x")).groupBy(*keys, "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
     whole = placed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("v"))
     return whole.select(*keys, l2_normal(F.col("v")).alias(vec))
-
-
-def chunks(intervals: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Intervals (rec, start, end) cut into parts of at most `size` that overlap by `overlap`: (rec, start, end, nr)."""
-    step = size - overlap
-    n = F.greatest(F.ceil((F.col("end") - F.col("start") - overlap) / F.lit(step)), F.lit(1))
-    cut = intervals.withColumn("nr", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    begin = F.col("start") + F.col("nr") * step
-    return cut.select("rec", begin.alias("start"), F.least(begin + size, F.col("end")).alias("end"), "nr")

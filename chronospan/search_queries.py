@@ -164,13 +164,6 @@ def ag_window_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("label", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 5))
 
 
-@query(f"""WITH {SERIES}, iv AS (SELECT rec, min(t) AS a, max(t) AS b FROM s GROUP BY rec), n AS (SELECT *, greatest(CAST(ceil((b - a - {2 * HOUR}) / {28 * HOUR}) AS BIGINT), 1) AS n FROM iv), c AS (SELECT rec, a, b, unnest(range(n)) AS nr FROM n)
-    SELECT rec, a + nr * {28 * HOUR} AS start, least(a + nr * {28 * HOUR} + {30 * HOUR}, b) AS "end", nr FROM c""")
-def iv_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iv = series(spark, sf_dir).groupBy("rec").agg(F.min("t").alias("start"), F.max("t").alias("end"))
-    return search.chunks(iv, 30 * HOUR, 2 * HOUR)
-
-
 # Scalar functions.
 
 
