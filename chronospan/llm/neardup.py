@@ -390,8 +390,9 @@ def joined(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, most_bytes: int = 1 << 24, bins: int = 256) -> DataFrame:
     """Links (a, b), a > b, that connect all classes of crowded buckets which a link between two members connects.
 
-    left: (bucket, id, label, members). Members are dealt into blocks of about `block` texts and `most_bytes` of words, and a task aligns
-    the pairs of two blocks of a bucket, so that only links leave it. A pair with several such buckets is decided in one of them, drawn by
+    left: (bucket, id, label, members). Members are dealt into blocks of about `block` texts and `most_bytes` of words, those of the
+    bucket's largest class apart from the others, and a task aligns the pairs of two blocks of a bucket, so that only links leave it. Two
+    blocks of the largest class never meet: its texts go once to each block of the others. A pair with several such buckets is decided in one of them, drawn by
     a hash. An edit changes at most two counts of words, hence at most two of their sums over `bins` groups of words, and one of them
     where lengths change: other pairs are not aligned. Nor are those whose classes the task has already linked.
     """
@@ -444,10 +445,17 @@ def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, m
 
     crowds = left.groupBy("id").agg(F.collect_list("bucket").alias("crowds"))
     made = words.join(crowds, "id").select("id", "crowds", "words")
-    bytes_ = left.join(words.select("id", F.octet_length("words").alias("size")), "id").groupBy("bucket").agg(F.sum("size").alias("size"))
-    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("size") / most_bytes, F.lit(1))).cast("int")
-    own = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")
-    dealt = left.join(bytes_, "bucket").withColumn("blocks", blocks).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sized = left.join(words.select("id", F.octet_length("words").alias("size")), "id")
+    per = sized.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = F.max(F.struct("n", (-F.col("label")).alias("of"), "size")).alias("m")
+    per = per.groupBy("bucket").agg(largest, F.sum("n").alias("n"), F.sum("size").alias("size"))
+    parts = lambda n, size: F.ceil(F.greatest(n / block, size / most_bytes)).cast("int")
+    per = per.select("bucket", (-F.col("m.of")).alias("main"), parts(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("few"), parts(F.col("m.n"), F.col("m.size")).alias("many"))
+    dealt = left.join(per.filter("few > 0"), "bucket").withColumn("of_main", F.col("label") == F.col("main"))
+    draw = F.xxhash64("id", "bucket")
+    own = F.when(F.col("of_main"), F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("int")
+    upto = F.when(F.col("of_main"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    dealt = dealt.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), upto)))
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "id", "label")
     return dealt.join(made, "id").repartition("bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
