@@ -342,4 +342,4 @@ def lb_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.latest(series(spark, sf_dir), ["rec", "topic"], [F.desc("y"), F.col("seq")]).select("rec", "topic", "t", "y", "seq")
 
 
-from . import program_queries, report_queries, search_queries, sequence_queries, signal_queries, timeline_queries  # noqa: E402, F401  they register their own
+from . import program_queries, report_queries, search_queries, sequence_queries, signal_queries, stage_queries, timeline_queries  # noqa: E402, F401  they register their own
