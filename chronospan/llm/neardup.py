@@ -293,10 +293,9 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float, share: int =
         yield from forest(good())
 
     pairs = materialize(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("n") / share + 1).cast("int")))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = materialize(words.join(used, "id", "left_semi"))
-    right = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    left = pairs.select("a", "part").distinct().join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+    # Both sides grow with the corpus: they meet by a sort at every size.
+    right = pairs.hint("merge").join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    left = pairs.select("a", "part").distinct().hint("merge").join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
     return right.join(left, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -349,22 +348,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, similarity: float, crowd: int, block: int) -> DataFrame:
     """(id, label) of the texts that are not the smallest of their class; texts: (id, words, sketch)."""
-    words = texts.select("id", "words")
     spread = texts.select("id", F.explode("sketch").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("a")).filter("members > 1")
     buckets = materialize(spread.join(shared, "bucket"))
+    words = materialize(_words_of(texts, buckets))  # of texts that meet another one; the others' words move once, here
     star = materialize(buckets.filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("members").alias("n"), F.count("*").alias("shared")))
     nearest = star.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"), "n")).alias("m")).select((-F.col("m.a")).alias("a"), "b", "m.n")
     labels = joined(verified(nearest, words, similarity))
     rest = materialize(_apart(star, labels).select("a", "b", "n"))
     if not rest.isEmpty():
-        labels = joined(verified(rest, words, similarity), labels)
+        labels = joined(verified(rest, materialize(_words_of(words, rest.select(F.explode(F.array("a", "b")).alias("id")))), similarity), labels)
     own = buckets.filter("members > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_ = own.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).filter("least <> greatest").select("bucket")
     left = materialize(own.join(open_, "bucket", "left_semi").filter("id <> a"))  # each was aligned with its bucket's smallest or is in its class
     few = left.filter(F.col("members") <= crowd).select("bucket", "id", "label")
     other = few.select("bucket", F.col("id").alias("b"), F.col("label").alias("other"))
     pairs = materialize(few.join(other, "bucket").filter("id < b and label <> other").groupBy(F.col("id").alias("a"), "b").agg(F.lit(crowd).alias("n")))
+    words = materialize(_words_of(words, left))  # what is still open
     found = verified(pairs, words, similarity)
     many = left.filter(F.col("members") > crowd)
     if not many.isEmpty():
@@ -374,6 +374,11 @@ def links(texts: DataFrame, similarity: float, crowd: int, block: int) -> DataFr
     return joined(found, labels)
 
 
+def _words_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, words) of the texts whose id is among ids."""
+    return texts.select("id", "words").join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) whose texts are in different classes so far; labels: as of components."""
     of_a, of_b = labels.select(F.col("id").alias("a"), F.col("label").alias("x")), labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
