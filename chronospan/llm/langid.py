@@ -150,15 +150,29 @@ def _messages(emit: np.ndarray, begins: np.ndarray, lengths: np.ndarray, trans:
     return out
 
 
-def marginals(model: Model, w: Words, scores: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """(language probabilities of every word, expected transitions summed over the chain's inner steps if asked for)."""
-    emit = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
-    trans, first = np.exp(model.trans.astype(np.float64)), np.exp(model.first.astype(np.float64))
+def _emissions(scores: np.ndarray) -> np.ndarray:
+    return np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
+
+
+def _backward(model: Model, w: Words, emit: np.ndarray, end: np.ndarray | None) -> np.ndarray:
+    """From the end the chains run the same way: emissions times what the later words say. end: the message of the word behind, if any."""
     begins = np.flatnonzero(w.restart)
     lengths = np.diff(np.r_[begins, w.count])
-    forward = _messages(emit, begins, lengths, trans, first)
-    # From the end the chains run the same way: emissions times what the later words say.
-    backward = _messages(emit[::-1], (w.count - begins - lengths)[::-1], lengths[::-1], trans.T, np.ones(len(first)))[::-1]
+    trans = np.exp(model.trans.astype(np.float64)).T
+    return _messages(emit[::-1], (w.count - begins - lengths)[::-1], lengths[::-1], trans, np.ones(len(trans)) if end is None else end @ trans)[::-1]
+
+
+def _forward(model: Model, w: Words, emit: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+    """start: the message of the word before, if any."""
+    begins = np.flatnonzero(w.restart)
+    trans = np.exp(model.trans.astype(np.float64))
+    return _messages(emit, begins, np.diff(np.r_[begins, w.count]), trans, np.exp(model.first.astype(np.float64)) if start is None else start @ trans)
+
+
+def marginals(model: Model, w: Words, scores: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(language probabilities of every word, expected transitions summed over the chain's inner steps if asked for)."""
+    emit, trans = _emissions(scores), np.exp(model.trans.astype(np.float64))
+    forward, backward = _forward(model, w, emit, None), _backward(model, w, emit, None)
     node = forward * backward / emit
     node /= node.sum(axis=1, keepdims=True)
     if not pairs:
@@ -247,14 +261,17 @@ class Labels:
 
 def predict(model: Model | None, texts: list[str], runs: bool = False, most_chars: int = 200_000) -> list[Labels]:
     """Labels of each text; 'und' and 0 without a letter or a model. About most_chars characters at once bound the memory; a longer
-    text is labelled in windows that end between words, each the context of its own words alone."""
+    text is one chain all the same: messages pass from window to window, back to front first, then front to back."""
     out = [Labels() for _ in texts]
     if model is None:
         return out
     sums: dict[int, np.ndarray] = {}
     seen: dict[int, np.ndarray] = {}
     last: dict[int, int] = {}
-    todo = [(i, a, b) for i, t in enumerate(texts) for a, b in _windows(t, most_chars)]
+    for i, t in enumerate(texts):
+        if len(t) > most_chars:
+            _long(model, i, t, _windows(t, most_chars), sums, seen, last, out, runs)
+    todo = [(i, 0, len(t)) for i, t in enumerate(texts) if len(t) <= most_chars]
     at = 0
     while at < len(todo):
         to, size = at, 0
@@ -263,7 +280,7 @@ def predict(model: Model | None, texts: list[str], runs: bool = False, most_char
             to += 1
         w = Words([texts[i][a:b] for i, a, b in todo[at:to]])
         if w.count:
-            _read(model, w, todo[at:to], sums, seen, last, out, runs)
+            _read(model, w, marginals(model, w, model.scores(w), pairs=False)[0], todo[at:to], sums, seen, last, out, runs)
         at = to
     for i, total in sums.items():
         found, best = out[i], int(total[:-1].argmax())
@@ -283,8 +300,29 @@ def _windows(text: str, size: int) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(text)], strict=True))
 
 
-def _read(model: Model, w: Words, windows: list[tuple[int, int, int]], sums: dict, seen: dict, last: dict, out: list[Labels], runs: bool) -> None:
-    node, _ = marginals(model, w, model.scores(w), pairs=False)
+def _long(model: Model, i: int, text: str, windows: list[tuple[int, int]], sums: dict, seen: dict, last: dict, out: list[Labels], runs: bool) -> None:
+    """Labels a text window by window; what is kept between windows is a message each."""
+    behind: list[np.ndarray | None] = [None]
+    for a, b in reversed(windows[1:]):
+        w = Words([text[a:b]])
+        if w.count:
+            message = _backward(model, w, _emissions(model.scores(w)), behind[-1])[0]
+            behind.append(message / message.sum())
+        else:
+            behind.append(behind[-1])
+    before = None
+    for a, b in windows:
+        w, end = Words([text[a:b]]), behind.pop()
+        if not w.count:
+            continue
+        emit = _emissions(model.scores(w))
+        forward = _forward(model, w, emit, before)
+        node = forward * _backward(model, w, emit, end) / emit
+        before = forward[-1] / forward[-1].sum()
+        _read(model, w, node / node.sum(axis=1, keepdims=True), [(i, a, b)], sums, seen, last, out, runs)
+
+
+def _read(model: Model, w: Words, node: np.ndarray, windows: list[tuple[int, int, int]], sums: dict, seen: dict, last: dict, out: list[Labels], runs: bool) -> None:
     begin = np.flatnonzero(w.restart)
     label = node.argmax(axis=1)
     weighed = np.add.reduceat(np.concatenate([node * w.lengths[:, None], w.lengths[:, None].astype(float)], axis=1), begin, axis=0)
@@ -314,7 +352,7 @@ def held_out(id_col: Column) -> Column:
 
 def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 300, longest: int = 20_000) -> Model | None:
     """Trains on a bounded sample: about `per_language` texts of each language, drawn by a hash of the id among rows that are not held
-    out and have a language; of a longer text the first `longest` characters. Every language of the table is learned."""
+    out and have a language; of a longer text `longest` characters from a place drawn by a hash. Every language of the table is learned."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("id is not null and lang is not null and text is not null and text <> ''").filter(~held_out(F.col("id")))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
@@ -322,7 +360,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language:
         return None
     share = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000_007)) / 1_000_000_007
     rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]))))
-    drawn = rows.filter(share < rate[F.col("lang")]).select("id", "lang", F.substring("text", 1, longest).alias("text"))
+    begin = F.pmod(F.xxhash64("id", F.lit(17)), F.greatest(F.length("text") - longest, F.lit(0)) + 1).cast("int") + 1
+    drawn = rows.filter(share < rate[F.col("lang")]).select("id", "lang", F.substr("text", begin, F.lit(longest)).alias("text"))
     sample = drawn.orderBy(F.xxhash64("id"), "id", "text").limit(2 * per_language * len(counts)).collect()  # twice what is expected
     sample.sort(key=lambda r: (r["id"], r["text"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
@@ -352,7 +391,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     comma-joined) and n_switches (neighbouring words of different languages).
 
     Only text is an input of a prediction. Null texts and texts without a letter are `und` with score 0; very long texts are labelled
-    whole, in windows; repeated rows are kept; a null id is neither held out nor learned from; without learnable rows all are `und`; an
+    whole, as one chain; repeated rows are kept; a null id is neither held out nor learned from; without learnable rows all are `und`; an
     empty table gives an empty result; other columns are ignored.
     """
     thin = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))

@@ -25,16 +25,6 @@ from .common import materialize
 PLAN = "mix_source string, mix_block long, mix_phase int, mix_slot long, mix_release long, mix_deadline long"
 
 
-def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
-    """Whole slots per cycle, at least one each, by largest remainder."""
-    names, total = sorted(weights), sum(weights.values())
-    exact = {s: weights[s] / total * (cycle - len(names)) for s in names}
-    out = {s: 1 + int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], s))[: cycle - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
 def edf(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """(source, block, slot, release, deadline) by earliest deadline among released blocks, until a source without blocks is due."""
     total = sum(weights.values())
@@ -53,14 +43,6 @@ def edf(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str,
         heapq.heappush(waiting, (max((j + 1) * total // weights[s], slot), s, j + 1))
 
 
-def schedule(share: dict[str, int], cycle: int) -> dict[str, list[tuple[int, int, int]]]:
-    """Per source, for each of its blocks in a cycle of whole shares: (slot, release, deadline)."""
-    out: dict[str, list[tuple[int, int, int]]] = {s: [] for s in share}
-    for s, _, *times in edf(share, share):
-        out[s].append(tuple(times))
-    return out
-
-
 def targets(blocks: dict[str, int], weights: dict[str, float] | None, power: float) -> dict[str, int]:
     """Exact weights of the sources with blocks, as whole numbers relative to each other."""
     given = {s: Fraction(weights[s]) for s in blocks if s in (weights or {})}

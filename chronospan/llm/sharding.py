@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
+from itertools import accumulate, islice
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +47,34 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     return mode
 
 
-def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
-    """Row p: how many rows of partition p go to each shard; rows sum to counts, columns to sizes."""
-    rng, left, matrix = random.Random(seed), list(sizes), []
-    for n in counts:
-        row, rest, open_ = [], n, sum(left)
-        for s, size in enumerate(left):
-            open_ -= size
-            row.append(hypergeometric(rng, size, open_, rest) if open_ else rest)
-            rest -= row[s]
-        matrix.append(row)
-        left = [a - b for a, b in zip(left, row, strict=True)]
-    return matrix
+def communication_matrix(counts: list[int], sizes: list[int], seed: int, most: int = 500_000_000) -> Iterator[list[int]]:
+    """Row p: how many rows of partition p go to each shard; rows sum to counts, columns to sizes.
+
+    Runs of partitions with up to `most` rows are drawn first, one exact draw per run and shard; inside a run each partition's row is one
+    multivariate draw from what the run has left, some microseconds each. Only one run's rest is held.
+    """
+    rng, left = random.Random(seed), list(sizes)
+    at = 0
+    while at < len(counts):
+        to, size = at, 0
+        while to < len(counts) and (to == at or size + counts[to] <= most):
+            size += counts[to]
+            to += 1
+        run, rest, open_ = [], size, sum(left)
+        for n in left:
+            open_ -= n
+            run.append(hypergeometric(rng, n, open_, rest) if open_ else rest)
+            rest -= run[-1]
+        left = [a - b for a, b in zip(left, run, strict=True)]
+        if size <= most:
+            draw, held = np.random.default_rng(rng.getrandbits(64)), np.array(run, np.int64)
+            for n in counts[at:to]:
+                row = draw.multivariate_hypergeometric(held, n, method="marginals") if n < held.sum() else held.copy()
+                held -= row
+                yield row.tolist()
+        else:  # one partition over `most`
+            yield run
+        at = to
 
 
 def shuffle_shards(df: DataFrame, columns: dict[str, Column], shards: int = 24, seed: int = 20, parts: int = 64) -> DataFrame:
@@ -74,12 +93,15 @@ def shuffle_shards(df: DataFrame, columns: dict[str, Column], shards: int = 24,
     counts = sorted((r["part"], r["n"]) for r in sent.groupBy("part").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)
     matrix = communication_matrix([n for _, n in counts], [total // shards + (s < total % shards) for s in range(shards)], seed)
+    lines = zip(counts, matrix, strict=True)
     # A row per input partition, written as a table in parts of bounded size: neither a plan nor a broadcast grows with the partitions.
     bounds, step = None, 100_000
-    for at in range(0, max(1, len(counts)), step):
-        rows = [(part, [sum(row[: s + 1]) for s in range(shards)]) for (part, _), row in zip(counts[at : at + step], matrix[at : at + step], strict=True)]
-        some = materialize(spark.createDataFrame(rows, "part int, bounds array<bigint>"))
-        bounds = some if bounds is None else bounds.union(some)
+    rows: list[tuple] = []
+    while bounds is None or rows:
+        rows = [(part, list(accumulate(row))) for (part, _), row in islice(lines, step)]
+        if rows or bounds is None:
+            some = materialize(spark.createDataFrame(rows, "part int, bounds array<bigint>"))
+            bounds = some if bounds is None else bounds.union(some)
     # Each row reads only its own partition's bounds: partitions and bounds meet in a narrow join that Spark splits where it is skewed.
     dealt = sent.join(bounds, "part")
     dealt = dealt.withColumn("shard", F.size(F.filter("bounds", lambda b: b <= F.col("at"))).cast("int")).drop("bounds")

@@ -37,6 +37,20 @@ def test_memory_is_linear_in_languages_and_windows_join():
     assert sum(int(x.split(":")[1]) for x in found.counts.split(",")) == 20_000
 
 
+def test_windows_of_a_text_are_one_chain():
+    """Labels and scores do not depend on the size of the windows in which a long text is read."""
+    rng = random.Random(9)
+    model = langid.Model(["a", "b", "c"], np.zeros(0, np.uint64))
+    draw = np.random.default_rng(4)
+    model.affixes[:] = draw.normal(size=model.affixes.shape) * 0.4
+    model.trans[:] = draw.normal(size=model.trans.shape) + 2 * np.eye(3)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(700)) + "  !! 12 " * 40 + "ende"
+    whole, cut = (langid.predict(model, ["x y", text, "z"], runs=True, most_chars=n) for n in (10**9, 150))
+    for a, b in zip(whole, cut, strict=True):
+        assert (a.lang, a.counts, a.switches) == (b.lang, b.counts, b.switches) and abs(a.score - b.score) < 1e-9
+    assert [w for _, _, x, n in whole[1].runs for w in [x] * n] == [w for _, _, x, n in cut[1].runs for w in [x] * n]
+
+
 def test_long_chains_are_cut_without_loss():
     rng = np.random.default_rng(2)
     lengths = np.array([1, 9, 40, 2])

@@ -164,18 +164,45 @@ def test_long_texts_are_cut_at_safe_boundaries(spark):
         assert np.frombuffer(ids, "<u4").tolist() == want[i]
 
 
-def test_pfair_deviation_is_below_one_block(spark):
-    share = mixing.shares({"a": 0.5, "b": 0.3, "c": 0.2}, 100)
-    plan = mixing.schedule(share, 100)
-    assert sorted(slot for own in plan.values() for slot, _, _ in own) == list(range(100))
-    for s, own in plan.items():
-        for slot, release, deadline in own:
-            assert release <= slot < deadline
-        at = {slot for slot, _, _ in own}
-        done = 0
-        for t in range(100):
-            done += t in at
-            assert abs(done - share[s] * (t + 1) / 100) < 1
+def plain_slots(blocks, weights):
+    """(source, block) of every slot: earliest deadline among the blocks whose release has come, slot by slot; a new phase where a source is
+    due that has run out."""
+    from fractions import Fraction
+
+    done, out, first = dict.fromkeys(blocks, 0), [], 0
+    while any(done[s] < n for s, n in blocks.items()):
+        live = {s: Fraction(weights[s]) for s, n in blocks.items() if done[s] < n}
+        total, ran = sum(live.values()), dict.fromkeys(live, 0)
+        while True:
+            t = len(out) - first
+            due = []
+            for s, w in live.items():
+                share, j = w / total, ran[s]
+                if int(Fraction(j) / share) <= t:
+                    due.append((-int(-Fraction(j + 1) // share), int(Fraction(j) / share), s))
+            s = min(due)[2]
+            if done[s] == blocks[s]:
+                break
+            out.append((s, done[s]))
+            done[s], ran[s] = done[s] + 1, ran[s] + 1
+        first = len(out)
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 10, "c": 7}, {"a": 0.3, "b": 0.31, "c": 0.1}])
+def test_slots_are_those_of_plain_earliest_deadline_first(spark, weights):
+    sizes = {"a": 33, "b": 47, "c": 21}
+    rows = [(n, s) for n, s in enumerate(x for s, k in sizes.items() for x in [s] * k)]
+    found = mixing.plan(spark.createDataFrame(rows, "doc_id long, source string").repartition(3), weights=weights, block_rows=2).collect()
+    slots = {}
+    for r in found:
+        slots.setdefault(r["slot"], set()).add((r["source"], r["block"]))
+    wanted = plain_slots({s: -(-k // 2) for s, k in sizes.items()}, weights)
+    assert [slots[t] for t in range(len(wanted))] == [{x} for x in wanted] and len(slots) == len(wanted)
+    total, done = sum(weights.values()), Counter()
+    for t, (s, _) in enumerate(wanted[:20]):  # all sources have blocks left here
+        done[s] += 1
+        assert all(abs(done[x] - weights[x] / total * (t + 1)) < 1 for x in weights)
 
 
 def test_mixing_keeps_every_row_once(spark, docs):
@@ -279,8 +306,12 @@ def test_hypergeometric_law():
 
     for k in range(5):
         assert abs(seen[k] / 20000 - comb(5, k) * comb(7, 4 - k) / comb(12, 4)) < 0.015
-    matrix = sharding.communication_matrix([10, 0, 25], [12, 12, 11], 1)
-    assert [sum(r) for r in matrix] == [10, 0, 25] and [sum(c) for c in zip(*matrix)] == [12, 12, 11]
+    for most in (1000, 20, 7):
+        matrix = list(sharding.communication_matrix([10, 0, 25], [12, 12, 11], 1, most))
+        assert [sum(r) for r in matrix] == [10, 0, 25] and [sum(c) for c in zip(*matrix)] == [12, 12, 11]
+    first = Counter(next(iter(sharding.communication_matrix([4, 8], [5, 7], seed)))[0] for seed in range(8000))
+    for k in range(5):
+        assert abs(first[k] / 8000 - comb(5, k) * comb(7, 4 - k) / comb(12, 4)) < 0.03
 
 
 def test_quality_base_counts(spark, texts):
