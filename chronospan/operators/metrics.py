@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import running
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "id")))
+
+def first_k(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
+    """The first k rows of each grp in the given order, with their rank r; tasks keep k rows of a group before any row moves."""
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).filter(F.col("r") <= k)
+
+
+def _by_score() -> list[Column]:
+    return [F.desc("score"), F.col("id")]
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows (grp, id, score, grade, ...) with their rank r in the group by falling score and the positives up to it (hits); ranges of the whole
+    order are counted first, so no task sorts a group."""
+    positive = F.coalesce((F.col("grade") >= 2).cast("long"), F.lit(0).cast("long"))
+    lines = running(rows.withColumn("rank_p", positive).withColumn("rank_s", -F.col("score")), ["grp", "rank_s", "id"], "rank_p")
+    firsts = lines.groupBy("grp").agg(F.min("rank").alias("r0"), F.min(F.col("upto") - F.col("rank_p")).alias("h0"))
+    out = lines.join(firsts, "grp").withColumn("r", F.col("rank") - F.col("r0") + 1).withColumn("hits", F.col("upto") - F.col("h0"))
+    return out.select(*rows.columns, "r", "hits", F.col("rank_p").alias("positive"))
 
 
 def ndcg(rows: DataFrame, k: int) -> DataFrame:
-    """(grp, ndcg): unjudged rows are left out; gains 2^grade - 1, discount log2(rank + 1); 0 without gain."""
+    """(grp, ndcg): unjudged rows are left out; gains 2^grade - 1, discount log2(rank + 1); 0 without gain. k rows of a group count."""
     judged = rows.filter("grade is not null")
-    ideal = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("grade"), "id"))
-    both = _ranked(judged).withColumn("i", ideal)
-    gain = lambda r: F.sum(F.when(F.col(r) <= k, (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col(r) + 1.0)).otherwise(0.0))
-    return both.groupBy("grp").agg(gain("r").alias("d"), gain("i").alias("m")).select("grp", F.round(F.when(F.col("m") > 0, F.col("d") / F.col("m")).otherwise(0.0), 6).alias("ndcg"))
+    gain = F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("r") + 1.0))
+    found = first_k(judged, k, _by_score()).groupBy("grp").agg(gain.alias("d"))
+    best = first_k(judged, k, [F.desc("grade"), F.col("id")]).groupBy("grp").agg(gain.alias("m"))
+    return best.join(found, "grp").select("grp", F.round(F.when(F.col("m") > 0, F.col("d") / F.col("m")).otherwise(0.0), 6).alias("ndcg"))
 
 
 def recall(rows: DataFrame, k: int) -> DataFrame:
     """(grp, recall): share of positives among the first k judged rows."""
-    positive = F.col("grade") >= 2
-    out = _ranked(rows.filter("grade is not null")).groupBy("grp").agg(F.sum((positive & (F.col("r") <= k)).cast("long")).alias("hit"), F.sum(positive.cast("long")).alias("all"))
-    return out.select("grp", F.round(F.try_divide(F.col("hit").cast("double"), F.col("all").cast("double")), 6).alias("recall"))
+    judged, positive = rows.filter("grade is not null"), (F.col("grade") >= 2).cast("long")
+    hits = first_k(judged, k, _by_score()).groupBy("grp").agg(F.sum(positive).alias("hit"))
+    every = judged.groupBy("grp").agg(F.sum(positive).alias("all"))
+    return every.join(hits, "grp").select("grp", F.round(F.try_divide(F.col("hit").cast("double"), F.col("all").cast("double")), 6).alias("recall"))
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
@@ -40,10 +58,8 @@ def roc_auc(rows: DataFrame) -> DataFrame:
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
-    positive = (F.col("grade") >= 2).cast("long")
-    seen = F.sum(positive).over(Window.partitionBy("grp").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    out = _ranked(rows.filter("grade is not null")).withColumn("p", positive).withColumn("hits", seen)
-    return out.groupBy("grp").agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("hits") / F.col("r")), F.sum("p").cast("double")), 6).alias("ap"))
+    out = ranked(rows.filter("grade is not null"))
+    return out.groupBy("grp").agg(F.round(F.try_divide(F.sum(F.col("positive") * F.col("hits") / F.col("r")), F.sum("positive").cast("double")), 6).alias("ap"))
 
 
 def kappa(pairs: DataFrame) -> DataFrame:
@@ -59,8 +75,7 @@ def kappa(pairs: DataFrame) -> DataFrame:
 
 def judged(rows: DataFrame, k: int) -> DataFrame:
     """(grp, judged): share of the first k rows with a grade."""
-    top = _ranked(rows).filter(F.col("r") <= k)
-    return top.groupBy("grp").agg(F.round(F.avg(F.col("grade").isNotNull().cast("double")), 6).alias("judged"))
+    return first_k(rows, k, _by_score()).groupBy("grp").agg(F.round(F.avg(F.col("grade").isNotNull().cast("double")), 6).alias("judged"))
 
 
 def positions(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -94,7 +109,7 @@ def bootstrap(values: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
 
     Draws with replacement by Poisson(1) weights from a hash of (replicate, key): each row is weighed where it is, and only sums move.
     """
-    u = F.pmod(F.xxhash64("key", "b", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    u = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "key", "b", F.lit(seed))), 1, 8), 16, 10).cast("long"), F.lit(1_000_003)) / 1_000_003.0
     bounds = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)  # Poisson(1), cumulated
     weight = sum((u >= x).cast("int") for x in bounds)
     drawn = values.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)

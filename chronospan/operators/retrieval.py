@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def _times(word: str) -> Column:
-    return F.size(F.filter("w", lambda x: x == word))
-
-
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, stop: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of all rows; query tokens count as often as they occur in the query; no hit scores 0.
 
-    Only tokens of the query are counted per text, inside the scan: no posting list is shuffled.
+    One pass counts each text's tokens and those of the query, as matches inside the text; these numbers are written, and the corpus counts
+    and scores come from there. No posting list is shuffled and no text is split.
     """
     import re
 
     asked = [t for t in re.findall("[a-z0-9]+", query.lower()) if t not in stop]
-    own = F.filter(tokens(F.col(text_col)), lambda w: ~w.isin(list(stop))) if stop else tokens(F.col(text_col))
     words = sorted(set(asked))
-    counted = docs.select(F.col(id_col), own.alias("w")).select(id_col, F.size("w").alias("n"), *(_times(t).alias(f"tf{i}") for i, t in enumerate(words)))
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    times = lambda pattern: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){pattern}(?![a-z0-9])"))
+    n = F.regexp_count(low, F.lit("[a-z0-9]+"))
+    if stop:
+        n = n - times(f"(?:{'|'.join(sorted(map(re.escape, stop)))})")
+    counted = stored(docs.select(F.col(id_col), n.alias("n"), *(times(t).alias(f"tf{i}") for i, t in enumerate(words))))
     stats = counted.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(words))))
     both = counted.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -45,6 +52,38 @@ def most_similar(rows: DataFrame, query: list[float], k: int, id_col: str, vec_c
     return rows.select(id_col, dot(F.col(vec_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k).withColumn("score", F.round("score", 6))
 
 
+def nearest_of(items: DataFrame, probes: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(probe, item, score): of each probe (probe, v) the k items (item, v) of largest inner product but itself, ties to the smaller item.
+
+    Probes are a stated set and go to the tasks in blocks of about `block`, one pass over the items each; a task keeps k items a probe.
+    """
+    spark, n = items.sparkSession, max(1, -(-probes.count() // block))
+    out = None
+    for part in range(n):
+        rows = probes.filter(F.pmod(F.xxhash64("probe"), F.lit(n)) == part).orderBy("probe").collect()  # about `block` rows
+        sent = spark.sparkContext.broadcast((np.array([r["probe"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)))
+
+        def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, vectors = sent.value
+            best_id, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            for batch in it:
+                own = batch.column(0).to_numpy()
+                score = vectors @ batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1).T
+                score[ids[:, None] == own[None, :]] = -np.inf
+                best_id, best = np.c_[best_id, np.broadcast_to(own, score.shape)], np.c_[best, score]
+                order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+            hit = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, hit.sum(axis=1))), pa.array(best_id[hit]), pa.array(best[hit])], names=["probe", "item", "score"])
+
+        found = items.select("item", "v").mapInArrow(run, "probe bigint, item bigint, score double") if rows else None
+        out = found if out is None else out if found is None else out.union(found)
+    if out is None:
+        return spark.createDataFrame([], "probe bigint, item bigint, score double")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "item")
+    return out.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+
+
 def candidate_id(rec: Column, kind: int, start: Column, end: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", rec.cast("string"), F.lit(str(kind)), start.cast("string"), end.cast("string")), 256), 1, 16)
 

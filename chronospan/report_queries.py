@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import metrics, sweeps
+from .operators import metrics, retrieval, sweeps
+from .operators.sequences import running
 from .plans import index
 from .registry import SERIES, query
 from .sources.tables import HOUR, series, table
@@ -27,8 +28,7 @@ def ag_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT g.grp, g.id, -coalesce(r - 1, n, 0) AS score FROM g LEFT JOIN k USING (grp, id) LEFT JOIN n ON n.grp = g.grp WHERE g.id % 2 = 0""")
 def ag_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, sf_dir)
-    ranked = run.filter("id % 4 <> 0").withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "id")))
-    return metrics.positions(ranked, run.filter("id % 2 = 0").select("grp", "id"))
+    return metrics.positions(metrics.ranked(run.filter("id % 4 <> 0")), run.filter("id % 2 = 0").select("grp", "id"))
 
 
 @query(f"WITH {RUN}, m AS (SELECT grp, lang, avg(score) AS m FROM g GROUP BY grp, lang) SELECT grp, round(avg(m), 6) AS mean FROM m GROUP BY grp")
@@ -44,17 +44,14 @@ def ag_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH q AS (SELECT vec_id AS probe, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT probe, e.vec_id AS item, row_number() OVER (PARTITION BY probe ORDER BY list_inner_product(v, CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS r
     FROM q JOIN embeddings e ON e.vec_id <> probe), c AS (SELECT item, count(*) AS c FROM s WHERE r <= 5 GROUP BY item) SELECT max(c) AS busiest, count(*) AS items FROM c""")
 def ag_hubness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-5 of a few probes against all vectors; the probes are a stated query set."""
-    from .operators.retrieval import dot
+    """Top-5 of a stated set of probes against all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    return metrics.hubness(retrieval.nearest_of(e, e.filter("item % 50 = 0").select(F.col("item").alias("probe"), "v"), 5).select("probe", "item"))
 
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
-    probes = e.filter("item % 50 = 0").select(F.col("item").alias("probe"), F.col("embedding").alias("v"))
-    near = e.join(probes, F.col("item") != F.col("probe")).select("probe", "item", dot(F.col("v"), F.col("embedding")).alias("score"))
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "item"))).filter("r <= 5")
-    return metrics.hubness(top.select("probe", "item"))
 
-
-@query()
+@query(f"""WITH {RUN}, k AS (SELECT grp || '|' || lang AS key, avg(score) AS v FROM g GROUP BY 1), d AS (SELECT b, v, CAST('0x' || substr(md5(key || '|' || b || '|0'), 1, 8) AS BIGINT) % 1000003 / 1000003.0::DOUBLE AS u FROM k, range(1, 2001) r(b)),
+    w AS (SELECT b, v, {" + ".join(f"(u >= {x}::DOUBLE)::INT" for x in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))} AS w FROM d), m AS (SELECT b, sum(v * w) / nullif(sum(w), 0) AS m FROM w GROUP BY b)
+    SELECT (SELECT avg(v) FROM k) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m""")
 def ag_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _run(spark, sf_dir).groupBy(F.concat_ws("|", "grp", "lang").alias("key")).agg(F.avg("score").alias("v"))
     return metrics.bootstrap(per, 2000)
@@ -162,8 +159,9 @@ def pl_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT d.doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY d.doc_id) - 1) / 30) AS BIGINT) AS job FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
 def ix_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     todo = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-    nr = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return todo.select("doc_id", F.floor(nr / 30).alias("job"))
+    lines = running(todo.select("source", "doc_id").withColumn("one", F.lit(1).cast("long")), ["source", "doc_id"], "one")
+    firsts = lines.groupBy("source").agg(F.min("rank").alias("r0"))
+    return lines.join(firsts, "source").select("doc_id", F.floor((F.col("rank") - F.col("r0")) / 30).alias("job"))
 
 
 @query("""WITH w AS (SELECT DISTINCT user_id AS rec, 'k' || (user_id % 5) AS key, user_id % 11 <> 0 AS applicable, user_id % 13 = 0 AS gated, CASE WHEN user_id % 4 = 1 THEN user_id - 1 END AS needs, user_id % 3 AS content FROM events),
@@ -179,9 +177,10 @@ def ix_plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.plan_states(w, b)
 
 
-@query()
+@query(f"""WITH {SERIES}, h AS (SELECT rec, CAST('0x' || substr(md5(topic || '|' || seq || '|' || sha256(CAST(CAST(round(y * 1000000) AS BIGINT) AS VARCHAR))), 1, 15) AS BIGINT) AS h FROM s)
+    SELECT rec, substr(sha256(sum(h) || '|' || count(*)), 1, 32) AS content FROM h GROUP BY rec""")
 def ix_content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.content_key(series(spark, sf_dir).withColumn("sha", F.sha2(F.col("y").cast("string"), 256)), "rec", "topic", "sha", "seq")
+    return index.content_key(series(spark, sf_dir).withColumn("sha", F.sha2(F.round(F.col("y") * 1_000_000).cast("long").cast("string"), 256)), "rec", "topic", "sha", "seq")
 
 
 @query(f"""WITH {SERIES}, pg(name, topic, low) AS (VALUES ('busy', 'click', 50.0), ('fault', 'error', 30.0), ('sale', 'purchase', 40.0)) SELECT pg.name, rec, CAST(floor(t / {HOUR}) AS BIGINT) AS w FROM s JOIN pg ON s.topic = pg.topic AND y >= low GROUP BY ALL""")
