@@ -36,6 +36,16 @@ def ndcg(rows: DataFrame, k: int) -> DataFrame:
     return best.join(found, "grp").select("grp", F.round(F.when(F.col("m") > 0, F.col("d") / F.col("m")).otherwise(0.0), 6).alias("ndcg"))
 
 
+def ndcg_or_null(rows: DataFrame, k: int, unjudged_as_zero: bool) -> DataFrame:
+    """As ndcg, with null for a group without a grade of 1 or more; unjudged_as_zero: rows without a grade keep their rank and gain nothing."""
+    gain = F.sum((F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1) / F.log2(F.col("r") + 1.0))
+    judged = rows.filter("grade is not null")
+    found = first_k(rows if unjudged_as_zero else judged, k, _by_score()).groupBy("grp").agg(gain.alias("d"))
+    best = first_k(judged, k, [F.desc("grade"), F.col("id")]).groupBy("grp").agg(gain.alias("m"))
+    both = rows.select("grp").distinct().join(best, "grp", "left").join(found, "grp", "left")
+    return both.select("grp", F.when(F.col("m") > 0, F.round(F.coalesce("d", F.lit(0.0)) / F.col("m"), 6)).alias("ndcg"))
+
+
 def recall(rows: DataFrame, k: int) -> DataFrame:
     """(grp, recall): share of positives among the first k judged rows."""
     judged, positive = rows.filter("grade is not null"), (F.col("grade") >= 2).cast("long")

@@ -177,3 +177,12 @@ def eligibility(facts: DataFrame) -> Column:
         F.when(~F.col("applicable"), "NOT_APPLICABLE").when(~F.col("indexed"), "NOT_INDEXED").when(~F.col("present"), "SENSOR_ABSENT_IN_LOG")
         .when(~F.col("tracks"), "NOT_INDEXED").when(F.col("n") == 0, "NOT_INDEXED").when(F.col("floor") > F.col("threshold"), "BELOW_SENSOR_FLOOR")
     )
+
+
+def status(abstained: Column, verified: Column, n: Column, top: Column, exhaustive: Column, definite_only: Column) -> Column:
+    """The answer's status: abstained runs first, then unverified ones, then no result, then by the best result's ordinal."""
+    none = F.when(exhaustive, "NONE_FOUND_EXHAUSTIVE").otherwise("INSUFFICIENT_EVIDENCE")
+    return (
+        F.when(abstained, "INSUFFICIENT_EVIDENCE").when(~verified, "ANSWERED_UNVERIFIED").when(n == 0, none).when(top >= 2, "ANSWERED").when(definite_only, "INSUFFICIENT_EVIDENCE")
+        .otherwise("ANSWERED_PARTIAL")
+    )

@@ -315,6 +315,55 @@ def slowdowns(grid: DataFrame, onset: int, span: int, loss: float, least_base: f
     return one.select("rec", "m.*")
 
 
+def maneuvers(
+    grid: DataFrame, onset: int, lengths: list[int], lead: int, tail: int, least_base: float,
+    loss: tuple[float | None, float | None] = (None, None), excursion: tuple[float | None, float | None] = (None, None), net: float | None = None,
+) -> DataFrame:
+    """(rec, start, end, base, loss, excursion, net) of grid (rec, t, y, base, h): windows of each length from each onset, as of slowdowns, whose
+    loss of y against the base and swing of h lie in [from, to) and whose h ends at least `net` from where it began.
+
+    Windows end within the recording and hold two samples at least. The longest window is held.
+    """
+
+    def inside(x: float, bounds: tuple[float | None, float | None]) -> bool:
+        return (bounds[0] is None or x >= bounds[0]) and (bounds[1] is None or x < bounds[1])
+
+    def windows(rows: Rows) -> Iterator[tuple]:
+        held: deque[tuple] = deque()
+        asked: deque[tuple] = deque()
+        first = last = 0
+
+        def measure(t: int, base: float) -> Iterator[tuple]:
+            while held and held[0][0] < t:
+                held.popleft()
+            if last <= t + tail or t < first + lead:
+                return
+            for n in lengths:
+                if t + n > last:
+                    return
+                own = [(y, h) for u, y, h in held if u <= t + n]
+                if len(own) < 2:
+                    continue
+                lost, turns = 1 - min(y for y, _ in own) / base, [h for _, h in own]
+                swing, turned = max(turns) - min(turns), turns[-1] - turns[0]
+                if inside(lost, loss) and inside(swing, excursion) and (net is None or abs(turned) >= net):
+                    yield t, t + n, base, lost, swing, turned
+
+        started = False
+        for t, y, base, h in rows:
+            first, started, last = (first, True, t) if started else (t, True, t)
+            held.append((t, y, h))
+            if t % onset == 0 and base is not None and base >= least_base:
+                asked.append((t, base))
+            while asked and asked[0][0] + max(*lengths, tail) < t:
+                yield from measure(*asked.popleft())
+        while asked:
+            yield from measure(*asked.popleft())
+
+    schema = "start bigint, end bigint, base double, loss double, excursion double, net double"
+    return streamed(grid.select("rec", "t", "y", "base", "h"), ["t"], windows, schema)
+
+
 def chunks(intervals: DataFrame, size: int, overlap_by: int) -> DataFrame:
     """Intervals (rec, start, end) in the fewest equal parts of at most `size`; each but the first begins overlap_by earlier: (rec, start, end, nr)."""
     n = F.greatest(F.ceil((F.col("end") - F.col("start")) / F.lit(size)), F.lit(1))

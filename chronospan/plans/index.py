@@ -27,20 +27,6 @@ def build_plan(wanted: DataFrame, built: DataFrame) -> DataFrame:
     return wanted.join(have, "rec", "left").withColumn("same", F.array_contains("have", F.col("key"))).select("rec", "key", state.alias("state"))
 
 
-def plan_states(wanted: DataFrame, built: DataFrame) -> DataFrame:
-    """wanted (rec, key, applicable, gated, needs) with state: n/a, gated, built (same key), adopted (the recording's data under another key
-    but the same content), blocked (what it needs is not built), stale or todo; built: (rec, key, content)."""
-    have = built.groupBy("rec").agg(F.collect_set("key").alias("keys"), F.max("content").alias("have"))
-    w = wanted.join(have, "rec", "left").withColumn("same", F.coalesce(F.array_contains("keys", F.col("key")), F.lit(False)))
-    ready = w.filter("same").select(F.col("rec").alias("needs"), F.lit(True).alias("ready")).distinct()
-    w = w.join(ready, "needs", "left")
-    state = (
-        F.when(~F.col("applicable"), "n/a").when(F.col("gated"), "gated").when(F.col("same"), "built").when(F.col("have") == F.col("content"), "adopted")
-        .when(F.col("needs").isNotNull() & F.col("ready").isNull(), "blocked").when(F.col("keys").isNotNull(), "stale").otherwise("todo")
-    )
-    return w.select("rec", "key", state.alias("state"))
-
-
 @dataclass(frozen=True)
 class Stage:
     name: str

@@ -144,16 +144,17 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groupBy(F.coalesce("reason", "truth").alias("outcome")).agg(F.count("*").alias("n"))
 
 
-STATUS = """CASE WHEN n = 0 THEN CASE WHEN whole THEN 'NONE_FOUND_EXHAUSTIVE' ELSE 'INSUFFICIENT_EVIDENCE' END WHEN top >= 2 THEN 'ANSWERED' ELSE 'ANSWERED_PARTIAL' END"""
+STATUS = """CASE WHEN rec % 17 = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN rec % 13 = 0 THEN 'ANSWERED_UNVERIFIED' WHEN n = 0 THEN CASE WHEN whole THEN 'NONE_FOUND_EXHAUSTIVE' ELSE 'INSUFFICIENT_EVIDENCE' END
+    WHEN top >= 2 THEN 'ANSWERED' WHEN rec % 2 = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'ANSWERED_PARTIAL' END"""
 
 
 @query(f"""{NEAR}, st AS (SELECT rec, count(*) FILTER (WHERE truth <> 'FALSE') AS n, max(ordinal) FILTER (WHERE truth <> 'FALSE') AS top,
         bool_and(reason IS NULL) AS whole FROM best GROUP BY rec) SELECT rec, {STATUS} AS status FROM st""")
 def status_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer of each recording's search; some runs abstained, some are not verified, some questions ask to abstain without a definite match."""
     live = F.col("truth") != "FALSE"
     st = _near(spark, sf_dir).groupBy("rec").agg(F.count(F.when(live, 1)).alias("n"), F.max(F.when(live, F.col("ordinal"))).alias("top"), F.bool_and(F.col("reason").isNull()).alias("whole"))
-    none = F.when(F.col("whole"), "NONE_FOUND_EXHAUSTIVE").otherwise("INSUFFICIENT_EVIDENCE")
-    return st.select("rec", F.when(F.col("n") == 0, none).when(F.col("top") >= 2, "ANSWERED").otherwise("ANSWERED_PARTIAL").alias("status"))
+    return st.select("rec", program.status(F.col("rec") % 17 == 0, F.col("rec") % 13 != 0, F.col("n"), F.col("top"), F.col("whole"), F.col("rec") % 2 == 0).alias("status"))
 
 
 @query(f"""WITH {SERIES}, {SPANS},

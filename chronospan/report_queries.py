@@ -31,6 +31,13 @@ def ag_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.positions(metrics.ranked(run.filter("id % 4 <> 0")), run.filter("id % 2 = 0").select("grp", "id"))
 
 
+@query(f"""WITH {RUN}, j AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS r FROM g), i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY grade DESC, id) AS r FROM g WHERE grade IS NOT NULL),
+    d AS (SELECT grp, sum((pow(2, coalesce(grade, 0)) - 1) / log2(r + 1)) AS d FROM j WHERE r <= 20 GROUP BY grp), m AS (SELECT grp, sum((pow(2, grade) - 1) / log2(r + 1)) AS m FROM i WHERE r <= 20 GROUP BY grp)
+    SELECT d.grp, CASE WHEN m > 0 THEN round(d / m, 6) END AS ndcg FROM d LEFT JOIN m USING (grp)""")
+def ag_ndcg_unjudged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ndcg_or_null(_run(spark, sf_dir), 20, unjudged_as_zero=True)
+
+
 @query(f"WITH {RUN}, m AS (SELECT grp, lang, avg(score) AS m FROM g GROUP BY grp, lang) SELECT grp, round(avg(m), 6) AS mean FROM m GROUP BY grp")
 def ag_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.two_level(_run(spark, sf_dir), "grp", "lang", "score")
@@ -150,6 +157,26 @@ def pl_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("src")), ",").alias("sources"))
 
 
+POOL = {"by_value": ("y DESC, seq", [F.desc("y"), F.col("id")]), "by_number": ("seq * 7919 % 1009, seq", [F.col("id") * 7919 % 1009, F.col("id")])}
+
+
+@query(f"""WITH {SERIES}, {", ".join(f"c{i} AS (SELECT topic, seq AS id, '{name}' AS src, row_number() OVER (PARTITION BY topic ORDER BY {sql}) AS r FROM s WHERE y IS NOT NULL)" for i, (name, (sql, _)) in enumerate(POOL.items()))},
+    a AS (SELECT topic, seq AS id, 'attribute' AS src, row_number() OVER (PARTITION BY topic ORDER BY seq) AS r FROM s WHERE y >= 30 AND y < 60),
+    z AS (SELECT topic, seq AS id, 'random' AS src, row_number() OVER (PARTITION BY topic ORDER BY md5(seq || '|7'), seq) AS r FROM s),
+    u AS (SELECT * FROM c0 WHERE r <= 20 UNION ALL SELECT * FROM c1 WHERE r <= 20 UNION ALL SELECT * FROM a WHERE r <= 25 UNION ALL SELECT * FROM z WHERE r <= 10)
+    SELECT topic AS grp, id, string_agg(src, ',' ORDER BY src) AS sources FROM u GROUP BY topic, id""")
+def pl_pool_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query (event type): the first 20 of each configuration, up to 25 candidates by attribute and 10 drawn ones, with all their sources."""
+    s = series(spark, sf_dir).select(F.col("topic").alias("grp"), F.col("seq").alias("id"), "y")
+    parts = [metrics.first_k(s.filter("y is not null"), 20, order).withColumn("src", F.lit(name)) for name, (_, order) in POOL.items()]
+    parts.append(metrics.first_k(s.filter("y >= 30 and y < 60"), 25, [F.col("id")]).withColumn("src", F.lit("attribute")))
+    parts.append(metrics.first_k(s, 10, [F.md5(F.concat_ws("|", "id", F.lit(7))), F.col("id")]).withColumn("src", F.lit("random")))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.union(p)
+    return both.groupBy("grp", "id").agg(F.array_join(F.sort_array(F.collect_set("src")), ",").alias("sources"))
+
+
 @query(f"WITH {SERIES} SELECT seq, (topic IN ('view', 'click') AND y BETWEEN 10 AND 60) OR (topic = 'error' AND NOT y < 20) AS wanted FROM s")
 def pl_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = (F.col("topic").isin("view", "click") & F.col("y").between(10, 60)) | ((F.col("topic") == "error") & ~(F.col("y") < 20))
@@ -164,19 +191,6 @@ def ix_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(firsts, "source").select("doc_id", F.floor((F.col("rank") - F.col("r0")) / 30).alias("job"))
 
 
-@query("""WITH w AS (SELECT DISTINCT user_id AS rec, 'k' || (user_id % 5) AS key, user_id % 11 <> 0 AS applicable, user_id % 13 = 0 AS gated, CASE WHEN user_id % 4 = 1 THEN user_id - 1 END AS needs, user_id % 3 AS content FROM events),
-    b AS (SELECT rec, CASE WHEN rec % 3 = 0 THEN 'k9' ELSE key END AS key, CASE WHEN rec % 2 = 0 THEN content ELSE 7 END AS content FROM w WHERE rec % 4 <> 2),
-    j AS (SELECT w.*, b.key AS bkey, b.content AS have, coalesce(b.key = w.key, false) AS same FROM w LEFT JOIN b USING (rec))
-    SELECT j.rec, j.key, CASE WHEN NOT applicable THEN 'n/a' WHEN gated THEN 'gated' WHEN same THEN 'built' WHEN have = content THEN 'adopted'
-        WHEN needs IS NOT NULL AND NOT EXISTS (SELECT 1 FROM j r WHERE r.rec = j.needs AND r.same) THEN 'blocked' WHEN bkey IS NOT NULL THEN 'stale' ELSE 'todo' END AS state FROM j""")
-def ix_plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = F.col("rec")
-    recs = series(spark, sf_dir).select("rec").distinct()
-    w = recs.select("rec", F.concat(F.lit("k"), rec % 5).alias("key"), (rec % 11 != 0).alias("applicable"), (rec % 13 == 0).alias("gated"), F.when(rec % 4 == 1, rec - 1).alias("needs"), (rec % 3).alias("content"))
-    b = w.filter("rec % 4 <> 2").select("rec", F.when(rec % 3 == 0, "k9").otherwise(F.col("key")).alias("key"), F.when(rec % 2 == 0, F.col("content")).otherwise(F.lit(7)).alias("content"))
-    return index.plan_states(w, b)
-
-
 @query(f"""WITH {SERIES}, h AS (SELECT rec, CAST('0x' || substr(md5(topic || '|' || seq || '|' || sha256(CAST(CAST(round(y * 1000000) AS BIGINT) AS VARCHAR))), 1, 15) AS BIGINT) AS h FROM s)
     SELECT rec, substr(sha256(sum(h) || '|' || count(*)), 1, 32) AS content FROM h GROUP BY rec""")
 def ix_content_key(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,33 @@ def sw_slowdown_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base", F.round("base", 6)).withColumn("loss", F.round("loss", 6))
 
 
+LENGTHS = [4 * HOUR, 8 * HOUR, 16 * HOUR]
+MANEUVERS = f"""{SLOW}, h AS MATERIALIZED (SELECT *, CAST((t // {STEP}) * 37 % 90 AS DOUBLE) AS h FROM b),
+    o AS (SELECT * FROM h WHERE base >= 5 AND t % {2 * HOUR} = 0 AND t >= first + {2 * HOUR} AND t < last - {HOUR}),
+    w AS (SELECT o.rec, o.t, o.base, n.n, o.last FROM o, (VALUES {", ".join(f"({n})" for n in LENGTHS)}) n(n) WHERE o.t + n.n <= o.last),
+    m AS (SELECT w.rec, w.t, w.base, w.n, 1 - min(g.y) / w.base AS loss, max(g.h) - min(g.h) AS excursion, arg_max(g.h, g.t) - arg_min(g.h, g.t) AS net, count(*) AS c FROM w JOIN h g ON g.rec = w.rec AND g.t BETWEEN w.t AND w.t + w.n GROUP BY w.rec, w.t, w.base, w.n),
+    hits AS (SELECT rec, t AS start, t + n AS "end", base, loss, excursion, net FROM m WHERE c >= 2 AND loss >= 0.2 AND loss < 0.9 AND excursion < 80 AND abs(net) >= 10)"""
+
+
+def _maneuvers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _slow(spark, sf_dir).withColumn("h", (F.floor(F.col("t") / F.lit(STEP)) * 37 % 90).cast("double"))
+    return sequences.maneuvers(grid, 2 * HOUR, LENGTHS, 2 * HOUR, HOUR, 5.0, (0.2, 0.9), (None, 80.0), 10.0)
+
+
+@query(f"""{MANEUVERS} SELECT rec, start, "end", round(base, 6) AS base, round(loss, 6) AS loss, excursion, net FROM hits""")
+def sw_maneuvers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss against the baseline, swing and net turn of every window; the bearing is made from the hour's number."""
+    return _maneuvers(spark, sf_dir).withColumn("base", F.round("base", 6)).withColumn("loss", F.round("loss", 6))
+
+
+@query(f"""{MANEUVERS}, r AS (SELECT *, max("end") OVER (PARTITION BY rec ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM hits),
+    u AS (SELECT *, sum(CASE WHEN reached IS NULL OR start > reached + {HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM r)
+    SELECT rec, min(start) AS start, max("end") AS "end", count(*) AS n, round(max(loss), 6) AS loss FROM u GROUP BY rec, run""")
+def sw_merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _maneuvers(spark, sf_dir).select("rec", "start", "end", "loss")
+    return sweeps.merged_stats(hits, HOUR, "loss").withColumn("loss", F.round("loss", 6))
+
+
 CHUNKS = f"""WITH RECURSIVE {SERIES}, iv AS (SELECT rec, min(t) AS a, max(t) AS b FROM s GROUP BY rec), n AS (SELECT *, greatest(CAST(ceil((b - a) / {30 * HOUR}) AS BIGINT), 1) AS n FROM iv),
     c AS (SELECT rec, a, b, n, unnest(range(n)) AS nr FROM n),
     ch AS MATERIALIZED (SELECT rec, greatest(0, CAST(floor(a + nr * ((b - a) / n) + 0.5) AS BIGINT) - CASE WHEN nr > 0 THEN {2 * HOUR} ELSE 0 END) AS start, CAST(floor(a + (nr + 1) * ((b - a) / n) + 0.5) AS BIGINT) AS "end", nr FROM c)"""
