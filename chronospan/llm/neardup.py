@@ -449,7 +449,7 @@ def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, m
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     crowds = left.groupBy("id").agg(F.collect_list("bucket").alias("crowds"))
-    made = words.join(crowds, "id").select("id", "crowds", "words")
+    made = words.join(crowds.hint("merge"), "id").select("id", "crowds", "words")
     sized = left.join(words.select("id", F.octet_length("words").alias("size")), "id")
     per = sized.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     largest = F.max(F.struct("n", (-F.col("label")).alias("of"), "size")).alias("m")
@@ -463,7 +463,7 @@ def _crowded(left: DataFrame, words: DataFrame, similarity: float, block: int, m
     dealt = dealt.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), upto)))
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "id", "label")
-    return dealt.join(made, "id").repartition("bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.hint("merge").join(made, "id").repartition("bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _classed(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int, bands: int, per_band: int, short: int, crowd: int, block: int) -> DataFrame:
