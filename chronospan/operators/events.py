@@ -124,17 +124,18 @@ def disappear(bound: DataFrame, tracks: DataFrame) -> DataFrame:
     return bound.join(ends, ["rec", "topic"], "left").select("rec", "seq", "t", F.when(F.col("topic").isNull(), "NO_BINDING").alias("reason"))
 
 
-def onset(series: DataFrame, below: float, above: float, least: int, sustain: int, creep: float) -> DataFrame:
+def onset(series: DataFrame, below: float, above: float, least: int, sustain: int, creep: float, raw: str = "y") -> DataFrame:
     """(rec, start, sustained, value): after a run under `below` of at least `least`, the first sample over `above` whose mean over
-    [t, t + sustain] is over it too and which lies `least` past the run's start; start walks back over samples over `creep`.
+    [t, t + sustain] is over it too and which lies `least` past the run's start; start walks back over samples over `creep`. Runs are those
+    of y; all else is read from the column `raw`, the signal before smoothing. start and sustained are the ends of the onset's band.
 
     The window must end before the last sample. Runs that lead to one start give one onset.
     """
     at = in_order()
     ahead = Window.partitionBy("rec").orderBy("t").rangeBetween(0, sustain)
     whole = Window.partitionBy("rec")
-    rows = series.withColumn("n", F.row_number().over(at)).withColumn("ahead", F.avg("y").over(ahead)).withColumn("t_last", F.max("t").over(whole))
-    ok = (F.col("y") > above) & (F.col("ahead") > above) & (F.col("t") + sustain < F.col("t_last"))
+    rows = series.withColumn("n", F.row_number().over(at)).withColumn("ahead", F.avg(raw).over(ahead)).withColumn("t_last", F.max("t").over(whole))
+    ok = (F.col(raw) > above) & (F.col("ahead") > above) & (F.col("t") + sustain < F.col("t_last"))
     runs = islands(rows, F.col("y") < below).groupBy("rec", "run").agg(F.min("n").alias("na"), F.min("t").alias("ta"), F.max("t").alias("tb")).filter(F.col("tb") - F.col("ta") >= least)
     # From a run's earliest possible time on, the next good sample; both tables meet in one sort.
     marks = runs.select("rec", (F.col("ta") + least).alias("t"), F.lit(0).alias("kind"), F.col("na").alias("n"), F.lit(None).cast("long").alias("found"))
@@ -142,7 +143,7 @@ def onset(series: DataFrame, below: float, above: float, least: int, sustain: in
     future = Window.partitionBy("rec").orderBy("t", "kind", "n").rowsBetween(0, Window.unboundedFollowing)
     k = marks.union(good).withColumn("nk", F.first("found", ignorenulls=True).over(future)).filter("kind = 0 and nk is not null").select("rec", F.col("n").alias("na"), "nk")
     still = Window.partitionBy("rec").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    back = rows.select("rec", F.col("n").alias("nk"), F.max(F.when(F.col("y") <= creep, F.col("n"))).over(still).alias("low"), F.col("t").alias("sustained"), F.col("y").alias("value"))
+    back = rows.select("rec", F.col("n").alias("nk"), F.max(F.when(F.col(raw) <= creep, F.col("n"))).over(still).alias("low"), F.col("t").alias("sustained"), F.col(raw).alias("value"))
     found = k.join(back, ["rec", "nk"]).withColumn("nj", F.least("nk", F.greatest(F.coalesce("low", F.lit(0)), "na") + 1))
     one = found.groupBy("rec", "nj").agg(F.min_by(F.struct("sustained", "value"), "na").alias("m"))
     return one.join(rows.select("rec", F.col("n").alias("nj"), F.col("t").alias("start")), ["rec", "nj"]).select("rec", "start", "m.sustained", "m.value")

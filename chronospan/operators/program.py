@@ -186,3 +186,21 @@ def status(abstained: Column, verified: Column, n: Column, top: Column, exhausti
         F.when(abstained, "INSUFFICIENT_EVIDENCE").when(~verified, "ANSWERED_UNVERIFIED").when(n == 0, none).when(top >= 2, "ANSWERED").when(definite_only, "INSUFFICIENT_EVIDENCE")
         .otherwise("ANSWERED_PARTIAL")
     )
+
+
+def predicate_ranked(bound: DataFrame, near: DataFrame, allowed: Column) -> DataFrame:
+    """(rec, id, score, detail, kept) of a ranker's candidates: bound (rec, id, ordinal) come with a match and keep its ordinal, near (rec, id, iid,
+    ordinal, truth) as of best_near. Filtered are candidates outside the program's scope and those with a required clause FALSE."""
+    outside = F.when(~allowed, "outside program scope")
+    a = bound.select("rec", "id", F.when(allowed, F.col("ordinal")).alias("score"), outside.alias("detail"))
+    none, false = F.col("iid").isNull(), F.col("truth") == "FALSE"
+    detail = outside.when(none & false, "no instance near the candidate").when(~none & (F.col("ordinal") <= 0), "required clause is FALSE")
+    score = F.when(allowed, F.when(none, F.when(false, 0.0).otherwise(1.0)).otherwise(F.greatest("ordinal", F.lit(0.0))))
+    return a.union(near.select("rec", "id", score.alias("score"), detail.alias("detail"))).withColumn("kept", F.col("detail").isNull())
+
+
+def exhaustive(reasons: DataFrame, events: list[str], unexpressible: tuple[str, ...] = ()) -> DataFrame:
+    """(rec, exhaustive) of reasons (rec, event, reason, absence): whether absence of a match can be claimed on a recording: every event of the
+    program can be evaluated, supports claims of absence, and no clause is unexpressible."""
+    good = F.col("event").isin(events) & F.col("reason").isNull() & F.col("absence")
+    return reasons.groupBy("rec").agg(((F.count_distinct(F.when(good, F.col("event"))) == len(events)) & F.lit(not unexpressible)).alias("exhaustive"))

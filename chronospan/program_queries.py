@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import asof, events, program
+from .operators import asof, events, program, search
 from .operators.program import Relation
 from .registry import INSTANCES, SERIES, SPANS, query
+from .sources.shared import stored
 from .sources.tables import HOUR, messages, series
 
 
@@ -144,6 +145,57 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groupBy(F.coalesce("reason", "truth").alias("outcome")).agg(F.count("*").alias("n"))
 
 
+DETAIL = """CASE WHEN rec % 3 = 1 THEN 'outside program scope' WHEN bound THEN NULL WHEN iid IS NULL AND truth = 'FALSE' THEN 'no instance near the candidate'
+    WHEN iid IS NOT NULL AND ordinal <= 0 THEN 'required clause is FALSE' END"""
+
+
+@query(f"""{NEAR}, cc AS (SELECT rec, 'b' || iid AS id, true AS bound, iid, ordinal, NULL AS truth FROM m WHERE ordinal > 0 UNION ALL SELECT rec, 's' || sid, false, iid, ordinal, truth FROM best),
+    d AS (SELECT rec, id, CASE WHEN rec % 3 <> 1 THEN CASE WHEN bound THEN ordinal WHEN iid IS NULL THEN CASE WHEN truth = 'FALSE' THEN 0.0 ELSE 1.0 END ELSE greatest(ordinal, 0.0) END END AS score, {DETAIL} AS detail FROM cc)
+    SELECT rec, id, round(score, 6) AS score, detail, CASE WHEN detail IS NULL THEN row_number() OVER (PARTITION BY detail IS NULL ORDER BY round(score, 6) DESC, id) END AS rank FROM d""")
+def rk_predicate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that a program generated together with seeds of other generators, over the recordings that the program allows."""
+    s = series(spark, sf_dir)
+    known = program.spans(_samples(s))
+    matches = stored(program.bind_tree(_instances(s), known, "purchase", RELATIONS).select("rec", "iid", "ordinal", "purchase"))
+    seeds = s.filter("topic = 'click'").select("rec", F.col("seq").alias("sid"), F.col("t").alias("s0"), (F.col("t") + 4 * HOUR).alias("s1"))
+    near = program.best_near(matches, seeds, "purchase", known, 6 * HOUR)
+    bound = matches.filter("ordinal > 0").select("rec", F.concat(F.lit("b"), "iid").alias("id"), "ordinal")
+    out = stored(program.predicate_ranked(bound, near.withColumn("id", F.concat(F.lit("s"), "sid")), F.col("rec") % 3 != 1).withColumn("score", F.round("score", 6)))
+    kept = search.numbered(out.filter("kept"), [F.desc("score"), F.col("id")])
+    return kept.union(out.filter("not kept").withColumn("rank", F.lit(None).cast("long"))).drop("kept")
+
+
+EVENTS = ("purchase", "view", "error")
+REASONS = """rs AS (SELECT r.rec, e.event, CASE WHEN r.rec % 7 = 0 AND e.event = 'error' THEN 'NOT_APPLICABLE' WHEN r.rec % 5 = 0 AND e.event = 'view' THEN 'NOT_INDEXED' WHEN (SELECT count(*) FROM s WHERE s.rec = r.rec AND s.topic = e.event) = 0 THEN 'SENSOR_ABSENT_IN_LOG' END AS reason,
+    NOT (e.event = 'view' AND r.rec % 4 = 3) AS absence FROM (SELECT DISTINCT rec FROM s) r, (VALUES ('purchase'), ('view'), ('error')) e(event)),
+    ex AS (SELECT rec, bool_and(reason IS NULL AND absence) AS exhaustive FROM rs GROUP BY rec)"""
+
+
+def _reasons(s: DataFrame) -> DataFrame:
+    """Per recording and event why it can't be evaluated, by the rules of eligibility, and whether its feature supports claims of absence."""
+    counts = s.groupBy("rec").agg(*(F.count(F.when(F.col("topic") == e, 1)).alias(e) for e in EVENTS))
+    rows = counts.select("rec", F.explode(F.array(*(F.struct(F.lit(e).alias("event"), F.col(e).alias("n")) for e in EVENTS))).alias("x")).select("rec", "x.event", "x.n")
+    facts = rows.select(
+        "rec", "event", "n", (~((F.col("rec") % 7 == 0) & (F.col("event") == "error"))).alias("applicable"), (~((F.col("rec") % 5 == 0) & (F.col("event") == "view"))).alias("indexed"),
+        (F.col("n") > 0).alias("present"), F.lit(True).alias("tracks"), F.lit(0.0).alias("floor"), F.lit(1.0).alias("threshold"),
+    )
+    return facts.select("rec", "event", program.eligibility(facts).alias("reason"), (~((F.col("event") == "view") & (F.col("rec") % 4 == 3))).alias("absence"))
+
+
+@query(f"{TREE}, {REASONS} SELECT m.rec, iid, exhaustive FROM m JOIN ex USING (rec)")
+def mt_exhaustive_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir)
+    return _tree(spark, sf_dir).select("rec", "iid").join(program.exhaustive(_reasons(s), list(EVENTS)), "rec")
+
+
+@query(f"{TREE}, {REASONS} SELECT (SELECT count(*) FROM m WHERE ordinal > 0) AS candidates, (SELECT count(*) FROM ex WHERE exhaustive) AS exhaustive, (SELECT count(*) FROM ex) AS recordings, CASE WHEN (SELECT bool_and(exhaustive) FROM ex) THEN 'EXHAUSTIVE' ELSE 'PARTIAL' END AS completeness")
+def gen_program_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the program's generator says of its own completeness over the scope."""
+    n = _tree(spark, sf_dir).filter("ordinal > 0").agg(F.count("*").alias("candidates"))
+    ex = program.exhaustive(_reasons(series(spark, sf_dir)), list(EVENTS)).agg(F.count(F.when(F.col("exhaustive"), 1)).alias("exhaustive"), F.count("*").alias("recordings"), F.when(F.bool_and("exhaustive"), "EXHAUSTIVE").otherwise("PARTIAL").alias("completeness"))
+    return n.join(F.broadcast(ex))  # one row each
+
+
 STATUS = """CASE WHEN rec % 17 = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN rec % 13 = 0 THEN 'ANSWERED_UNVERIFIED' WHEN n = 0 THEN CASE WHEN whole THEN 'NONE_FOUND_EXHAUSTIVE' ELSE 'INSUFFICIENT_EVIDENCE' END
     WHEN top >= 2 THEN 'ANSWERED' WHEN rec % 2 = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'ANSWERED_PARTIAL' END"""
 
@@ -214,6 +266,14 @@ def ev_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.onset(series(spark, sf_dir), below=30.0, above=25.0, least=12 * HOUR, sustain=24 * HOUR, creep=5.0)
 
 
+@query(ONSET.replace("AS ahead FROM s)", f"AS ahead, avg(y) OVER (PARTITION BY rec ORDER BY t RANGE BETWEEN {12 * HOUR} PRECEDING AND {12 * HOUR} FOLLOWING) AS ys FROM s)").replace("PARTITION BY rec, y < 30", "PARTITION BY rec, ys < 30").replace("WHERE y < 30", "WHERE ys < 30"))
+def ev_onset_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops in the smoothed series, onsets refined on the raw one."""
+    around = Window.partitionBy("rec").orderBy("t").rangeBetween(-12 * HOUR, 12 * HOUR)
+    both = series(spark, sf_dir).withColumn("raw", F.col("y")).withColumn("y", F.avg("raw").over(around))
+    return events.onset(both, below=30.0, above=25.0, least=12 * HOUR, sustain=24 * HOUR, creep=5.0, raw="raw")
+
+
 SENSORS = {"motion": ("view", "purchase"), "faults": ("error",)}
 
 

@@ -167,6 +167,21 @@ def ag_window_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scalar functions.
 
 
+@query(f"""WITH {SERIES}, {CANDIDATES}, ed AS (SELECT rec, CAST(ceil(min(t) / {HOUR}) AS BIGINT) AS w0, CAST(floor(max(t) / {HOUR}) AS BIGINT) AS w1 FROM s GROUP BY rec),
+    w AS (SELECT cd.*, rec * 7 + least(greatest(CAST(ceil(start / {HOUR}) AS BIGINT), w0), w1) % 7 AS wid FROM cd JOIN ed USING (rec)),
+    c AS (SELECT w.id, w.truth, coalesce(round(CAST(list_inner_product(CAST(embedding AS DOUBLE[]), {QUERY_VECTOR}::DOUBLE[]) AS DOUBLE), 6), -1.0) AS score FROM w LEFT JOIN embeddings e ON e.vec_id = w.wid)
+    SELECT id, truth, score, row_number() OVER (ORDER BY truth DESC, score DESC, id) AS rank FROM c""")
+def rk_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals take the vector of their window, -1 where there is none; ordered by another stage's score first, then by their own."""
+    s = series(spark, sf_dir)
+    edges = s.groupBy("rec").agg(F.ceil(F.min("t") / F.lit(HOUR)).alias("w0"), F.floor(F.max("t") / F.lit(HOUR)).alias("w1"))
+    w = _candidates(spark, sf_dir).join(edges, "rec").select("id", "truth", (F.col("rec") * 7 + search.window_of(F.col("start"), F.col("w0"), F.col("w1"), HOUR) % 7).alias("wid"))
+    q = F.array(*(F.lit(float(v)) for v in QUERY_VECTOR))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("wid"), F.round(retrieval.dot(F.col("embedding"), q), 6).alias("score"))
+    scored = w.join(vectors, "wid", "left").select("id", "truth", F.coalesce("score", F.lit(-1.0)).alias("score"))
+    return search.numbered(scored, [F.desc("truth"), F.desc("score"), F.col("id")])
+
+
 @query("""SELECT event_id, value / 100 AS fraction, value / 100 AS m_of_cm, round(value / 3.6, 6) AS mps, value * 1000 AS us_of_ms FROM events""")
 def fn_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
