@@ -157,7 +157,7 @@ def pl_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("src")), ",").alias("sources"))
 
 
-POOL = {"by_value": ("y DESC, seq", [F.desc("y"), F.col("id")]), "by_number": ("seq * 7919 % 1009, seq", [F.col("id") * 7919 % 1009, F.col("id")])}
+POOL = {"by_value": ("y DESC, seq", lambda: [F.desc("y"), F.col("id")]), "by_number": ("seq * 7919 % 1009, seq", lambda: [F.col("id") * 7919 % 1009, F.col("id")])}
 
 
 @query(f"""WITH {SERIES}, {", ".join(f"c{i} AS (SELECT topic, seq AS id, '{name}' AS src, row_number() OVER (PARTITION BY topic ORDER BY {sql}) AS r FROM s WHERE y IS NOT NULL)" for i, (name, (sql, _)) in enumerate(POOL.items()))},
@@ -168,7 +168,7 @@ POOL = {"by_value": ("y DESC, seq", [F.desc("y"), F.col("id")]), "by_number": ("
 def pl_pool_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query (event type): the first 20 of each configuration, up to 25 candidates by attribute and 10 drawn ones, with all their sources."""
     s = series(spark, sf_dir).select(F.col("topic").alias("grp"), F.col("seq").alias("id"), "y")
-    parts = [metrics.first_k(s.filter("y is not null"), 20, order).withColumn("src", F.lit(name)) for name, (_, order) in POOL.items()]
+    parts = [metrics.first_k(s.filter("y is not null"), 20, order()).withColumn("src", F.lit(name)) for name, (_, order) in POOL.items()]
     parts.append(metrics.first_k(s.filter("y >= 30 and y < 60"), 25, [F.col("id")]).withColumn("src", F.lit("attribute")))
     parts.append(metrics.first_k(s, 10, [F.md5(F.concat_ws("|", "id", F.lit(7))), F.col("id")]).withColumn("src", F.lit("random")))
     both = parts[0]
