@@ -56,12 +56,17 @@ def spans(series: DataFrame, periods: float = 5.0) -> Spans:
     return Spans(stored(log), span.drop("period"), stored(wide))
 
 
-def covered(windows: DataFrame, known: Spans, hard: bool) -> DataFrame:
+def known_spans(samples: DataFrame | Spans) -> Spans:
+    return samples if isinstance(samples, Spans) else spans(samples)
+
+
+def covered(windows: DataFrame, samples: DataFrame | Spans, hard: bool) -> DataFrame:
     """windows (rec, event, wid, low, high, ...) with covered and absent (no sample of the event in the log).
 
     hard: the log's ends cut a window; else a window beyond them is not covered, as what it waits for may happen later. Inside, samples
     must reach both edges to a second, without a wide gap in between. A window outside the log is covered. Windows meet gaps in buckets.
     """
+    known = known_spans(samples)
     w = windows.join(known.log, "rec", "left").join(known.span, ["rec", "event"], "left")
     w = w.withColumn("lo", F.greatest("low", "l0")).withColumn("hi", F.least("high", "l1"))
     cut = known.wide.withColumn("slot", F.explode(slots(F.col("g0"), F.col("g1")))).alias("g")
@@ -82,7 +87,7 @@ def breadth_first(primary: str, relations: list[Relation]) -> list[Relation]:
     return found
 
 
-def bind_tree(instances: DataFrame, known: Spans, primary: str, relations: list[Relation], unexpressible: tuple[str, ...] = ()) -> DataFrame:
+def bind_tree(instances: DataFrame, samples: DataFrame | Spans, primary: str, relations: list[Relation], unexpressible: tuple[str, ...] = ()) -> DataFrame:
     """A row per primary instance: rec, iid, a struct per event (null: not bound), clauses (event, truth, reason, required), ordinal,
     definite, and start and end of the match.
 
@@ -90,6 +95,7 @@ def bind_tree(instances: DataFrame, known: Spans, primary: str, relations: list[
     the child's samples cover the window, else UNKNOWN. An unbound parent leaves its children UNKNOWN. The bindings are written after each
     relation, so a tree of n relations reads the instances n + 1 times.
     """
+    known = known_spans(samples)
     one = F.struct("iid", "start", "end", "ext", "truth", "value")
     bound = instances.filter(F.col("event") == primary).select("rec", "iid", one.alias(primary))
     clause = lambda event, truth, reason, required: F.struct(F.lit(event).alias("event"), truth.alias("truth"), reason.alias("reason"), F.lit(required).alias("required"))
@@ -151,7 +157,7 @@ def weakest_basis(basis: dict[str, str]) -> Column:
     return F.element_at(F.array(*map(F.lit, BASES)), F.coalesce(F.array_max(F.array(*ranks)), F.lit(0)) + 1)
 
 
-def best_near(matches: DataFrame, seeds: DataFrame, primary: str, known: Spans, slack: int) -> DataFrame:
+def best_near(matches: DataFrame, seeds: DataFrame, primary: str, samples: DataFrame | Spans, slack: int) -> DataFrame:
     """Every seed (rec, sid, s0, s1) with the best match whose primary overlaps [s0 - slack, s1 + slack]: iid and ordinal, truth, reason.
 
     Best: highest ordinal, then the primary nearest to the seed's end. No primary near: FALSE where covered, else UNKNOWN.
@@ -163,7 +169,7 @@ def best_near(matches: DataFrame, seeds: DataFrame, primary: str, known: Spans,
     met = spread.join(p, ["rec", "slot"]).filter("a <= high and b >= low")
     pick = F.min(F.struct((-F.col("ordinal")).alias("o"), F.abs(F.col("a") - F.col("s1")).alias("away"), "iid"))
     best = met.groupBy("rec", "sid").agg(pick.alias("m")).select("rec", "sid", F.col("m.iid").alias("iid"), (-F.col("m.o")).alias("ordinal"))
-    seen = covered(own.select("rec", F.lit(primary).alias("event"), F.col("sid").alias("wid"), "low", "high"), known, hard=True).select("rec", F.col("wid").alias("sid"), "covered", "absent")
+    seen = covered(own.select("rec", F.lit(primary).alias("event"), F.col("sid").alias("wid"), "low", "high"), samples, hard=True).select("rec", F.col("wid").alias("sid"), "covered", "absent")
     out = own.join(best, ["rec", "sid"], "left").join(seen, ["rec", "sid"])
     none = F.when(F.col("absent"), "UNKNOWN").when(F.col("covered"), "FALSE").otherwise("UNKNOWN")
     truth = F.when(F.col("iid").isNull(), none).when(F.col("ordinal") >= 2, "TRUE").when(F.col("ordinal") > 0, "UNKNOWN").otherwise("FALSE")
