@@ -205,28 +205,36 @@ class Sweep:
         self.held = 0
         ea, eb = (np.concatenate(e) if e else EMPTY for e in self.ends)
         ia, ib = (np.concatenate(i) if i else EMPTY for i in self.ids)
-        both = np.intersect1d(ea, eb, assume_unique=True)
-        if len(both):
-            na, nb = np.searchsorted(ea, both[-1], "right"), np.searchsorted(eb, both[-1], "right")
-            self._close(ea[:na], ia[:na], eb[:nb], ib[:nb], both)
-            ea, ia, eb, ib = ea[na:], ia[na:], eb[nb:], ib[nb:]
+        if len(ea) and len(eb):
+            low = int(min(ea[0], eb[0])) - 1
+            marks = np.zeros((2, int(max(ea[-1], eb[-1])) - low + 1), bool)  # a byte for each byte of text held
+            marks[0, ea - low] = marks[1, eb - low] = True
+            both = np.flatnonzero(marks[0] & marks[1])
+            if len(both):
+                na, nb = np.searchsorted(ea, low + both[-1], "right"), np.searchsorted(eb, low + both[-1], "right")
+                self._close(ea[:na] - low, ia[:na], eb[:nb] - low, ib[:nb], both, marks[:, : both[-1] + 1], low)
+                ea, ia, eb, ib = ea[na:], ia[na:], eb[nb:], ib[nb:]
         self.ends, self.ids = [[ea], [eb]], [[ia], [ib]]
         done, self.docs = (self.docs, []) if final else (self.docs[:-1], self.docs[-1:])
         return done
 
-    def _close(self, ea: np.ndarray, ia: np.ndarray, eb: np.ndarray, ib: np.ndarray, both: np.ndarray) -> None:
+    def _close(self, ea: np.ndarray, ia: np.ndarray, eb: np.ndarray, ib: np.ndarray, both: np.ndarray, marks: np.ndarray, low: int) -> None:
+        """Ends are counted from `low` on; marks: where A ends and where B ends."""
         starts = np.array([d["start"] for d in self.docs], np.int64)
-        of = lambda ends: np.searchsorted(starts, ends - 1, "right") - 1
-        cuts = np.union1d(ea, eb)
-        pair = (ia[np.searchsorted(ea, cuts)] << self.shift) | ib[np.searchsorted(eb, cuts)]
-        doc_a, doc_b, doc_g, doc_l = of(ea), of(eb), of(both), of(cuts)
-        n = np.stack([np.bincount(d, minlength=len(starts)) for d in (doc_a, doc_b, doc_g, doc_l)], axis=1)
+        met = marks[0] & marks[1]
+        upto_a, upto_b, upto_g, upto_l = (np.cumsum(m, dtype=np.int32) for m in (marks[0], marks[1], met, marks[0] | marks[1]))
+        cuts = np.flatnonzero(marks[0] | marks[1])
+        pair = (ia[upto_a[cuts] - marks[0][cuts]] << self.shift) | ib[upto_b[cuts] - marks[1][cuts]]
+        # Ends of a document lie behind its start, up to the next one's.
+        edge = np.clip(np.r_[starts, low + len(met) - 1] - low, 0, len(met) - 1)
+        n = np.stack([np.diff(u[edge].astype(np.int64)) for u in (upto_a, upto_b, upto_g, upto_l)], axis=1)
+        doc_l = np.repeat(np.arange(len(starts)), n[:, 3])
         # The text of the groups: A's ids, a bar, B's ids, a semicolon.
-        group_a, group_b = np.searchsorted(both, ea), np.searchsorted(both, eb)
-        last_a, last_b = np.r_[group_a[1:] != group_a[:-1], True], np.r_[group_b[1:] != group_b[:-1], True]
-        before_b = np.searchsorted(group_b, np.arange(len(both)))
+        group_a, group_b = upto_g[ea] - met[ea], upto_g[eb] - met[eb]
+        last_a, last_b = met[ea], met[eb]
+        before_b = np.r_[0, upto_b[both[:-1]]]
         place_a = np.arange(len(ia)) + before_b[group_a]
-        place_b = np.arange(len(ib)) + np.searchsorted(group_a, group_b, "right")
+        place_b = np.arange(len(ib)) + upto_a[both][group_b]
         sign = np.empty(len(ia) + len(ib), np.int64)
         sign[place_a], sign[place_b] = ia * 3 + last_a, ib * 3 + 2 * last_b
         taken = self.shown.take(pa.array(sign))
