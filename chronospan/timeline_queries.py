@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import trailing
@@ -41,10 +41,16 @@ def tl_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("seq", "mid", part(1).alias("rec"), part(2).alias("topic"), part(3).cast("long").alias("ordinal"))
 
 
+def millis(seconds: Column) -> Column:
+    """Seconds (or milliseconds) to three decimals as SQL's double arithmetic gives them: the product is rounded, so half a millisecond goes where the product
+    lies; F.round(x, 3) rounds the shortest decimal of x instead."""
+    return F.round(seconds * 1e3) / 1e3
+
+
 @query(f"WITH {SERIES}, b AS (SELECT rec, min(t) AS t0 FROM s GROUP BY rec) SELECT seq, round((t - t0) / 1e6, 3) AS rel, t0 + CAST(round(round((t - t0) / 1e6, 3) * 1e6) AS BIGINT) AS back FROM s JOIN b USING (rec)")
 def tl_rel_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
-    rel = s.join(s.groupBy("rec").agg(F.min("t").alias("t0")), "rec").withColumn("rel", F.round((F.col("t") - F.col("t0")) / 1e6, 3))
+    rel = s.join(s.groupBy("rec").agg(F.min("t").alias("t0")), "rec").withColumn("rel", millis((F.col("t") - F.col("t0")) / 1e6))
     return rel.select("seq", "rel", (F.col("t0") + F.round(F.col("rel") * 1e6).cast("long")).alias("back"))
 
 
@@ -141,7 +147,7 @@ PROFILE = f"""WITH {SERIES}, {MESSAGES}, gp AS (SELECT *, (lead(t) OVER (PARTITI
     round(future, 6) AS future, max_future FROM pf""")
 def ag_topic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = quality.profile(messages(spark, sf_dir)).drop("hz")
-    return p.withColumns({c: F.round(c, 3) for c in ("period", "max_gap", "latency_median", "latency_p99")} | {"future": F.round("future", 6)})
+    return p.withColumns({c: millis(F.col(c)) for c in ("period", "max_gap", "latency_median", "latency_p99")} | {"future": F.round("future", 6)})
 
 
 NOMINAL = {"view": 1e-5, "click": 8e-6, "error": 5e-6, "purchase": 6e-6}
@@ -327,4 +333,4 @@ def vw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = (F.lead("t").over(Window.partitionBy("rec", "topic").orderBy("t", "seq")) - F.col("t")) / 1e6
     q = m.withColumn("gap", gap).groupBy("rec", "topic").agg(F.percentile("gap", 0.95).alias("p95"))
     p = quality.profile(m).join(q, ["rec", "topic"])
-    return p.select("rec", "topic", "n", F.round(1e6 * F.col("hz"), 4).alias("uhz"), F.round("max_gap", 3).alias("max_gap"), F.round("p95", 3).alias("p95"))
+    return p.select("rec", "topic", "n", F.round(1e6 * F.col("hz"), 4).alias("uhz"), millis(F.col("max_gap")).alias("max_gap"), millis(F.col("p95")).alias("p95"))
