@@ -52,31 +52,73 @@ def most_similar(rows: DataFrame, query: list[float], k: int, id_col: str, vec_c
     return rows.select(id_col, dot(F.col(vec_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k).withColumn("score", F.round("score", 6))
 
 
-def nearest_of(items: DataFrame, probes: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, added up in order: equal vectors have equal ones."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
+
+
+class Best:
+    """The k best items of each of some probes, met so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.size = np.sqrt((vectors**2).sum(axis=1))
+        self.item, self.score = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
+
+    def meet(self, own: np.ndarray, vectors: np.ndarray, at: int, to: int) -> None:
+        """Items against the probes from place `at` to `to`: a matrix product finds those near enough to the k best, whose sums then decide."""
+        score = self.vectors[at:to] @ vectors.T
+        score[self.ids[at:to, None] == own[None, :]] = -np.inf
+        score[~np.isfinite(score)] = -np.inf
+        margin = 1e-12 * self.size[at:to] * np.sqrt((vectors**2).sum(axis=1).max(initial=0.0))  # far over the product's rounding
+        floor = self.score[at:to, -1]
+        near = score >= (floor - margin)[:, None]
+        if near.sum() > 4 * self.k * len(near) and score.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(score, -self.k, axis=1)[:, -self.k])
+            near = score >= (floor - margin)[:, None]
+        i, c = np.nonzero(near & (score > -np.inf))
+        if not len(i):
+            return
+        some = np.unique(i)
+        rows = np.r_[i, np.repeat(some, self.k)]
+        items = np.r_[own[c], self.item[at + some].ravel()]
+        sums = np.r_[_sums(self.vectors[at + i], vectors[c]), self.score[at + some].ravel()]
+        order = np.lexsort((items, -sums, rows))
+        rows = rows[order]
+        begins = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        keep = order[(begins[:, None] + np.arange(self.k)).ravel()]
+        self.item[at + some], self.score[at + some] = items[keep].reshape(-1, self.k), sums[keep].reshape(-1, self.k)
+
+
+def nearest_of(items: DataFrame, probes: DataFrame, k: int, block: int = 1 << 15, tile: int = 1 << 10) -> DataFrame:
     """(probe, item, score): of each probe (probe, v) the k items (item, v) of largest inner product but itself, ties to the smaller item.
 
-    Probes are a stated set and go to the tasks in blocks of about `block`, one pass over the items each; a task keeps k items a probe.
+    Probes are a stated set and go to the tasks in blocks of about `block`, one pass over the items each; a task keeps k items a probe and
+    compares `tile` probes with `tile` items at once. Every probe meets every item: the time grows with the product of both.
     """
     spark, n = items.sparkSession, max(1, -(-probes.count() // block))
     out = None
     for part in range(n):
-        rows = probes.filter(F.pmod(F.xxhash64("probe"), F.lit(n)) == part).orderBy("probe").collect()  # about `block` rows
-        sent = spark.sparkContext.broadcast((np.array([r["probe"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)))
+        rows = probes.filter(F.pmod(F.xxhash64("probe"), F.lit(n)) == part).select("probe", "v").toArrow()  # about `block` rows
+        ids = rows.column("probe").to_numpy().astype(np.int64)
+        flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sent = spark.sparkContext.broadcast((ids, flat.reshape(len(ids), -1) if len(ids) else flat))
 
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, vectors = sent.value
-            best_id, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+            best = Best(*sent.value, k)
             for batch in it:
                 own = batch.column(0).to_numpy()
-                score = vectors @ batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1).T
-                score[ids[:, None] == own[None, :]] = -np.inf
-                best_id, best = np.c_[best_id, np.broadcast_to(own, score.shape)], np.c_[best, score]
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
-            hit = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, hit.sum(axis=1))), pa.array(best_id[hit]), pa.array(best[hit])], names=["probe", "item", "score"])
-
-        found = items.select("item", "v").mapInArrow(run, "probe bigint, item bigint, score double") if rows else None
+                vectors = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
+                for c in range(0, len(own), tile):
+                    for at in range(0, len(best.ids), tile):
+                        best.meet(own[c : c + tile], vectors[c : c + tile], at, min(at + tile, len(best.ids)))
+            hit = np.isfinite(best.score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, hit.sum(axis=1))), pa.array(best.item[hit]), pa.array(best.score[hit])], names=["probe", "item", "score"])
+
+        found = items.select("item", "v").mapInArrow(run, "probe bigint, item bigint, score double") if len(ids) else None
         out = found if out is None else out if found is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "probe bigint, item bigint, score double")
