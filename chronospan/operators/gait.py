@@ -24,18 +24,36 @@ def regular(series: DataFrame, unit: float) -> DataFrame:
     return points.select("rec", "k", (F.col("y") + (F.col("y1") - F.col("y")) * (at - F.col("t")) / (F.col("t1") - F.col("t"))).alias("y"), (F.col("dt") / unit).alias("dt"))
 
 
+def _mean_around(y: np.ndarray, n: int, mode: str) -> np.ndarray:
+    """Means of n neighbours as np.convolve places them ("valid" or "same"), by running sums, so that the time does not grow with n."""
+    if mode == "same":
+        left = (n - 1) // 2
+        y = np.r_[np.zeros(n - 1 - left), y, np.zeros(left)]
+    upto = np.r_[0, np.cumsum(y, dtype=np.longdouble)]
+    return ((upto[n:] - upto[:-n]) / n).astype(float)
+
+
+def _low_spectrum(y: np.ndarray, n: int, bins: int, block: int = 4096) -> np.ndarray:
+    """The first bins of np.fft.rfft(y, n): sums within blocks of samples by one matrix product, turned by each block's place."""
+    turn = np.exp(-2j * np.pi / n * np.outer(np.arange(bins), np.arange(block)))
+    padded = np.zeros((-(-len(y) // block), block))
+    padded.ravel()[: len(y)] = y
+    within = turn.real @ padded.T + 1j * (turn.imag @ padded.T)
+    return (within * np.exp(-2j * np.pi / n * np.outer(np.arange(bins), block * np.arange(len(padded))))).sum(axis=1)
+
+
 def gait(grid: DataFrame, moving: float = 0.5, low: float = 1.0, high: float = 6.0, seconds: float = 8.0, share: float = 0.95) -> DataFrame:
     """(rec, period, frequency, prominence, windows) of grid as of regular: the strongest frequency between low and high.
 
     Spectra of half-overlapping windows in which y, averaged over a second, exceeds `moving` for `share` of the samples are averaged; the
     peak is refined by a parabola through its logarithm and its neighbours'. prominence: peak over the band's median. Recordings without
-    such a window give no row. One window and a second around it are held.
+    such a window give no row. One window and a second around it are held, and of its spectrum the band alone.
     """
 
     def estimate(rows: Rows) -> Iterator[tuple]:
         held: list[float] = []
         first = windows = at = 0
-        total = n = one = None
+        total = n = one = bins = None
         dt = 0.0
 
         def use(begin: int, ended: bool) -> None:
@@ -45,11 +63,11 @@ def gait(grid: DataFrame, moving: float = 0.5, low: float = 1.0, high: float = 6
             y = np.array(held[max(left, 0) - first : right - first])
             y = np.r_[np.zeros(max(0, -left)), y]
             y = np.r_[y, np.zeros(right - left - len(y))] if ended else y
-            if (np.convolve(y, np.ones(one) / one, "valid") > moving).mean() < share:
+            if (_mean_around(y, one, "valid") > moving).mean() < share:
                 return
             own = np.array(held[begin - first : begin - first + n])
             slow = int(2 / dt)
-            spectrum = np.abs(np.fft.rfft((own - np.convolve(own, np.ones(slow) / slow, "same")) * np.hanning(n), 8 * n)) ** 2
+            spectrum = np.abs(_low_spectrum((own - _mean_around(own, slow, "same")) * np.hanning(n), 8 * n, bins)) ** 2
             total = spectrum if total is None else total + spectrum
             windows += 1
 
@@ -59,6 +77,7 @@ def gait(grid: DataFrame, moving: float = 0.5, low: float = 1.0, high: float = 6
                 n, one = int(round(seconds / dt)), max(int(round(1 / dt)), 1)
                 if n < 2 or int(2 / dt) < 1:
                     return
+                bins = min(int(min(high, 0.45 / dt) * 8 * n * dt) + 2, 4 * n + 1)  # the band and a neighbour
             held.append(y)
             if first + len(held) > at + n + one:
                 use(at, False)
@@ -72,7 +91,7 @@ def gait(grid: DataFrame, moving: float = 0.5, low: float = 1.0, high: float = 6
         if not windows:
             return
         p = total / windows
-        f = np.fft.rfftfreq(8 * n, dt)
+        f = np.arange(bins) / (8 * n * dt)
         band = (f > low) & (f < min(high, 0.45 / dt))
         if not band.any():
             return
