@@ -39,14 +39,17 @@ def little_progress(grid: DataFrame, width: int, most: float, least: float) -> D
 
 
 def swings(grid: DataFrame, onset: int, lengths: list[int], loss: float, turn: float) -> DataFrame:
-    """(rec, t, length, lost, excursion) of onsets (multiples of `onset`) and lengths over which y loses `loss` and swings by at most `turn`."""
-    wide = max(lengths)
-    starts = grid.filter(F.col("t") % onset == 0).select("rec", F.col("t").alias("t0"), F.col("y").alias("y0"))
-    spread = starts.withColumn("slot", F.explode(F.sequence(F.floor(F.col("t0") / F.lit(wide)), F.floor((F.col("t0") + wide) / F.lit(wide)))))
-    near = spread.join(grid.withColumn("slot", F.floor(F.col("t") / F.lit(wide))), ["rec", "slot"]).filter(F.col("t").between(F.col("t0"), F.col("t0") + wide))
-    per = near.withColumn("length", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: F.col("t") <= F.col("t0") + n)))
-    out = per.groupBy("rec", "t0", "length").agg((F.first("y0") - F.min("y")).alias("lost"), (F.max("y") - F.min("y")).alias("excursion"), F.max("t").alias("upto"))
-    return out.filter((F.col("lost") >= loss) & (F.col("excursion") <= turn) & (F.col("upto") == F.col("t0") + F.col("length"))).select("rec", F.col("t0").alias("t"), "length", "lost", "excursion")
+    """(rec, t, length, lost, excursion) of onsets (multiples of `onset`) and lengths over which y loses `loss` and swings by at most `turn`;
+    all lengths are frames of one sort."""
+    order = Window.partitionBy("rec").orderBy("t")
+    marked = grid
+    for i, n in enumerate(lengths):
+        ahead = order.rangeBetween(0, n)
+        marked = marked.withColumns({f"low{i}": F.min("y").over(ahead), f"high{i}": F.max("y").over(ahead), f"upto{i}": F.max("t").over(ahead)})
+    each = F.array(*(F.struct(F.lit(n).alias("length"), F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high"), F.col(f"upto{i}").alias("upto")) for i, n in enumerate(lengths)))
+    out = marked.filter(F.col("t") % onset == 0).select("rec", "t", "y", F.inline(each))
+    out = out.withColumn("lost", F.col("y") - F.col("low")).withColumn("excursion", F.col("high") - F.col("low"))
+    return out.filter((F.col("lost") >= loss) & (F.col("excursion") <= turn) & (F.col("upto") == F.col("t") + F.col("length"))).select("rec", "t", "length", "lost", "excursion")
 
 
 def merged_stats(intervals: DataFrame, gap: int, stat: str) -> DataFrame:
