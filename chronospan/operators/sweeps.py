@@ -20,7 +20,11 @@ def resampled(series: DataFrame, step: int) -> DataFrame:
 def baseline(grid: DataFrame, width: int, least: int) -> DataFrame:
     """grid with base: the median of y over [t - width, t), null with fewer than `least` points."""
     before = Window.partitionBy("rec").orderBy("t").rangeBetween(-width, -1)
-    return grid.withColumn("base", F.when(F.count("y").over(before) >= least, F.percentile("y", 0.5).over(before)))
+    held = grid.withColumn("base_of", F.sort_array(F.collect_list("y").over(before)))
+    n = F.size("base_of")
+    # The two middle values, one and the same for an odd number.
+    low, high = F.get("base_of", F.floor((n - 1) / 2).cast("int")), F.get("base_of", F.floor(n / 2).cast("int"))
+    return held.withColumn("base", F.when(n >= least, 0.5 * low + 0.5 * high)).drop("base_of")
 
 
 def stays_low(grid: DataFrame, share: float, recent: int, duration: int) -> DataFrame:
